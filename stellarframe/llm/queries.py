@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, language_id, packing, pii, secrets, sharding, simhash, token_counts, warc
+from . import decontaminate, embedding_dedup, language_id, packing, pii, secrets, sharding, simhash, token_counts, warc
 
 #: The key of the surrogates in the registered query and the pipeline; a real run passes its own.
 PII_KEY = b"stellarframe-example-key"
@@ -22,6 +22,10 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(table(spark, sf_dir, "pages"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -50,8 +54,14 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_embedding_dedup, op2_warc, op4_packing, op5_sharding, op6_token_counts, op7_secrets, op8_language_id, op9_pii, op10_simhash)
+    for f in (op1_embedding_dedup, op2_warc, op3_decontamination, op4_packing, op5_sharding, op6_token_counts, op7_secrets, op8_language_id, op9_pii, op10_simhash, pipeline)
 }
 ORACLE_SQL: dict[str, str] = {}
