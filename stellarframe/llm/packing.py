@@ -31,7 +31,7 @@ def cut(length: int, room: int) -> list[tuple[int, int]]:
 
 def _pieces(path: str, room: int, id_name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokens.Encoder(path)
+        encode = tokens.encoder(path)
         for b in batches:
             rows: tuple[list, ...] = ([], [], [], [], [])
             ids = b.column(0).to_pylist()

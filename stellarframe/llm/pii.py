@@ -133,7 +133,8 @@ def surrogate(key: bytes, kind: str, canonical: str, attempt: int = 0) -> str:
         local, _, host = canonical.rpartition("@")
         *labels, top = host.split(".")
         new = [x if x == "example" else "".join(_like(c, below) for c in x) for x in labels]
-        return "".join(_like(c, below) for c in local) + "@" + ".".join([*new, top])
+        more = "".join(_like("a", below) for _ in range(attempt // 8))  # short addresses run out: then they get longer
+        return "".join(_like(c, below) for c in local) + more + "@" + ".".join([*new, top])
     if kind == "ip":
         head = canonical.split(".")
         private = head[0] == "10" or head[:2] == ["192", "168"] or head[0] == "127"

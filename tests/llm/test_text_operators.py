@@ -123,7 +123,7 @@ def test_token_counts(spark, odd):
 
 
 def test_pre_tokens_are_the_libraries(spark):
-    tok, split, encode = tokenizer(), tokens.PreTokens(tokens.vocabulary_path()), tokens.Encoder(tokens.vocabulary_path(), room=50)
+    tok, split, encode = tokenizer(), tokens.PreTokens(tokens.vocabulary_path()), tokens.Encoder(tokens.vocabulary_path())
     rng = random.Random(3)
     chars = list("ab c'stdrevm  \n\t1२٣") + [" ", " ", "\x1c", "\x85", "﻿", "​", "é", "́", "漢", "😀", "İ", TOKEN, "'ll", "\r\n", "ₐ", "²", "᠎"]
     for _ in range(400):
@@ -131,6 +131,12 @@ def test_pre_tokens_are_the_libraries(spark):
         ids = tok.encode(text, add_special_tokens=False).ids
         assert encode(text) == b"".join(i.to_bytes(4, "little") for i in ids), repr(text)
         assert "".join(split(text)) == text
+    latin = [chr(c) for c in range(256)]
+    for k in range(2000):
+        text = "".join(rng.choices(latin, k=rng.randrange(60))) if k % 2 else "".join(rng.choices(latin[:128] * 3 + [" "] * 90, k=200))
+        assert encode(text) == b"".join(i.to_bytes(4, "little") for i in tok.encode(text, add_special_tokens=False).ids), repr(text)
+    for text in ("a" * 50000, " " * 50000, "\n" * 9000 + "x", "ab" * 9000, "!" * 9000):
+        assert encode(text) == b"".join(i.to_bytes(4, "little") for i in tok.encode(text, add_special_tokens=False).ids)
 
 
 def unpack(rows, texts, room):
