@@ -14,8 +14,14 @@ from pyspark.sql.window import Window
 
 from .schema import FWHM_PER_SIGMA, MAD_TO_SIGMA, MASK_BITS, MEDIAN_CHI2_1
 
-ROW = Window.partitionBy("frame_id", "y").orderBy("x")
-COLUMN = Window.partitionBy("frame_id", "x").orderBy("y")
+
+
+def along_row():
+    return Window.partitionBy("frame_id", "y").orderBy("x")
+
+
+def along_column():
+    return Window.partitionBy("frame_id", "x").orderBy("y")
 
 
 def finite(v: Column) -> Column:
@@ -97,12 +103,12 @@ def _convolved(value: Column, kernel: Sequence[float], over) -> Column:
 
 def convolve_x(px: DataFrame, kernel: Sequence[float], value: str = "value", out: str = "value") -> DataFrame:
     """True convolution along x, zero beyond the frame; rows must be dense."""
-    return px.withColumn(out, _convolved(F.col(value).cast("double"), kernel, ROW))
+    return px.withColumn(out, _convolved(F.col(value).cast("double"), kernel, along_row()))
 
 
 def convolve_y(px: DataFrame, kernel: Sequence[float], value: str = "value", out: str = "value") -> DataFrame:
     """W2."""
-    return px.withColumn(out, _convolved(F.col(value).cast("double"), kernel, COLUMN))
+    return px.withColumn(out, _convolved(F.col(value).cast("double"), kernel, along_column()))
 
 
 def convolve_separable(px: DataFrame, kernel_x: Sequence[float], kernel_y: Sequence[float], value: str = "value", out: str = "value") -> DataFrame:
@@ -112,8 +118,8 @@ def convolve_separable(px: DataFrame, kernel_x: Sequence[float], kernel_y: Seque
 
 def dilate(px: DataFrame, radius: int, mask: str = "mask", out: str = "mask") -> DataFrame:
     """The bits of all pixels within radius in x and in y."""
-    wide = px.withColumn("_bits", F.bit_or(F.coalesce(F.col(mask), F.lit(0))).over(ROW.rowsBetween(-radius, radius)))
-    return wide.withColumn(out, F.bit_or("_bits").over(COLUMN.rowsBetween(-radius, radius)).cast("smallint")).drop("_bits")
+    wide = px.withColumn("_bits", F.bit_or(F.coalesce(F.col(mask), F.lit(0))).over(along_row().rowsBetween(-radius, radius)))
+    return wide.withColumn(out, F.bit_or("_bits").over(along_column().rowsBetween(-radius, radius)).cast("smallint")).drop("_bits")
 
 
 def footprint_ok(px: DataFrame, radius: int, saturation: float = 0.0, out: str = "footprint_ok") -> DataFrame:
@@ -121,10 +127,10 @@ def footprint_ok(px: DataFrame, radius: int, saturation: float = 0.0, out: str =
     bad = ~good(F.col("value"), F.col("mask"))
     if saturation > 0:
         bad = bad | F.coalesce(F.col("value") >= saturation, F.lit(True))
-    wide = px.withColumn("_bad", F.max(bad.cast("int")).over(ROW.rowsBetween(-radius, radius)))
-    wide = wide.withColumn("_n", F.count(F.lit(1)).over(ROW.rowsBetween(-radius, radius)))
-    wide = wide.withColumn("_bad", F.max("_bad").over(COLUMN.rowsBetween(-radius, radius)))
-    wide = wide.withColumn("_m", F.count(F.lit(1)).over(COLUMN.rowsBetween(-radius, radius)))
+    wide = px.withColumn("_bad", F.max(bad.cast("int")).over(along_row().rowsBetween(-radius, radius)))
+    wide = wide.withColumn("_n", F.count(F.lit(1)).over(along_row().rowsBetween(-radius, radius)))
+    wide = wide.withColumn("_bad", F.max("_bad").over(along_column().rowsBetween(-radius, radius)))
+    wide = wide.withColumn("_m", F.count(F.lit(1)).over(along_column().rowsBetween(-radius, radius)))
     side = 2 * radius + 1
     return wide.withColumn(out, (F.col("_bad") == 0) & (F.col("_n") == side) & (F.col("_m") == side)).drop("_bad", "_n", "_m")
 
@@ -132,8 +138,8 @@ def footprint_ok(px: DataFrame, radius: int, saturation: float = 0.0, out: str =
 def local_maxima(px: DataFrame, threshold: Column | float, value: str = "value", out: str = "is_peak") -> DataFrame:
     """above threshold and no neighbour above the pixel; every pixel of a plateau passes."""
     v = F.when(finite(F.col(value)), F.col(value))
-    wide = px.withColumn("_top", F.max(v).over(ROW.rowsBetween(-1, 1)))
-    wide = wide.withColumn("_top", F.max("_top").over(COLUMN.rowsBetween(-1, 1)))
+    wide = px.withColumn("_top", F.max(v).over(along_row().rowsBetween(-1, 1)))
+    wide = wide.withColumn("_top", F.max("_top").over(along_column().rowsBetween(-1, 1)))
     return wide.withColumn(out, F.coalesce((v > threshold) & (v >= F.col("_top")), F.lit(False))).drop("_top")
 
 
@@ -183,18 +189,22 @@ def sigma_clip(px: DataFrame, n_sigma: float = 4.0, rounds: int = 6) -> DataFram
 
     A frame that has settled no longer changes in the further rounds.
     """
-    here = px.where(finite(F.col("value"))).select("frame_id", F.col("value").cast("double").alias("value"))
+    values = px.where(finite(F.col("value"))).select("frame_id", F.col("value").cast("double").alias("value"))
+    inf = float("inf")
+    bounds = values.groupBy("frame_id").agg(F.lit(-inf).alias("lo"), F.lit(inf).alias("hi"))
 
-    def stats(df: DataFrame) -> DataFrame:
-        med = df.groupBy("frame_id").agg(F.percentile("value", 0.5).alias("median"), F.count(F.lit(1)).alias("n"))
-        dev = df.join(med, "frame_id").withColumn("dev", F.abs(F.col("value") - F.col("median")))
-        return dev.groupBy("frame_id").agg(F.first("median").alias("median"), (F.percentile("dev", 0.5) * MAD_TO_SIGMA).alias("sigma"), F.first("n").alias("n"))
+    def stats(bounds: DataFrame) -> DataFrame:
+        here = values.join(bounds, "frame_id").where(F.col("value").between(F.col("lo"), F.col("hi")))
+        med = here.groupBy("frame_id").agg(F.percentile("value", 0.5).alias("median"), F.count(F.lit(1)).alias("n"))
+        dev = here.join(med, "frame_id").withColumn("dev", F.abs(F.col("value") - F.col("median")))
+        return dev.groupBy("frame_id").agg(F.first("median").alias("median"), (F.percentile("dev", 0.5) * MAD_TO_SIGMA).alias("sigma"), F.first("n").alias("n"), F.first("lo").alias("lo"), F.first("hi").alias("hi"))
 
-    bounds = None
     for _ in range(rounds):
-        bounds = stats(here)
-        here = here.join(bounds, "frame_id").where((F.col("sigma") <= 0) | (F.abs(F.col("value") - F.col("median")) <= n_sigma * F.col("sigma"))).select("frame_id", "value")
-    return stats(here)
+        # a row for each frame, kept so that a round reads the values only for itself
+        now = stats(bounds).persist()
+        reach = F.when(F.col("sigma") > 0, n_sigma * F.col("sigma")).otherwise(inf)
+        bounds = now.select("frame_id", F.greatest("lo", F.col("median") - reach).alias("lo"), F.least("hi", F.col("median") + reach).alias("hi"))
+    return stats(bounds).select("frame_id", "median", "sigma", "n")
 
 
 def gaussianity(pulls: DataFrame) -> DataFrame:
@@ -226,7 +236,7 @@ def autocorrelation(px: DataFrame, lag: int = 1) -> DataFrame:
     """(frame_id, acf_x, acf_y): mean products of values `lag` apart over the mean square, about the mean."""
     mean = px.groupBy("frame_id").agg(F.avg(F.col("value").cast("double")).alias("_mean"))
     d = px.join(mean, "frame_id").withColumn("d", F.col("value").cast("double") - F.col("_mean"))
-    d = d.withColumn("dx", F.lead("d", lag).over(ROW)).withColumn("dy", F.lead("d", lag).over(COLUMN))
+    d = d.withColumn("dx", F.lead("d", lag).over(along_row())).withColumn("dy", F.lead("d", lag).over(along_column()))
     return d.groupBy("frame_id").agg((F.avg(F.col("d") * F.col("dx")) / F.avg(F.col("d") ** 2)).alias("acf_x"), (F.avg(F.col("d") * F.col("dy")) / F.avg(F.col("d") ** 2)).alias("acf_y"))
 
 

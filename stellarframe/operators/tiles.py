@@ -21,6 +21,14 @@ SIZE = 256
 HEAD = ["frame_id", "ty", "tx", "y0", "x0", "h", "w", "width", "height"]
 
 
+def _field(name: str):
+    return lambda p: p[name]
+
+
+def _null_of(kind):
+    return lambda v: F.lit(None).cast(kind)
+
+
 def to_tiles(px: DataFrame, layers: Sequence[str] = ("value", "variance", "mask"), size: int = SIZE) -> DataFrame:
     """Tiles of dense pixel rows: HEAD and an array for each layer, rows of y first; an absent layer is all null."""
     keyed = px.join(frame_sizes(px), "frame_id").withColumns({"ty": F.floor(F.col("y") / size).cast("int"), "tx": F.floor(F.col("x") / size).cast("int")})
@@ -28,12 +36,14 @@ def to_tiles(px: DataFrame, layers: Sequence[str] = ("value", "variance", "mask"
         F.min("y").alias("y0"), F.min("x").alias("x0"), (F.max("y") - F.min("y") + 1).alias("h"), (F.max("x") - F.min("x") + 1).alias("w"), F.first("width").alias("width"), F.first("height").alias("height"),
         F.array_sort(F.collect_list(F.struct("y", "x", *layers))).alias("_p"),
     )
-    return got.select(*HEAD, *(F.transform("_p", lambda p, c=c: p[c]).alias(c) for c in layers))
+    return got.select(*HEAD, *(F.transform("_p", _field(c)).alias(c) for c in layers))
 
 
 def to_pixels(tiles: DataFrame, layers: Sequence[str]) -> DataFrame:
-    """The inverse of to_tiles: (frame_id, y, x, layers)."""
-    one = tiles.select("frame_id", "y0", "x0", "w", F.posexplode(F.arrays_zip(*layers)).alias("_i", "_p"))
+    """The inverse of to_tiles: (frame_id, y, x, layers). The first layer must be there; nulls stand for others that are absent."""
+    first, fields = layers[0], {f.name: f.dataType.elementType for f in tiles.schema.fields if f.name in layers}
+    whole = [F.col(first), *(F.coalesce(F.col(c), F.transform(first, _null_of(fields[c]))).alias(c) for c in layers[1:])]
+    one = tiles.select("frame_id", "y0", "x0", "w", F.posexplode(F.arrays_zip(*whole)).alias("_i", "_p"))
     return one.select("frame_id", (F.col("y0") + F.floor(F.col("_i") / F.col("w")).cast("int")).alias("y"), (F.col("x0") + F.pmod("_i", "w")).cast("int").alias("x"), *(F.col(f"_p.{c}").alias(c) for c in layers))
 
 

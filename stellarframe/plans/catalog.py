@@ -1,4 +1,414 @@
-"""Registered queries of the library and their SQL forms."""
+"""Registered queries of the library and their SQL forms.
+
+The driver's tables hold no images, so `embeddings` stands for one: y is vec_id, x the place in the vector. Masks, variances
+and a second frame follow from that by the rules below, in Spark and in SQL alike.
+"""
+
+from __future__ import annotations
+
+import math
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.basis import Basis
+from ..functions.spline import Spline, grid_knots
+from ..operators import catalog, pixels, synth
+from ..operators.schema import FWHM_PER_SIGMA, MAD_TO_SIGMA, MEDIAN_CHI2_1
+
+WIDTH = 64
+#: A smoothing kernel for the queries: a sampled Gauss-Hermite function of order 0, rounded so that SQL has the same numbers.
+TAPS = [round(float(t), 6) for t in Basis(1.2, 0, 3).rows[0]]
+PSF = [[round(float(v), 6) for v in row] for row in synth.gaussian_psf(1.3, 2)]
+SETTINGS = catalog.Settings(expected_fwhm=2.0, threshold=3.0, dipole_threshold=2.5, aperture_radius=2)
+
+
+def frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The image of the embeddings: value v, mask, variance 0.5 + v^2."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.lit("e").alias("frame_id"), F.col("vec_id").cast("int").alias("y"), F.posexplode("embedding").alias("x", "v"))
+    at = F.col("y") * WIDTH + F.col("x")
+    v = F.col("v").cast("double")
+    mask = F.when(F.pmod(at, F.lit(97)) == 0, 1).when(F.pmod(at, F.lit(211)) == 0, 4).otherwise(0).cast("smallint")
+    return e.select("frame_id", "y", "x", v.alias("value"), (0.5 + v * v).alias("variance"), mask.alias("mask"))
+
+
+def second(px: DataFrame) -> DataFrame:
+    """Another frame of the same sky: 0.9 v + 0.1 of the pixel before."""
+    before = F.coalesce(F.lag("value").over(pixels.along_row()), F.lit(0.0))
+    return px.withColumn("value", 0.9 * F.col("value") + 0.1 * before)
+
+
+def scored(px: DataFrame) -> DataFrame:
+    """Scores: the value over a fixed deviation, in single precision."""
+    return px.withColumn("score", (F.col("value") / 0.06).cast("float"))
+
+
+FRAME = f"""e AS (SELECT CAST(vec_id AS INT) AS y, embedding, unnest(generate_series(1, {WIDTH})) AS i FROM embeddings),
+px AS (SELECT y, CAST(i - 1 AS INT) AS x, CAST(embedding[i] AS DOUBLE) AS v,
+  CASE WHEN (y * {WIDTH} + i - 1) % 97 = 0 THEN 1 WHEN (y * {WIDTH} + i - 1) % 211 = 0 THEN 4 ELSE 0 END AS mask,
+  0.5 + CAST(embedding[i] AS DOUBLE) * CAST(embedding[i] AS DOUBLE) AS variance FROM e),
+dims AS (SELECT max(x) + 1 AS w, max(y) + 1 AS h FROM px)"""
+SECOND = "px2 AS (SELECT y, x, 0.9 * v + 0.1 * coalesce(lag(v) OVER (PARTITION BY y ORDER BY x), 0) AS v, mask, variance FROM px)"
+SCORED = "sc AS (SELECT *, CAST(v / 0.06 AS FLOAT) AS score FROM px)"
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+
+
+def _register(sql: str | None):
+    """Make a function of (frame, spark, sf_dir) a query; sql goes after the frame's common table expressions."""
+
+    def put(f):
+        def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(frame(spark, sf_dir), spark, sf_dir)
+
+        query.__name__, query.__doc__ = f.__name__, f.__doc__
+        QUERIES[f.__name__] = query
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = f"WITH RECURSIVE {FRAME}{sql}" if sql.startswith(",") else f"WITH RECURSIVE {FRAME} {sql}"
+        return f
+
+    return put
+
+
+def _round(df: DataFrame, digits: int = 6, keep: tuple = ()) -> DataFrame:
+    """Doubles to so many digits: sums depend on the order of rows in their last ones."""
+    return df.select(*(F.round(c, digits).alias(c) if t == "double" and c not in keep else F.col(c) for c, t in df.dtypes))
+
+
+def _upper(v: str) -> str:
+    return f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {v} DESC)"
+
+
+def _conv(v: str, over: str) -> str:
+    half = len(TAPS) // 2
+    return " + ".join(f"{k!r} * coalesce({v if half == j else (f'lead({v}, {half - j})' if half > j else f'lag({v}, {j - half})') + f' OVER ({over})'}, 0)" for j, k in enumerate(TAPS))
+
+
+ROW, COL = "PARTITION BY y ORDER BY x", "PARTITION BY x ORDER BY y"
+SMOOTH = f", cx AS (SELECT *, {_conv('v', ROW)} AS a FROM px), sm AS (SELECT y, x, v, mask, variance, {_conv('a', COL)} AS s FROM cx)"
+
+
+@_register("SELECT round(sum(v / variance) / sum(1 / variance), 6) AS mean FROM px WHERE mask = 0")
+def weighted_mean(px, spark, sf_dir):
+    return _round(pixels.weighted_mean(px).select("mean"))
+
+
+BACKGROUND = f""", step AS (SELECT greatest(1, w * h // 262144) AS k, w FROM dims), used AS (SELECT v FROM px, step WHERE mask = 0 AND (CAST(y AS BIGINT) * w + x) % k = 0),
+med AS (SELECT {_upper('v')} AS m FROM used), bg AS (SELECT m, {MAD_TO_SIGMA} * {_upper('abs(v - m)')} AS s FROM used, med GROUP BY m)"""
+
+
+@_register(f"{BACKGROUND} SELECT round(m, 6) AS median, round(s, 6) AS sigma FROM bg")
+def background(px, spark, sf_dir):
+    return _round(pixels.background(px).select("median", "sigma"))
+
+
+@_register(f"SELECT round({_upper('v')}, 6) AS fill FROM px, dims WHERE mask = 0 AND (CAST(y AS BIGINT) * w + x) % 7 = 0")
+def fill_value(px, spark, sf_dir):
+    return _round(pixels.fill_value(px).select("fill"))
+
+
+@_register("SELECT y, x, round(greatest(v, 0) / 1.5 + 0.25, 6) AS variance FROM px")
+def synth_variance(px, spark, sf_dir):
+    return _round(pixels.synth_variance(px, 1.5, 0.5).select("y", "x", "variance"))
+
+
+@_register("SELECT y, x, v AS value FROM px WHERE mask = 0")
+def good_pixels(px, spark, sf_dir):
+    return pixels.good_pixels(px).select("y", "x", "value")
+
+
+@_register(f"SELECT y, x, round({_conv('v', ROW)}, 6) AS value FROM px")
+def conv_x(px, spark, sf_dir):
+    return _round(pixels.convolve_x(px, TAPS).select("y", "x", "value"))
+
+
+@_register(f"SELECT y, x, round({_conv('v', COL)}, 6) AS value FROM px")
+def conv_y(px, spark, sf_dir):
+    return _round(pixels.convolve_y(px, TAPS).select("y", "x", "value"))
+
+
+@_register(f"{SMOOTH} SELECT y, x, round(s, 6) AS value FROM sm")
+def conv_separable(px, spark, sf_dir):
+    return _round(pixels.convolve_separable(px, TAPS, TAPS).select("y", "x", "value"))
+
+
+@_register(", a AS (SELECT y, x, bit_or(mask) OVER (PARTITION BY y ORDER BY x ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS b FROM px) SELECT y, x, CAST(bit_or(b) OVER (PARTITION BY x ORDER BY y ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS SMALLINT) AS mask FROM a")
+def dilate_mask(px, spark, sf_dir):
+    return pixels.dilate(px, 2).select("y", "x", "mask")
+
+
+def _footprint(r: int, bad: str = "mask <> 0") -> str:
+    return f""", f1 AS (SELECT y, x, max(CASE WHEN {bad} THEN 1 ELSE 0 END) OVER (PARTITION BY y ORDER BY x ROWS BETWEEN {r} PRECEDING AND {r} FOLLOWING) AS b FROM px),
+fp AS (SELECT y, x, max(b) OVER (PARTITION BY x ORDER BY y ROWS BETWEEN {r} PRECEDING AND {r} FOLLOWING) = 0 AND x >= {r} AND x < w - {r} AND y >= {r} AND y < h - {r} AS ok FROM f1, dims)"""
+
+
+@_register(f"{_footprint(2, 'mask <> 0 OR v >= 0.3')} SELECT y, x, ok AS footprint_ok FROM fp")
+def footprint_ok(px, spark, sf_dir):
+    return pixels.footprint_ok(px, 2, 0.3).select("y", "x", "footprint_ok")
+
+
+def _peaks(table: str, v: str) -> str:
+    return f""", p1 AS (SELECT y, x, {v} AS v, max({v}) OVER (PARTITION BY y ORDER BY x ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS t FROM {table}),
+pk AS (SELECT y, x, v, v >= max(t) OVER (PARTITION BY x ORDER BY y ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS top FROM p1)"""
+
+
+@_register(f"{_peaks('px', 'v')} SELECT y, x, v AS value FROM pk WHERE top AND v > 0.1")
+def local_maxima(px, spark, sf_dir):
+    return pixels.local_maxima(px, 0.1).where("is_peak").select("y", "x", "value")
+
+
+@_register("SELECT y, x, v AS value FROM px, dims WHERE x >= 5 AND x < w - 5 AND y >= 5 AND y < h - 5")
+def border_exclusion(px, spark, sf_dir):
+    return pixels.inside(px, 5).select("y", "x", "value")
+
+
+@_register(f"{SMOOTH}{BACKGROUND}{_footprint(1)}{_peaks('sm', 's')} SELECT pk.y, pk.x, round(pk.v - m, 6) AS flux FROM pk JOIN fp USING (y, x), bg WHERE top AND ok AND pk.v > m + 2 * s ORDER BY pk.v DESC, y, x LIMIT 100")
+def detect_topk(px, spark, sf_dir):
+    """The brightest hundred local maxima of the smoothed frame, away from bad pixels."""
+    level = pixels.background(px)
+    wide = pixels.footprint_ok(pixels.convolve_separable(px, TAPS, TAPS, out="smooth"), 1).join(F.broadcast(level), "frame_id")
+    peaks = pixels.local_maxima(wide, F.col("median") + 2 * F.col("sigma"), "smooth").where("is_peak and footprint_ok")
+    return _round(peaks.orderBy(F.desc("smooth"), "y", "x").limit(100).select("y", "x", (F.col("smooth") - F.col("median")).alias("flux")))
+
+
+def _points(px: DataFrame, threshold: float = 0.25) -> DataFrame:
+    """Bright local maxima as points."""
+    return pixels.local_maxima(px, threshold).where("is_peak").select("frame_id", F.struct("y", "x").alias("point"), F.col("x").alias("px"), F.col("y").alias("py"), F.col("value").alias("flux"))
+
+
+POINTS = f"{_peaks('px', 'v')}, pt AS (SELECT y, x, v FROM pk WHERE top AND v > 0.25)"
+
+
+@_register(f""", {SECOND}{POINTS}, q1 AS (SELECT y, x, v, max(v) OVER (PARTITION BY y ORDER BY x ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS t FROM px2),
+q AS (SELECT y, x, v, v >= max(t) OVER (PARTITION BY x ORDER BY y ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS top FROM q1),
+m AS (SELECT pt.y, pt.x, q.y AS sy, q.x AS sx, (pt.x - q.x) * (pt.x - q.x) + (pt.y - q.y) * (pt.y - q.y) AS d2, q.v FROM pt JOIN q ON q.top AND q.v > 0.2 AND abs(pt.x - q.x) <= 2 AND abs(pt.y - q.y) <= 2)
+SELECT y, x, sy, sx, CAST(d2 AS BIGINT) AS d2 FROM (SELECT *, row_number() OVER (PARTITION BY y, x ORDER BY d2, v DESC, sy, sx) AS n FROM m WHERE d2 <= 4) WHERE n = 1""")
+def cross_match(px, spark, sf_dir):
+    met = pixels.cross_match(_points(px), _points(second(px), 0.2), 2)
+    return met.select(F.col("py").alias("y"), F.col("px").alias("x"), F.col("s_point.y").alias("sy"), F.col("s_point.x").alias("sx"), "d2")
+
+
+def _box(r: int, disc: bool = False) -> str:
+    inside = f" AND (p.x - pt.x) * (p.x - pt.x) + (p.y - pt.y) * (p.y - pt.y) <= {r * r}" if disc else ""
+    return f"pt JOIN px p ON p.y BETWEEN pt.y - {r} AND pt.y + {r} AND p.x BETWEEN pt.x - {r} AND pt.x + {r}{inside}"
+
+
+@_register(f"""{POINTS}, b AS (SELECT pt.y, pt.x, greatest(p.v + 0.05, 0) AS w, p.x - pt.x AS dx, p.y - pt.y AS dy FROM {_box(3)}),
+s AS (SELECT y, x, sum(w) AS s, sum(w * dx) AS sx, sum(w * dy) AS sy, sum(w * dx * dx) AS sxx, sum(w * dy * dy) AS syy FROM b GROUP BY y, x)
+SELECT y, x, round({FWHM_PER_SIGMA} * sqrt(0.5 * ((sxx / s - (sx / s) * (sx / s)) + (syy / s - (sy / s) * (sy / s)))), 6) AS fwhm FROM s""")
+def fwhm_moments(px, spark, sf_dir):
+    return _round(pixels.fwhm(_points(px), px, 3, -0.05).select("point.y", "point.x", "fwhm"))
+
+
+@_register(f"{POINTS} SELECT pt.y, pt.x, round(sum(p.v), 6) AS flux FROM {_box(3, True)} GROUP BY pt.y, pt.x")
+def aperture_flux(px, spark, sf_dir):
+    return _round(pixels.aperture_flux(_points(px), px, 3).select("point.y", "point.x", "flux"))
+
+
+@_register(f"{POINTS} SELECT pt.y, pt.x, p.y AS at_y, p.x AS at_x, p.v AS value FROM {_box(2)}")
+def stamp_gather(px, spark, sf_dir):
+    return pixels.boxed(_points(px), px, 2).select("point.y", "point.x", F.col("y").alias("at_y"), F.col("x").alias("at_x"), "value").toDF("y", "x", "at_y", "at_x", "value")
+
+
+def _tap_rows(kernel: list[list[float]], power: int = 1) -> str:
+    r = len(kernel) // 2
+    return "taps AS (SELECT * FROM (VALUES " + ", ".join(f"({y - r}, {x - r}, CAST({v ** power!r} AS DOUBLE))" for y, row in enumerate(kernel) for x, v in enumerate(row)) + ") t(dy, dx, k))"
+
+
+def _correlated(px: DataFrame, kernel: list[list[float]], value: str, sign: int = 1) -> DataFrame:
+    """The sum over taps of k * value at (y + dy, x + dx) or, with sign -1, (y - dy, x - dx): taps of one row, then rows."""
+    r, out = len(kernel) // 2, None
+    for y, row in enumerate(kernel):
+        along = None
+        for x, k in enumerate(row):
+            shift = sign * (x - r)
+            at = F.col(value) if not shift else F.lead(value, shift).over(pixels.along_row()) if shift > 0 else F.lag(value, -shift).over(pixels.along_row())
+            along = F.lit(k) * F.coalesce(at, F.lit(0.0)) if along is None else along + F.lit(k) * F.coalesce(at, F.lit(0.0))
+        px = px.withColumn(f"_r{y}", along)
+        shift = sign * (y - r)
+    for y in range(len(kernel)):
+        shift = sign * (y - r)
+        at = F.col(f"_r{y}") if not shift else F.lead(f"_r{y}", shift).over(pixels.along_column()) if shift > 0 else F.lag(f"_r{y}", -shift).over(pixels.along_column())
+        out = F.coalesce(at, F.lit(0.0)) if out is None else out + F.coalesce(at, F.lit(0.0))
+    return px.withColumn("_sum", out).drop(*(f"_r{y}" for y in range(len(kernel))))
+
+
+@_register(f""", {_tap_rows(PSF)}, c AS (SELECT p.y - dy AS y, p.x - dx AS x, sum(k * p.v) AS s FROM px p, taps GROUP BY p.y - dy, p.x - dx)
+SELECT y, x, round(s / sqrt(variance * (SELECT sum(k * k) FROM taps)), 6) AS score FROM c JOIN px USING (y, x)""")
+def matched_filter(px, spark, sf_dir):
+    norm = sum(v * v for row in PSF for v in row)
+    return _round(_correlated(px, PSF, "value").select("y", "x", (F.col("_sum") / F.sqrt(F.col("variance") * norm)).alias("score")))
+
+
+KERNEL = [[round(float(v), 6) for v in row] for row in Basis(0.8, 1, 2).kernels[1] + Basis(0.8, 1, 2).kernels[0]]
+
+
+@_register(f""", {_tap_rows(KERNEL, 2)}, c AS (SELECT p.y + dy AS y, p.x + dx AS x, sum(k * p.variance) AS s FROM px p, taps GROUP BY p.y + dy, p.x + dx)
+SELECT y, x, round(variance + s, 6) AS variance FROM c JOIN px USING (y, x)""")
+def variance_propagation(px, spark, sf_dir):
+    squared = [[v**2 for v in row] for row in KERNEL]
+    return _round(_correlated(px, squared, "variance", -1).select("y", "x", (F.col("variance") + F.col("_sum")).alias("variance")))
+
+
+def _seed(p: int) -> str:
+    return f"score {'>=' if p > 0 else '<='} CAST({p * (SETTINGS.threshold if p > 0 else SETTINGS.dipole_threshold)} AS FLOAT) AND mask = 0"
+
+
+@_register(f", {SCORED} SELECT y, x, score FROM sc WHERE {_seed(1)}")
+def seed_mask_pos(px, spark, sf_dir):
+    return pixels.seeds(scored(px), SETTINGS.threshold, 1).select("y", "x", "score")
+
+
+@_register(f", {SCORED} SELECT y, x, score FROM sc WHERE {_seed(-1)}")
+def seed_mask_neg(px, spark, sf_dir):
+    return pixels.seeds(scored(px), SETTINGS.dipole_threshold, -1).select("y", "x", "score")
+
+
+def _labels(p: int, name: str) -> str:
+    """Seeds with the smallest place that each can reach through neighbours."""
+    return f""", s{name} AS (SELECT y, x, score, v, CAST(y AS BIGINT) * 2147483648 + x AS id FROM sc WHERE {_seed(p)}),
+r{name}(id, y, x, l) AS (SELECT id, y, x, id FROM s{name} UNION SELECT b.id, b.y, b.x, a.l FROM r{name} a JOIN s{name} b ON b.y BETWEEN a.y - 1 AND a.y + 1 AND b.x BETWEEN a.x - 1 AND a.x + 1 AND a.l < b.id),
+l{name} AS (SELECT s.y, s.x, s.score, s.v, min(r.l) AS label FROM s{name} s JOIN r{name} r USING (id) GROUP BY s.y, s.x, s.score, s.v)"""
+
+
+@_register(f", {SCORED}{_labels(1, 'p')} SELECT y, x, label FROM lp")
+def component_labels(px, spark, sf_dir):
+    return catalog.label(pixels.seeds(scored(px), SETTINGS.threshold, 1)).select("y", "x", "label")
+
+
+@_register(f", {SCORED}{_labels(1, 'p')} SELECT DISTINCT label FROM lp JOIN sc n ON n.y BETWEEN lp.y - 1 AND lp.y + 1 AND n.x BETWEEN lp.x - 1 AND lp.x + 1 AND n.score <= CAST(-{SETTINGS.dipole_threshold} AS FLOAT) AND n.mask = 0")
+def dipole_touch(px, spark, sf_dir):
+    s = scored(px)
+    return catalog.touching(catalog.label(pixels.seeds(s, SETTINGS.threshold, 1)), pixels.seeds(s, SETTINGS.dipole_threshold, -1)).select("label")
+
+
+def _entries(p: int, name: str) -> str:
+    threshold = SETTINGS.threshold if p > 0 else SETTINGS.dipole_threshold
+    return f""", g{name} AS (SELECT label, count(*) AS n, sum(abs(CAST(score AS DOUBLE))) AS s, sum(abs(CAST(score AS DOUBLE)) * x) AS sx, sum(abs(CAST(score AS DOUBLE)) * y) AS sy,
+  first(struct_pack(x := x, y := y, v := CAST(score AS DOUBLE)) ORDER BY -abs(CAST(score AS DOUBLE)), y, x) AS p FROM l{name} GROUP BY label),
+k{name} AS (SELECT label, bit_or(mask) AS bits FROM (SELECT DISTINCT label, q.y, q.x, q.mask FROM l{name} l JOIN px q ON q.y BETWEEN l.y - 1 AND l.y + 1 AND q.x BETWEEN l.x - 1 AND l.x + 1) GROUP BY label),
+f{name} AS (SELECT label, sum(q.v) AS flux FROM g{name} JOIN px q ON q.y BETWEEN round(sy / s) - 2 AND round(sy / s) + 2 AND q.x BETWEEN round(sx / s) - 2 AND round(sx / s) + 2
+  AND (q.y - round(sy / s)) * (q.y - round(sy / s)) + (q.x - round(sx / s)) * (q.x - round(sx / s)) <= 4 GROUP BY label),
+c{name} AS (SELECT sx / s AS x, sy / s AS y, p.x AS peak_x, p.y AS peak_y, p.v AS peak_snr, CAST(n AS INT) AS n_pix, flux, CAST(bits AS SMALLINT) AS mask_flags, label,
+  {math.pi * SETTINGS.sigma**2!r} * greatest(0, ln(pow(abs(p.v) / {threshold}, 2))) AS expected FROM g{name} JOIN k{name} USING (label) JOIN f{name} USING (label))"""
+
+
+_SUMMARY = "round(x, 6) AS x, round(y, 6) AS y, peak_x, peak_y, round(peak_snr, 5) AS peak_snr, n_pix, round(flux, 6) AS flux, mask_flags"
+
+
+def _summary(df: DataFrame, *more: str) -> DataFrame:
+    return df.select(F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "peak_x", "peak_y", F.round("peak_snr", 5).alias("peak_snr"), "n_pix", F.round("flux", 6).alias("flux"), "mask_flags", *more)
+
+
+@_register(f", {SCORED}{_labels(1, 'p')}{_entries(1, 'p')} SELECT {_SUMMARY}, round(expected, 5) AS expected_n_pix, n_pix / expected BETWEEN {SETTINGS.fwhm_lo} AND {SETTINGS.fwhm_hi} AND expected > 0 AS fwhm_consistent FROM cp")
+def component_summary(px, spark, sf_dir):
+    s = scored(px)
+    out = catalog.summarise(catalog.label(pixels.seeds(s, SETTINGS.threshold, 1)), px, SETTINGS, 1)
+    return _summary(out.withColumn("expected_n_pix", F.round("expected_n_pix", 5)), "expected_n_pix", "fwhm_consistent")
+
+
+@_register(f", {SCORED}{_labels(1, 'p')}{_entries(1, 'p')}{_labels(-1, 'n')}{_entries(-1, 'n')} SELECT {_SUMMARY}, CAST(1 AS TINYINT) AS sign FROM cp UNION ALL SELECT {_SUMMARY}, CAST(-1 AS TINYINT) AS sign FROM cn")
+def polarity_both(px, spark, sf_dir):
+    return _summary(catalog.build(scored(px), SETTINGS, "both"), "sign")
+
+
+@_register(f"""{POINTS}, {_tap_rows(PSF)}, m AS (SELECT pt.y, pt.x, p.v AS d, p.variance AS r, k FROM pt, taps JOIN px p ON p.y = pt.y + dy AND p.x = pt.x + dx WHERE p.mask = 0),
+a AS (SELECT y, x, sum(d * k / r) / sum(k * k / r) AS a, sqrt(1 / sum(k * k / r)) AS err, CAST(count(*) - 1 AS INT) AS dof FROM m GROUP BY y, x HAVING count(*) >= 3)
+SELECT y, x, round(any_value(a), 6) AS psf_amplitude, round(any_value(err), 6) AS psf_amplitude_err, round(sum((d - a * k) * (d - a * k) / r), 6) AS psf_chi2, any_value(dof) AS psf_chi2_dof FROM m JOIN a USING (y, x) GROUP BY y, x""")
+def psf_fit(px, spark, sf_dir):
+    return _round(catalog.psf_fit(_points(px), px, np.array(PSF)).select("point.y", "point.x", "psf_amplitude", "psf_amplitude_err", "psf_chi2", "psf_chi2_dof"))
+
+
+@_register(f"{POINTS}, br AS (SELECT y, x FROM px WHERE v > 0.4) SELECT pt.y, pt.x, round(min(sqrt((pt.x - br.x) * (pt.x - br.x) + (pt.y - br.y) * (pt.y - br.y))), 6) AS dist FROM pt, br GROUP BY pt.y, pt.x")
+def bright_star_distance(px, spark, sf_dir):
+    bright = px.where("value > 0.4").select("frame_id", F.col("x").alias("px"), F.col("y").alias("py"))
+    return _round(pixels.nearest_bright(_points(px), bright, "dist").select("point.y", "point.x", "dist"))
+
+
+@_register(f"SELECT round(quantile_cont(v * v / variance, 0.5) / {MEDIAN_CHI2_1!r}, 6) AS scale FROM px WHERE mask = 0")
+def variance_rescale(px, spark, sf_dir):
+    return _round(pixels.variance_rescale(px).select("scale"))
+
+
+@_register('SELECT round(min(v), 6) AS "min", round(quantile_cont(v, 0.5), 6) AS "median", round(max(v), 6) AS "max", CAST(sum(CASE WHEN mask <> 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_masked, round(sum(CASE WHEN mask <> 0 THEN 1 ELSE 0 END) / count(*), 6) AS masked_fraction FROM px')
+def layer_stats(px, spark, sf_dir):
+    return _round(pixels.layer_stats(px).select("min", "median", "max", "n_masked", "masked_fraction"))
+
+
+@_register("SELECT round(stddev_pop(v), 6) AS rms, CAST(sum(CASE WHEN mask <> 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_masked FROM px")
+def difference_rms(px, spark, sf_dir):
+    return _round(pixels.rms_and_masked(px).select("rms", "n_masked"))
+
+
+@_register("SELECT round(stddev_pop(v), 6) AS rms FROM px WHERE y >= 10 AND y < 60 AND x >= 5 AND x < 40")
+def residual_rms(px, spark, sf_dir):
+    return _round(pixels.residual_rms(px, 10, 60, 5, 40).select("rms"))
+
+
+@_register(", mu AS (SELECT avg(v) AS m FROM px), d AS (SELECT v - m AS d, lead(v - m) OVER (PARTITION BY y ORDER BY x) AS dx, lead(v - m) OVER (PARTITION BY x ORDER BY y) AS dy FROM px, mu) SELECT round(avg(d * dx) / avg(d * d), 6) AS acf_x, round(avg(d * dy) / avg(d * d), 6) AS acf_y FROM d")
+def autocorr_lag1(px, spark, sf_dir):
+    return _round(pixels.autocorrelation(px).select("acf_x", "acf_y"))
+
+
+@_register(f"{POINTS}, c AS (SELECT pt.y, pt.x, quantile_cont(abs(p.v), 0.5) AS c FROM {_box(2)} GROUP BY pt.y, pt.x) SELECT round(quantile_cont(c, 0.5), 6) AS \"median\", round(quantile_cont(c, 0.9), 6) AS p90 FROM c")
+def core_residual(px, spark, sf_dir):
+    return _round(pixels.core_residual(_points(px), px).select("median", "p90"))
+
+
+@_register(f"{POINTS} SELECT pt.y, pt.x, round(max(p.v), 6) AS peak, max(p.v) >= 0.35 AS recovered FROM {_box(3)} GROUP BY pt.y, pt.x")
+def completeness(px, spark, sf_dir):
+    out = synth.completeness(_points(px), px, 0.35, 3)
+    return _round(out.select("point.y", "point.x", "peak", "recovered"))
+
+
+@_register(", t AS (SELECT x / 63.0 AS u, y / (h - 1.0) AS w, v, 1 / variance AS q FROM px, dims WHERE mask = 0) SELECT round(sum(q), 4) AS m00, round(sum(q * u), 4) AS m01, round(sum(q * w), 4) AS m02, round(sum(q * u * u), 4) AS m11, round(sum(q * u * w), 4) AS m12, round(sum(q * w * w), 4) AS m22, round(sum(q * v), 4) AS r0, round(sum(q * u * v), 4) AS r1, round(sum(q * w * v), 4) AS r2 FROM t")
+def normal_equations_small(px, spark, sf_dir):
+    """A8 for a plane: partial sums merge like those of the fit."""
+    t = px.join(pixels.frame_sizes(px), "frame_id").where("mask = 0").select((F.col("x") / 63.0).alias("u"), (F.col("y") / (F.col("height") - 1.0)).alias("w"), F.col("value").alias("v"), (1 / F.col("variance")).alias("q"))
+    terms = {"m00": "q", "m01": "q*u", "m02": "q*w", "m11": "q*u*u", "m12": "q*u*w", "m22": "q*w*w", "r0": "q*v", "r1": "q*u*v", "r2": "q*w*v"}
+    return _round(t.agg(*(F.sum(F.expr(e)).alias(n) for n, e in terms.items())), 4)
+
+
+_KNOTS = grid_knots(0, 0, 63, 99, 3, 3)
+_SPLINE = Spline(_KNOTS)
+_COEF = [round(0.3 * math.sin(1.7 * k), 4) for k in range(9)]
+_WEIGHTS = [round(float(w), 8) for w in _SPLINE.null_space @ np.array(_COEF[:6])]
+
+
+def _green_sql(i: int) -> str:
+    u, v = (float(a) for a in _SPLINE._u[i])
+    r2 = f"(pow((x - {_SPLINE.centre[0]!r}) / {_SPLINE.scale!r} - {u!r}, 2) + pow((y - {_SPLINE.centre[1]!r}) / {_SPLINE.scale!r} - {v!r}, 2))"
+    return f"{_WEIGHTS[i]!r} * CASE WHEN {r2} > 0 THEN 0.5 * {r2} * ln({r2}) ELSE 0 END"
+
+
+_SPLINE_SQL = " + ".join(_green_sql(i) for i in range(9)) + f" + {_COEF[6]!r} + {_COEF[7]!r} * (x - {_SPLINE.centre[0]!r}) / {_SPLINE.scale!r} + {_COEF[8]!r} * (y - {_SPLINE.centre[1]!r}) / {_SPLINE.scale!r}"
+
+
+@_register(f"SELECT y, x, round({_SPLINE_SQL}, 5) AS field FROM px WHERE y < 100 AND x % 8 = 0 AND y % 5 = 0".replace("np.float64", ""))
+def spline_field(px, spark, sf_dir):
+    """A spline over a grid of points of the frame, as a column expression."""
+    grid = px.where("y < 100 and x % 8 = 0 and y % 5 = 0")
+    u, v = (F.col("x") - float(_SPLINE.centre[0])) / float(_SPLINE.scale), (F.col("y") - float(_SPLINE.centre[1])) / float(_SPLINE.scale)
+    out = F.lit(_COEF[6]) + _COEF[7] * u + _COEF[8] * v
+    for w, (ku, kv) in zip(_WEIGHTS, _SPLINE._u.tolist(), strict=True):
+        r2 = (u - ku) ** 2 + (v - kv) ** 2
+        out = out + w * F.when(r2 > 0, 0.5 * r2 * F.log(r2)).otherwise(0.0)
+    return _round(grid.select("y", "x", out.alias("field")), 5)
+
+
+@_register(None)
+def sigma_clip(px, spark, sf_dir):
+    return _round(pixels.sigma_clip(px).select("median", "sigma", "n"))
+
+
+@_register(None)
+def gaussianity(px, spark, sf_dir):
+    pulls = px.where("mask = 0").select("frame_id", (F.col("value") / F.sqrt("variance")).alias("value"))
+    return _round(pixels.gaussianity(pulls).select("robust_sigma", "skewness", "kurtosis", "ks"))
+
+
+@_register("SELECT round(stddev_pop(v), 6) AS rms, round(avg(abs(v)), 6) AS mean_abs FROM px WHERE mask = 0")
+def field_stats(px, spark, sf_dir):
+    return _round(synth.field_stats(px.where("mask = 0")).select("rms", "mean_abs"))
