@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from . import common, tokens
 
 #: Characters of text in a block: what a task holds as frequencies at once (a longer document is a block of its own).
-BLOCK_CHARS = 12_000_000
+BLOCK_CHARS = 8_000_000
 
 
 def _pack(parts: list[bytes], level: int = 3) -> bytes:
@@ -39,6 +39,16 @@ def _unpack(blob: bytes) -> list[bytes]:
     return [raw[s:e] for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
 
 
+def _planes(numbers: np.ndarray) -> bytes:
+    """Small numbers below 2**32, compressed byte by byte place."""
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def _numbers(blob: bytes) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
+    return np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+
+
 def _bucket(pre: bytes, n: int) -> int:
     return xxhash.xxh64_intdigest(pre, 11) % n
 
@@ -71,7 +81,12 @@ def _frequencies(path: str, buckets: int, id_type: pa.DataType, room: int):
             order = sorted(range(len(raw)), key=lambda k: (home[k], raw[k]))
             number = np.empty(len(raw), np.uint32)
             number[np.array(order, dtype=np.int64)] = np.arange(len(raw), dtype=np.uint32)
-            zip_ = zstandard.ZstdCompressor(level=3).compress
+            cat = lambda a: np.concatenate([*a, np.zeros(0, np.int64)])
+            doc, local, often = np.repeat(np.arange(len(sizes)), sizes), number[cat(at)].astype(np.int64), cat(freq)
+            by_doc = np.lexsort((local, doc))  # ascending within a document, so that only steps are stored
+            steps = np.diff(local[by_doc], prepend=0)
+            first = np.cumsum([0, *sizes[:-1]])[np.array(sizes) > 0]
+            steps[first] = local[by_doc][first]
             full = [b for b in range(buckets) if by[b]]
             rows = len(full) + 1
             none = [None] * len(full)
@@ -80,7 +95,6 @@ def _frequencies(path: str, buckets: int, id_type: pa.DataType, room: int):
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, own.schema) as w:
                 w.write_batch(own)
-            cat = lambda a, kind: np.concatenate([*a, np.zeros(0, kind)]).astype(kind)
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array(key),
@@ -89,8 +103,8 @@ def _frequencies(path: str, buckets: int, id_type: pa.DataType, room: int):
                     pa.array([*none, sink.getvalue().to_pybytes()], pa.binary()),
                     pa.array([*none, np.array(n_bytes, "<i8").tobytes()], pa.binary()),
                     pa.array([*none, np.array(sizes, "<u4").tobytes()], pa.binary()),
-                    pa.array([*none, zip_(number[cat(at, np.int64)].astype("<u4").tobytes())], pa.binary()),
-                    pa.array([*none, zip_(cat(freq, "<u4").tobytes())], pa.binary()),
+                    pa.array([*none, _planes(steps)], pa.binary()),
+                    pa.array([*none, _planes(often[by_doc])], pa.binary()),
                 ],
                 ["block", "bucket", "words", "ids", "n_bytes", "sizes", "at", "freq"],
             )
@@ -121,16 +135,9 @@ def _count_pieces(path: str):
     """Pieces of each distinct pre-token of a bucket, once; to each block the counts of its list."""
 
     def run(group: pa.Table) -> pa.Table:
-        from tokenizers import Tokenizer
-
-        encode = Tokenizer.from_file(path).encode_batch
+        encode = tokens.encoder(path)
         lists = [_unpack(w) for w in group.column("words").to_pylist()]
-        distinct = sorted(set().union(*lists))
-        n: dict[bytes, int] = {}
-        for s in range(0, len(distinct), 20_000):
-            part = distinct[s : s + 20_000]
-            texts = [p.decode("utf-8", "surrogatepass") for p in part]
-            n.update(zip(part, (len(e.ids) for e in encode(texts, add_special_tokens=False)), strict=True))
+        n = {p: len(encode(p.decode("utf-8", "surrogatepass"))) // 4 for p in set().union(*lists)}
         counts = [zlib.compress(np.fromiter((n[p] for p in ps), "<u4", len(ps)).tobytes(), 1) for ps in lists]
         return pa.table({"block": group.column("block"), "bucket": group.column("bucket"), "counts": pa.array(counts, pa.binary())})
 
@@ -144,11 +151,14 @@ def _sum(id_name: str, id_type: pa.DataType, limit: int):
         by = sorted(zip(counts.column("bucket").to_pylist(), counts.column("counts").to_pylist(), strict=True))
         pieces = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(zlib.decompress(c), "<u4") for _, c in by)]).astype(np.int64)
         out = []
-        unzip = zstandard.ZstdDecompressor().decompress
         for row in block.to_pylist():
             ids = pa.ipc.open_stream(row["ids"]).read_all().column(0).combine_chunks()
-            at, freq = np.frombuffer(unzip(row["at"]), "<u4"), np.frombuffer(unzip(row["freq"]), "<u4")
-            ends = np.cumsum(np.frombuffer(row["sizes"], "<u4").astype(np.int64))
+            steps, freq = _numbers(row["at"]), _numbers(row["freq"])
+            sizes = np.frombuffer(row["sizes"], "<u4").astype(np.int64)
+            ends = np.cumsum(sizes)
+            # steps add up within a document: take off what the documents before it added up to
+            run_up = np.r_[0, np.cumsum(steps)]
+            at = run_up[1:] - np.repeat(run_up[np.r_[0, ends[:-1]].astype(np.int64)], sizes)
             total = np.r_[0, np.cumsum(pieces[at] * freq)]
             n = total[ends] - total[np.r_[0, ends[:-1]].astype(np.int64)]
             out.append(pa.table({id_name: ids, "n_bytes": pa.array(np.frombuffer(row["n_bytes"], "<i8")), "n_tokens": pa.array(n), "over_limit": pa.array(n > limit)}))
