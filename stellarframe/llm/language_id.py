@@ -16,9 +16,9 @@ from . import common
 
 UNKNOWN = "und"
 #: Hash buckets of the character trigrams.
-DIM = 4096
+DIM = 2048
 #: Bound of the training sample, over all languages together.
-SAMPLE = 3000
+SAMPLE = 2000
 
 # Families of languages by ISO 639-1 code. A language without an entry is a family of its own.
 FAMILY = {
@@ -159,6 +159,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     each = max(1, sample // len(langs))
     order = Window.partitionBy(lang_col).orderBy(F.xxhash64(id_col), id_col)
     drawn = rows.select(id_col, lang_col).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= each).select(F.col(id_col).alias("_id")).distinct()
+    drawn = F.broadcast(common.materialise(drawn, "sample"))  # sample ids at most
     common.arrow_rows(spark, 500)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
