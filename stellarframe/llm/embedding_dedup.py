@@ -76,86 +76,118 @@ def buckets(unit: np.ndarray, tables: int = TABLES, hashes: int = HASHES, probes
     return out
 
 
-def _spread(tables: int, hashes: int, probes: int):
-    """Rows of each vector and bucket: (label, bucket, id, weight, vec)."""
+def _hash(tables: int, hashes: int, probes: int):
+    """Vectors with their distinct buckets: table + tables * code, by table, the own one of a table first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            vecs = b.column("vec")
-            x = np.asarray(vecs.flatten()).reshape(len(vecs), -1).astype(np.float64) if len(vecs) else np.zeros((0, 2))
-            for s in range(0, len(vecs), 1000):
-                unit = x[s : s + 1000]
-                unit = unit / np.sqrt((unit * unit).sum(axis=1))[:, None]
-                code = buckets(unit, tables, hashes, probes)
-                n = len(unit)
-                key = (code * tables + np.arange(tables)[None, :, None]).reshape(n, -1)
-                new = np.ones(key.shape, bool)
-                for k in range(1, key.shape[1]):
-                    new[:, k] = ~(key[:, :k] == key[:, k : k + 1]).any(axis=1)
-                at = np.repeat(np.arange(s, s + n), key.shape[1]).reshape(key.shape)[new]
-                take = pa.array(at)
-                cols = [b.column(c).take(take) for c in ("label", "id", "weight", "vec")]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(key[new])], ["label", "id", "weight", "vec", "bucket"])
+            for s in range(0, b.num_rows, 1000):
+                part = b.slice(s, 1000)
+                vecs = part.column("vec")
+                x = np.asarray(vecs.flatten()).reshape(len(vecs), -1).astype(np.float64)
+                code = buckets(x / np.sqrt((x * x).sum(axis=1))[:, None], tables, hashes, probes) * tables + np.arange(tables)[None, :, None]
+                codes = pa.FixedSizeListArray.from_arrays(pa.array(code.ravel()), code[0].size).cast(pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([*part.columns, codes], [*part.schema.names, "codes"])
 
     return run
 
 
 def first_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """For pairs of bucket arrays (m, tables, 1 + probes) the first bucket, as table + tables * code, in which they meet."""
-    tables, width = a.shape[1:]
+    """For pairs of codes (m, tables, 1 + probes) the first bucket in which they meet: by table, then by number; -1 if none."""
     far = np.iinfo(np.int64).max
     out = np.full(len(a), -1, np.int64)
-    for t in reversed(range(tables)):
+    for t in reversed(range(a.shape[1])):
         least = np.full(len(a), far)
-        for k in range(width):
+        for k in range(a.shape[2]):
             least = np.minimum(least, np.where((b[:, t] == a[:, t, k : k + 1]).any(axis=1), a[:, t, k], far))
-        out = np.where(least < far, least * tables + t, out)
+        out = np.where(least < far, least, out)
     return out
 
 
-def _compare(tables: int, hashes: int, probes: int, threshold: float):
-    """Links of one block of a bucket, or of two: for each vector the weight it is linked to, and a link to its class.
+#: Groups up to this size are compared together, at one distance in their order after the other.
+SMALL = 48
 
-    A pair counts in the first bucket that its vectors share and nowhere else, so counts add up. Of the links found here,
-    those are returned that keep the block's components: one for each vector.
-    """
 
-    def run(key: tuple, group: pa.Table) -> pa.Table:
-        bucket, i, j = key[1].as_py(), key[2].as_py(), key[3].as_py()
-        ids = group.column("id").to_numpy()
-        order = np.argsort(ids, kind="stable")
-        ids, weight, side = ids[order], group.column("weight").to_numpy()[order], group.column("side").to_numpy()[order]
-        vecs = group.column("vec").combine_chunks()
-        x = np.asarray(vecs.flatten()).reshape(len(ids), -1)[order].astype(np.float64)
+def _compare(tables: int, threshold: float, most: int | None):
+    """Links within each bucket, or each pair of blocks: for each vector the weight it is linked to, and a link to its class.
+
+    Rows come ordered by label, bucket, i, j and id, a group's rows together. A pair counts in the first bucket that its
+    vectors share and nowhere else, so counts add up. Of the links, those are returned that keep the group's components:
+    one for each vector. Groups of over `most` rows are passed over: they come again in blocks.
+    """
+    keys = ["label", "bucket", "i", "j"]
+
+    def links(t: pa.Table) -> pa.Table:
+        cols = {c: t.column(c).to_numpy() for c in ("bucket", "i", "j", "side", "id", "weight")}
+        text = t.column("label").combine_chunks().dictionary_encode().indices.to_numpy()
+        n = t.num_rows
+        new = np.ones(n, bool)
+        new[1:] = np.any([a[1:] != a[:-1] for a in (text, cols["bucket"], cols["i"], cols["j"])], axis=0)
+        starts = np.flatnonzero(new)
+        sizes = np.diff(np.r_[starts, n])
+        group, ids, weight, bucket = np.cumsum(new) - 1, cols["id"], cols["weight"], cols["bucket"]
+        x = np.asarray(t.column("vec").combine_chunks().flatten()).reshape(n, -1).astype(np.float64)
         x /= np.sqrt((x * x).sum(axis=1))[:, None]
-        code = buckets(x, tables, hashes, probes)
-        left = np.flatnonzero(side == i)
-        right = left if i == j else np.flatnonzero(side == j)
-        links, to, label = np.zeros(len(ids), np.int64), np.arange(len(ids)), np.arange(len(ids))
-        for s in range(0, len(left), 256):
-            rows = left[s : s + 256]
-            p, q = np.nonzero(x[rows] @ x[right].T >= threshold)
-            p, q = rows[p], right[q]
-            if i == j:
-                p, q = p[p < q], q[p < q]
-            for e in range(0, len(p), 20_000):
-                u, v = p[e : e + 20_000], q[e : e + 20_000]
-                here = first_shared(code[u], code[v]) == bucket
-                u, v = u[here], v[here]
-                np.add.at(links, u, weight[v])
-                np.add.at(links, v, weight[u])
-                while len(u):  # hook the larger root to the smaller until both ends agree
-                    a, b = label[u], label[v]
-                    apart = a != b
-                    if not apart.any():
-                        break
-                    u, v, a, b = u[apart], v[apart], a[apart], b[apart]
+        code = np.asarray(t.column("codes").combine_chunks().flatten()).reshape(n, tables, -1)
+        apart = cols["i"] != cols["j"]  # of two blocks only pairs across count
+        count, label = np.zeros(n, np.int64), np.arange(n)
+
+        def take(u: np.ndarray, v: np.ndarray) -> None:
+            for e in range(0, len(u), 20_000):
+                p, q = u[e : e + 20_000], v[e : e + 20_000]
+                here = first_shared(code[p], code[q]) == bucket[p]
+                p, q = p[here], q[here]
+                np.add.at(count, p, weight[q])
+                np.add.at(count, q, weight[p])
+                while len(p):  # hook the larger root to the smaller until both ends agree
+                    a, b = label[p], label[q]
+                    differ = a != b
+                    p, q, a, b = p[differ], q[differ], a[differ], b[differ]
                     np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
                     while (label != label[label]).any():
-                        label = label[label]
+                        label[:] = label[label]
+
+        few = min(SMALL, most or SMALL)
+        small = (sizes <= few)[group]
+        for d in range(1, min(few, int(sizes.max(initial=0)))):
+            u = np.flatnonzero((group[:-d] == group[d:]) & small[:-d]) if d < n else np.zeros(0, np.int64)
+            if not len(u):
+                break
+            u = u[~apart[u] | (cols["side"][u] != cols["side"][u + d])]
+            u = u[np.einsum("ij,ij->i", x[u], x[u + d]) >= threshold]
+            take(u, u + d)
+        for s, size in zip(starts[sizes > few], sizes[sizes > few], strict=True):
+            if most and size > most:
+                continue
+            rows = np.arange(s, s + size)
+            left, right = (rows[cols["side"][rows] == cols[k][s]] for k in ("i", "j"))
+            for e in range(0, len(left), 256):
+                p, q = np.nonzero(x[left[e : e + 256]] @ x[right].T >= threshold)
+                p, q = left[e : e + 256][p], right[q]
+                if not apart[s]:
+                    p, q = p[p < q], q[p < q]
+                take(p, q)
         to = ids[label]
-        keep = (links > 0) | (to != ids)
-        return pa.table({"id": pa.array(ids[keep]), "links": pa.array(links[keep]), "to": pa.array(to[keep])})
+        keep = (count > 0) | (to != ids)
+        return pa.table({"id": pa.array(ids[keep]), "links": pa.array(count[keep]), "to": pa.array(to[keep])})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            held = t if held is None else pa.concat_tables([held, t])
+            last = [held.column(k)[-1] for k in keys]
+            at = held.num_rows - 1
+            columns = [held.column(k) for k in keys]
+            while at > 0 and all(c[at - 1] == v for c, v in zip(columns, last, strict=True)):
+                at -= 1
+            if most and held.num_rows - at > 2 * most:
+                held = pa.concat_tables([held.slice(0, at), held.slice(at, most + 1)])  # passed over: no more is needed of it
+            if at:
+                yield from links(held.slice(0, at).combine_chunks()).to_batches()
+                held = held.slice(at)
+        if held is not None and held.num_rows:
+            yield from links(held.combine_chunks()).to_batches()
 
     return run
 
@@ -204,22 +236,19 @@ def _usable(name: str):
 
 
 def _links(heads: DataFrame, tables: int, hashes: int, probes: int, threshold: float, block: int) -> DataFrame:
+    spark, n = heads.sparkSession, common.shuffle_partitions(heads.sparkSession)
     kind = heads.schema["vec"].dataType.simpleString()
-    spread = heads.mapInArrow(_spread(tables, hashes, probes), f"label string, id long, weight long, vec {kind}, bucket long")
-    # buckets with one vector end here; the counts are partial aggregates, so a bucket of any size is a row per task
-    counts = spread.groupBy("label", "bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    counts = counts.select("label", "bucket", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    small = spread.join(counts.where("blocks = 1"), ["label", "bucket"]).withColumns({"side": F.lit(0), "i": F.lit(0), "j": F.lit(0)})
-    large = spread.join(counts.where("blocks > 1"), ["label", "bucket"])
-    large = large.withColumn("side", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    hashed = common.materialise(heads.mapInArrow(_hash(tables, hashes, probes), f"label string, id long, weight long, vec {kind}, codes array<long>"), "hashed")
+    spread = hashed.withColumn("bucket", F.explode(F.array_distinct("codes")))
+    columns, order = ["label", "bucket", "i", "j", "id", "weight", "side", "vec", "codes"], ["label", "bucket", "i", "j", "id"]
+    one = spread.withColumns({"i": F.lit(0), "j": F.lit(0), "side": F.lit(0)}).select(columns)
+    small = one.repartition(n, "label", "bucket").sortWithinPartitions(*order).mapInArrow(_compare(tables, threshold, block), "id long, links long, to long")
+    # counts are partial aggregates, so a bucket of any size is a row per task
+    hot = spread.groupBy("label", "bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block)
+    hot = common.materialise(hot.select("label", "bucket", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "hot")
+    large = spread.join(hot, ["label", "bucket"]).withColumn("side", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     # each pair of blocks meets once: a row goes to the pairs of its own block, as the first or as the second of them
     large = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    large = large.withColumns({"i": F.least("side", "other"), "j": F.greatest("side", "other")})
-    large = large.repartition(common.shuffle_partitions(heads.sparkSession), "label", "bucket", "i", "j")
-    found = [
-        df.select("label", "bucket", "i", "j", "id", "weight", "side", "vec")
-        .groupBy("label", "bucket", "i", "j")
-        .applyInArrow(_compare(tables, hashes, probes, threshold), "id long, links long, to long")
-        for df in (small, large)
-    ]
-    return found[0].unionByName(found[1])
+    large = large.withColumns({"i": F.least("side", "other"), "j": F.greatest("side", "other")}).select(columns)
+    large = large.repartition(n, "label", "bucket", "i", "j").sortWithinPartitions(*order).mapInArrow(_compare(tables, threshold, None), "id long, links long, to long")
+    return small.unionByName(large)
