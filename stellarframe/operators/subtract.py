@@ -110,12 +110,13 @@ def difference(pair: DataFrame, solutions: DataFrame, fill: DataFrame, saturatio
 
     windows = tiles.halo_windows(pair.join(solutions.select("frame_id", "direction", *MODEL), "frame_id").join(fill, "frame_id"), "radius", size)
     schema = f"{tiles.TILE}, value array<float>, variance array<float>, mask array<smallint>, exact_mask array<smallint>"
-    return resolve(tiles.gather(windows, PAIR, run, schema, [*MODEL, "fill"]))
+    # the median that fills bad pixels needs the whole frame first: keep the tiles rather than make them twice
+    return resolve(tiles.gather(windows, PAIR, run, schema, [*MODEL, "fill"]).persist())
 
 
 def resolve(raw: DataFrame, step: int = 7) -> DataFrame:
     """Pixels of exact_mask take the upper median of good pixels at every 7th place, and variance 0."""
-    one = tiles.to_pixels(raw.where("mask is not null"), ["value", "mask"]).join(raw.select("frame_id", "width").distinct(), "frame_id")
+    one = tiles.to_pixels(raw.where("mask is not null"), ["value", "mask"]).join(raw.groupBy("frame_id").agg(F.first("width").alias("width")), "frame_id")
     used = one.where((F.pmod(pixels.linear_index(), F.lit(step)) == 0) & pixels.good(F.col("value"), F.col("mask")))
     fill = pixels.upper_median_of(used, "frame_id", "value", "_fill")
     out = raw.join(fill, "frame_id", "left").withColumn("_fill", F.coalesce(F.col("_fill").cast("float"), F.lit(0.0).cast("float")))

@@ -151,7 +151,7 @@ class Subtractor:
         """The solutions of all pairs. pair: tiles with LAYERS (s_ science, r_ reference)."""
         if direction not in (None, "science", "reference"):
             raise ValueError("direction must be science, reference or None")
-        stamps = self.select(pair, positions).persist()
+        stamps = self.select(pair, positions).persist()  # bounded by max_stamps for each frame
         told = detect.summary(stamps)
         if direction:
             told = told.withColumn("direction", F.lit(direction))
@@ -186,6 +186,7 @@ class Subtractor:
             if scale is not None:
                 white = white.join(scale, "frame_id", "left").withColumn("_k", F.coalesce("scale", F.lit(1.0)).cast("float")).withColumn("_var", F.transform("_var", lambda v: v * F.col("_k"))).drop("_k", "scale")
             diff = diff.join(white, ["frame_id", "ty", "tx"], "left").withColumns({"value": F.coalesce("_v", "value"), "variance": F.coalesce("_var", "variance")}).drop("_v", "_var")
+        diff = diff.persist()  # score and catalog read it again
         result = Result(diff, solutions, variance_scale=scale, config={f.name: getattr(self, f.name) for f in fields(self)})
         if not self.score:
             return result
@@ -197,7 +198,8 @@ class Subtractor:
             psf = psf.join(white, "frame_id", "left").select("frame_id", F.coalesce("_white", "psf").alias("psf"))
         spread = tiles.to_pixels(diff, ["value"]).groupBy("frame_id").agg(F.var_pop("value").cast("float").alias("_spread"))
         known = diff.join(spread, "frame_id").withColumn("variance", F.coalesce("variance", F.transform("value", lambda v: F.col("_spread")))).drop("_spread")
-        score = tiles.matched_filter(known.join(psf, "frame_id"), "psf", self.tile, radius)
+        psf = psf.persist()
+        score = tiles.matched_filter(known.join(psf, "frame_id"), "psf", self.tile, radius).persist()
         result = replace(result, score=score, psf=psf)
         return replace(result, source_catalog=result.build_catalog()) if self.source_catalog else result
 

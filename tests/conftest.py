@@ -5,6 +5,8 @@ import pytest
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
+os.environ.setdefault("OMP_NUM_THREADS", "1")  # as on a cluster: a core for each task
+os.environ.setdefault("OPENBLAS_NUM_THREADS", "1")
 os.environ["PYTHONPATH"] = ROOT + os.pathsep + os.environ.get("PYTHONPATH", "")
 
 
