@@ -1,5 +1,7 @@
 """The engine end to end on synthetic pairs: transients kept, clean elsewhere, apply equals subtract."""
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +11,11 @@ from stellarframe.functions.spline import Spline, fields
 from stellarframe.operators import synth, tiles
 from stellarframe.plans.engine import Subtractor, subtract_pairs
 
-KW = dict(n_max=3, n_knots=3, stamp_radius=10, lambda_grid=tuple(np.logspace(-4, 4, 7)), cv_folds=3, tile=128, block=64)
+# minutes of small Spark jobs; see the README
+pytestmark = pytest.mark.skipif(not os.environ.get("STELLARFRAME_SLOW"), reason="set STELLARFRAME_SLOW=1")
+
+KW = dict(n_max=2, n_knots=3, stamp_radius=8, lambda_grid=tuple(np.logspace(-4, 4, 5)), cv_folds=3, tile=128, block=64)
+N = 160
 
 
 def pair_of(spark, science, reference, variance=9.0, s_mask=None, r_mask=None, frame="a", size=128):
@@ -19,7 +25,11 @@ def pair_of(spark, science, reference, variance=9.0, s_mask=None, r_mask=None, f
 
 @pytest.fixture(scope="module")
 def run(spark):
-    science, reference, stars = synth.make_pair((240, 240), 3, 16, transients=[(60, 140, 6000)], flux_range=(12000, 12001), separation=35)
+    y, x = np.mgrid[30:N:33, 30:N:33]
+    stars = np.column_stack([x.ravel(), y.ravel(), np.full(x.size, 12000.0)])
+    rng = np.random.default_rng(3)
+    reference, science = (synth.render(stars, (N, N), s) + 120 + rng.normal(0, 3, (N, N)) for s in (1.6, 2.2))
+    science += synth.render(np.array([(46, 110, 6000.0)]), (N, N), 2.2)
     pair = pair_of(spark, science, reference).persist()
     engine = Subtractor(score=True, **KW)
     return engine, pair, engine.subtract(pair), science, reference, stars
@@ -30,7 +40,7 @@ def test_fit_is_sound(run):
     assert len(s) == 1 and s[0].direction == "reference" and s[0].n_stamps_used >= 8
     assert abs(s[0].reduced_chi2 - 1) < 0.25
     spline, sums = Spline(s[0].knots), np.array(s[0].component_sums)
-    scale = spline.design([(120, 120)]) @ fields(s[0].theta, len(sums))[:, : len(sums)] @ sums
+    scale = spline.design([(80, 80)]) @ fields(s[0].theta, len(sums))[:, : len(sums)] @ sums
     assert abs(scale[0] - 1) < 0.05
 
 
@@ -38,8 +48,8 @@ def test_difference_is_the_model(run):
     engine, pair, result, science, reference, _ = run
     s = result.solutions.first()
     basis = Basis(s.beta, s.n_max, s.radius)
-    y, x = np.mgrid[:240, :240]
-    along = (Spline(s.knots).design(np.column_stack([x.ravel(), y.ravel()])) @ fields(s.theta, len(basis))).T.reshape(-1, 240, 240)
+    y, x = np.mgrid[:N, :N]
+    along = (Spline(s.knots).design(np.column_stack([x.ravel(), y.ravel()])) @ fields(s.theta, len(basis))).T.reshape(-1, N, N)
     want = science - (along[:-1] * basis_stack(reference.astype(np.float32), basis)).sum(axis=0) - along[-1]
     assert np.abs(tiles.to_array(result.difference, "value") - want).max() < 0.02
     var = tiles.to_array(result.difference, "variance")
@@ -51,7 +61,7 @@ def test_transient_is_found(run):
     result = run[2]
     rows = result.source_catalog.collect()
     best = max(rows, key=lambda r: r.peak_snr)
-    assert np.hypot(best.x - 60, best.y - 140) < 1.5 and best.peak_snr > 10
+    assert np.hypot(best.x - 46, best.y - 110) < 1.5 and best.peak_snr > 10
     assert abs(best.flux - 6000) < 1200 and len(rows) <= 4
 
 
@@ -69,7 +79,7 @@ def test_whitening_removes_correlation(spark, run):
 
     engine, pair, result, *_ = run
     rng = np.random.default_rng(5)
-    s, r = rng.normal(0, 3, (2, 240, 240))
+    s, r = rng.normal(0, 3, (2, N, N))
     noise = pair_of(spark, s, r)
     plain = engine.apply(result.solutions, noise)
     white = Subtractor(decorrelate=True, **KW).apply(result.solutions, noise)
@@ -81,7 +91,7 @@ def test_whitening_removes_correlation(spark, run):
 
 def test_masks_grow_and_exact_pixels_are_filled(spark, run):
     engine, _, result, science, reference, _ = run
-    s_mask, r_mask = np.zeros((2, 240, 240), int)
+    s_mask, r_mask = np.zeros((2, N, N), int)
     s_mask[30, 40] = 4
     r_mask[130, 127] = 1
     bad = reference.copy()
@@ -104,7 +114,7 @@ def test_many_frames_and_options(spark, run):
     out = subtract_pairs(both, **KW)
     assert {r.frame_id: r.direction for r in out.solutions.collect()} == {"b": "reference", "c": "science"}
     d = {f: tiles.to_array(out.difference, "value", f) for f in ("b", "c")}
-    assert d["b"][140, 60] > 50 and d["c"][140, 60] < -50
+    assert d["b"][110, 46] > 50 and d["c"][110, 46] < -50
     assert out.difference.where("variance is not null or mask is not null").count() == 0
     with pytest.raises(ValueError):
         Subtractor(**KW).fit(both, direction="up")
