@@ -29,6 +29,8 @@ DRAWN = 2
 #: Share of steps at which the walks of an item and a window at the threshold agree (measured; see the tests).
 AGREE = 0.5
 RECALL = 0.95
+#: Groups of items of one size class, at most.
+GROUPS = 24
 #: Bytes of item texts that one pass over the documents takes along; more items are taken in further passes.
 ITEM_BYTES = 16 << 20
 
@@ -95,13 +97,15 @@ def prepare(rows: list[tuple]) -> Items:
 
 
 class Group(NamedTuple):
-    """Items of a size class that ask for about as many telling words.
+    """A few items of a size class that ask for about as many telling words.
 
-    size: words of a window, the smallest size of the class. need: telling words that a window must have. Per table, the
-    two drawn steps, which symbols some item reads at the first, and the items' sorted keys with the items.
+    size: words of a window, the smallest size of the class. telling: which symbols are telling words of these items.
+    need: telling words that a window must have. Per table, the two drawn steps, which symbols some item reads at the
+    first, and the items' sorted keys with the items.
     """
 
     size: int
+    telling: np.ndarray
     need: int
     tables: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
 
@@ -110,11 +114,12 @@ class Matcher:
     """Finds the items in texts. similarity: 1 - edits / characters of the item.
 
     Items are grouped by size in powers of two; a window is as long as the shortest items of the class. Words that many
-    items have tell little. A window is only walked if it holds, of the items' other words, at least the share `dense` of
-    what the group's items hold in as many words; that and the walks can miss an item only at very many edits.
+    items have tell little. A window is only walked if it holds, of a group's other words, at least the share `dense` of
+    what the group's items hold in as many words; that and the walks can miss an item only at very many edits. Groups are
+    small, so that other texts hold few of their words, and at most GROUPS for each class.
     """
 
-    def __init__(self, items: Items, similarity: float = 0.8, recall: float = RECALL, seed: int = 23, dense: float = 0.6):
+    def __init__(self, items: Items, similarity: float = 0.8, recall: float = RECALL, seed: int = 23, dense: float = 0.4):
         self.items, self.similarity = items, similarity
         n_symbols = len(items.number) + 2
         self._pad = n_symbols - 1
@@ -134,10 +139,11 @@ class Matcher:
         for size, members in sorted(classes.items()):
             has = {k: int(self._telling[items.words[k][:size]].sum()) for k in members}
             members.sort(key=lambda k: (has[k], k))
-            half = len(members) // 2
-            for part in (members[:half], members[half:]):
-                if part:
-                    self._groups.append(self._group(size, part, max(1, math.ceil(dense * has[part[0]])) if has[part[0]] else 0, rng, tables))
+            step = max(8, -(-len(members) // GROUPS))
+            for at in range(0, len(members), step):
+                part = members[at : at + step]
+                least = has[part[0]]
+                self._groups.append(self._group(size, part, max(1, math.ceil(dense * least)) if least else 0, rng, tables))
 
     def _group(self, size: int, members: list[int], need: int, rng: np.random.Generator, tables: int) -> Group:
         flat = np.concatenate([np.r_[self.items.words[k], np.full(2 * size + 1, self._pad, np.int32)] for k in members])
@@ -150,7 +156,9 @@ class Matcher:
             at, keys = self._walk(t, flat, starts, steps, None)
             order = np.argsort(keys, kind="stable")
             out.append((steps, first, keys[order], np.array(members)[at][order]))
-        return Group(size, need, out)
+        telling = np.zeros(self._pad + 1, bool)
+        telling[np.concatenate([self.items.words[k] for k in members])] = True
+        return Group(size, telling & self._telling, need, out)
 
     def _coins(self, table: int, step: int) -> np.ndarray:
         """0 or 1 for each symbol; the coins of as many steps as fit in 64 MB are kept."""
@@ -186,7 +194,8 @@ class Matcher:
         padded = np.r_[symbols, np.zeros(2 * longest + 1, symbols.dtype)]
         total = np.r_[total, np.full(max(longest, int(self._sizes.max(initial=0))), total[-1], np.int32)]
         for g in self._groups:
-            starts = np.flatnonzero(total[g.size : g.size + n] - total[:n] >= g.need)
+            own = np.r_[0, np.cumsum(g.telling.take(padded), dtype=np.int32)]
+            starts = np.flatnonzero(own[g.size : g.size + n] - own[:n] >= g.need)
             for t, (steps, first, keys, members) in enumerate(g.tables):
                 which, got = self._walk(t, padded, starts, steps, first)
                 lo, hi = np.searchsorted(keys, got, "left"), np.searchsorted(keys, got, "right")
