@@ -36,6 +36,12 @@ def timed(stage: str, into: dict | None = None):
         into[stage] = into.get(stage, 0.0) + took
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """df with its lineage cut: written to spark.checkpoint.dir, else only kept. Long plans joined with themselves take very long to analyse."""
+    sc = df.sparkSession.sparkContext
+    return df.checkpoint() if sc.getCheckpointDir() else df.persist()
+
+
 def default_beta(fwhm_a, fwhm_b):
     """P20 as a column: 0.8 of the width that broadens one star to the other, at least half a pixel; 2 if no width is known."""
     a, b = (F.when(pixels.finite(F.col(c)) & (F.col(c) > 0), F.col(c)) for c in (fwhm_a, fwhm_b))
@@ -151,7 +157,7 @@ class Subtractor:
         """The solutions of all pairs. pair: tiles with LAYERS (s_ science, r_ reference)."""
         if direction not in (None, "science", "reference"):
             raise ValueError("direction must be science, reference or None")
-        stamps = self.select(pair, positions).persist()  # bounded by max_stamps for each frame
+        stamps = cut(self.select(pair, positions))  # bounded by max_stamps for each frame
         told = detect.summary(stamps)
         if direction:
             told = told.withColumn("direction", F.lit(direction))
@@ -186,7 +192,7 @@ class Subtractor:
             if scale is not None:
                 white = white.join(scale, "frame_id", "left").withColumn("_k", F.coalesce("scale", F.lit(1.0)).cast("float")).withColumn("_var", F.transform("_var", lambda v: v * F.col("_k"))).drop("_k", "scale")
             diff = diff.join(white, ["frame_id", "ty", "tx"], "left").withColumns({"value": F.coalesce("_v", "value"), "variance": F.coalesce("_var", "variance")}).drop("_v", "_var")
-        diff = diff.persist()  # score and catalog read it again
+        diff = cut(diff) if self.score else diff.persist()  # score and catalog read it again
         result = Result(diff, solutions, variance_scale=scale, config={f.name: getattr(self, f.name) for f in fields(self)})
         if not self.score:
             return result
@@ -198,8 +204,8 @@ class Subtractor:
             psf = psf.join(white, "frame_id", "left").select("frame_id", F.coalesce("_white", "psf").alias("psf"))
         spread = tiles.to_pixels(diff, ["value"]).groupBy("frame_id").agg(F.var_pop("value").cast("float").alias("_spread"))
         known = diff.join(spread, "frame_id").withColumn("variance", F.coalesce("variance", F.transform("value", lambda v: F.col("_spread")))).drop("_spread")
-        psf = psf.persist()
-        score = tiles.matched_filter(known.join(psf, "frame_id"), "psf", self.tile, radius).persist()
+        psf = cut(psf)
+        score = cut(tiles.matched_filter(known.join(psf, "frame_id"), "psf", self.tile, radius))
         result = replace(result, score=score, psf=psf)
         return replace(result, source_catalog=result.build_catalog()) if self.source_catalog else result
 
@@ -207,8 +213,7 @@ class Subtractor:
         """Fit, then apply."""
         took: dict = {}
         with timed("fit", took):
-            solutions = self.fit(pair, positions, direction).persist()
-            solutions.count()
+            solutions = cut(self.fit(pair, positions, direction))
         out = self.apply(solutions, pair)
         out.elapsed = took
         return out
