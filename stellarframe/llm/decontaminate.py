@@ -1,9 +1,11 @@
-"""Benchmark decontamination by edit distance.
-
-Texts and items are sequences of words. The CGK random walk turns a sequence into a longer one such that a small edit
-distance becomes a small Hamming distance: at step j the walk reads the symbol under it and moves on, or not, by a coin
-that j and the symbol decide. Some steps are drawn for each table of a bit-sampling LSH; windows of an item's size that
-read the same symbols there as the item are candidates, and those are verified by their exact edit distance.
+"""Benchmark decontamination by edit distance, without misses.
+
+An item of m characters may be met with k edits. Cut into pieces of q characters, each edit spoils one piece at most, so at
+least m // q - k pieces stand unchanged in the text, and as no path of k edits strays further, on k + 1 diagonals (place in
+the text minus place in the item). Of two neighbours either both have no edit or, where they count for one, one of them has
+one: a piece counts only if its neighbour is within an edit. Pieces found are counted by item and diagonals; where enough
+meet, a bit-parallel banded edit distance of many places at a time decides, and what is left is measured exactly. No step
+drops a place in reach.
 """
 
 from __future__ import annotations
@@ -24,23 +26,24 @@ from . import common
 
 #: Items of fewer words say too little to be looked for.
 LEAST_WORDS = 5
-#: Steps drawn for a table.
-DRAWN = 2
-#: Share of steps at which the walks of an item and a window at the threshold agree (measured; see the tests).
-AGREE = 0.5
-RECALL = 0.95
-#: Groups of items of one size class, at most.
-GROUPS = 24
-#: Bytes of item texts that one pass over the documents takes along; more items are taken in further passes.
-ITEM_BYTES = 16 << 20
+#: Edits that a part of an item may have at most: its band of diagonals then fits a machine word.
+PART_EDITS = 47
+#: Bits of the hash of a piece. Classes that characters are put in for the banded distance; two in one class only let more pass.
+BITS, CLASSES = 18, 64
+#: Characters of text searched at a time; places measured at a time.
+CHUNK, PLACES = 64_000, 4096
+#: Bytes and rows of items that one pass over the documents takes along; more items are taken in further passes.
+ITEM_BYTES = 4 << 20
+ITEM_ROWS = 20_000
 
 _WORDS = re.compile(r"[^\W_]+").finditer
 _FIND = re.compile(r"[^\W_]+").findall
 
 
-def tables_for(recall: float = RECALL, agree: float = AGREE, drawn: int = DRAWN) -> int:
-    """Tables that give the recall at the threshold."""
-    return math.ceil(math.log(1 - recall) / math.log(1 - agree**drawn))
+# scripts written without spaces: each of their characters counts as a word
+_UNSPACED = "\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_SYMBOLS = re.compile(f"[{_UNSPACED}]|[^\\W_{_UNSPACED}]+").findall
+_ALONE = re.compile(f"[{_UNSPACED}]").match
 
 
 def edit_distance_within(item: str, text: str, most: int) -> tuple[int, int] | None:
@@ -70,12 +73,11 @@ def edit_distance_within(item: str, text: str, most: int) -> tuple[int, int] | N
 
 
 class Items(NamedTuple):
-    """Benchmark items made ready: the words of all items numbered from 1, and for each item its numbers."""
+    """Benchmark items made ready: ids, texts as they are compared, and whether an item must be met without edits."""
 
     ids: list
     texts: list[str]
-    number: dict[str, int]
-    words: list[np.ndarray]
+    exact: list[bool]
 
 
 def normal(text: str) -> str:
@@ -84,177 +86,243 @@ def normal(text: str) -> str:
 
 
 def prepare(rows: list[tuple]) -> Items:
-    """From (id, text) rows; items with fewer than LEAST_WORDS words are left out."""
-    number: dict[str, int] = {}
-    ids, texts, words = [], [], []
+    """From (id, text) rows; those without a word are left out. Items that must be met exactly get spaces around their words."""
+    ids, texts, exact = [], [], []
     for i, text in rows:
-        found = _FIND((text or "").lower())
-        if len(found) >= LEAST_WORDS:
+        plain = normal(text or "")
+        short = len(plain.split()) < LEAST_WORDS
+        if not short:
             ids.append(i)
-            texts.append(" ".join(found))
-            words.append(np.array([number.setdefault(w, len(number) + 1) for w in found], np.int32))
-    return Items(ids, texts, number, words)
+            exact.append(short)
+            texts.append(plain if not short else " " * (not _ALONE(plain[0])) + plain + " " * (not _ALONE(plain[-1])))
+    return Items(ids, texts, exact)
 
 
-class Group(NamedTuple):
-    """A few items of a size class that ask for about as many telling words.
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
-    size: words of a window, the smallest size of the class. telling: which symbols are telling words of these items.
-    need: telling words that a window must have. Per table, the two drawn steps, which symbols some item reads at the
-    first, and the items' sorted keys with the items.
-    """
 
-    size: int
-    telling: np.ndarray
-    need: int
-    tables: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+def _pieces(points: np.ndarray, q: int) -> np.ndarray:
+    """A hash of the q characters from each place on."""
+    n = max(0, len(points) - q + 1)
+    h = np.zeros(n, np.uint32)
+    for j in range(q):
+        h *= np.uint32(0x01000193 * 8 + 5)
+        h += points[j : j + n]
+    h ^= h >> np.uint32(15)
+    h *= np.uint32(0x9E3779B1)
+    return h >> np.uint32(32 - BITS)
+
+
+class Pieces(NamedTuple):
+    """Every other piece of q characters of some parts, from the first or the second on, by hash: where a hash's pieces start and how many they are; each one's
+    part and place. near, far: the two characters of its neighbour next to it and furthest from it, as one number, and how
+    far from the piece they start; near is -1 for a piece without neighbour."""
+
+    q: int
+    first: np.ndarray
+    many: np.ndarray
+    part: np.ndarray
+    place: np.ndarray
+    near: np.ndarray
+    near_at: int
+    far: np.ndarray
+    far_at: int
+
+
+def _twos(points: np.ndarray) -> np.ndarray:
+    """Two characters from each place on as one number of 31 bits; further characters may share a number."""
+    return ((points[:-1] * np.uint32(0x9E37) + points[1:]) & np.uint32(0x7FFFFFFF)).astype(np.int32)
 
 
 class Matcher:
     """Finds the items in texts. similarity: 1 - edits / characters of the item.
 
-    Items are grouped by size in powers of two; a window is as long as the shortest items of the class. Words that many
-    items have tell little. A window is only walked if it holds, of a group's other words, at least the share `dense` of
-    what the group's items hold in as many words; that and the walks can miss an item only at very many edits. Groups are
-    small, so that other texts hold few of their words, and at most GROUPS for each class.
+    An item with many edits is cut into parts: one of s parts has a share 1/s of the edits at most.
     """
 
-    def __init__(self, items: Items, similarity: float = 0.8, recall: float = RECALL, seed: int = 23, dense: float = 0.4):
-        self.items, self.similarity = items, similarity
-        n_symbols = len(items.number) + 2
-        self._pad = n_symbols - 1
-        self._sets = [set(w.tolist()) for w in items.words]
-        rng = np.random.default_rng(seed)
-        tables = tables_for(recall)
-        self._symbol_hash = rng.integers(0, 1 << 63, n_symbols, dtype=np.uint64)
-        self._seed, self._kept, self._room = seed, {}, max(64, (64 << 20) // (4 * n_symbols))
-        within = np.bincount(np.concatenate([np.unique(w) for w in items.words] or [np.zeros(0, int)]), minlength=n_symbols)
-        self._telling = (within > 0) & (within < max(3, len(items.words) / 20))
-        self._sizes = np.array([len(w) for w in items.words], np.int64)
-        self._needs = np.array([math.ceil((dense - 0.1) * self._telling[w].sum()) for w in items.words], np.int64)
-        self._groups: list[Group] = []
-        classes: dict[int, list[int]] = {}
-        for k, w in enumerate(items.words):
-            classes.setdefault(max(LEAST_WORDS, 1 << (len(w).bit_length() - 1)), []).append(k)
-        for size, members in sorted(classes.items()):
-            has = {k: int(self._telling[items.words[k][:size]].sum()) for k in members}
-            members.sort(key=lambda k: (has[k], k))
-            step = max(8, -(-len(members) // GROUPS))
-            for at in range(0, len(members), step):
-                part = members[at : at + step]
-                least = has[part[0]]
-                self._groups.append(self._group(size, part, max(1, math.ceil(dense * least)) if least else 0, rng, tables))
-
-    def _group(self, size: int, members: list[int], need: int, rng: np.random.Generator, tables: int) -> Group:
-        flat = np.concatenate([np.r_[self.items.words[k], np.full(2 * size + 1, self._pad, np.int32)] for k in members])
-        starts = np.cumsum([0, *(len(self.items.words[k]) + 2 * size + 1 for k in members[:-1])])
+    def __init__(self, items: Items, similarity: float = 0.8):
+        self.items = items
+        self._most = [0 if e else int((1 - similarity) * len(t) + 1e-9) for t, e in zip(items.texts, items.exact, strict=True)]
+        item, at, length, edits, q, cut = [], [], [], [], [], []
+        for k, (text, most) in enumerate(zip(items.texts, self._most, strict=True)):
+            n = -(-(most + 1) // (PART_EDITS + 1))
+            n = max(n, -(-len(text) // 512))  # parts of few edits are short as well: the places measured at a time are alike
+            for lo, hi in itertools.pairwise(len(text) * j // n for j in range(n + 1)):
+                item.append(k)
+                at.append(lo)
+                length.append(hi - lo)
+                edits.append(most // n)
+                q.append(next((x for x in (6, 5, 4, 3, 2) if (hi - lo) // x > most // n), 1))
+                cut.append(text[lo:hi])
+        self._item, self._at, self._length, self._edits = (np.array(x, np.int64) for x in (item, at, length, edits))
+        q = np.array(q, np.int64)
+        self._need = np.maximum(1, self._length // np.maximum(q, 1) - self._edits)
+        self._width = self._edits + 1  # of a bin of diagonals: any edits + 1 of them are in two bins
+        self._longest = int(self._length.max(initial=0))
+        self._pieces = [self._table(int(x), odd, np.flatnonzero(q == x), cut) for x in np.unique(q) for odd in (0, 1)]
+        self._words = (63 + self._longest + 64) // 64 + 3
+        self._masks = self._mask_table(cut)
+
+    def _table(self, q: int, odd: int, parts: np.ndarray, cut: list[str]) -> Pieces:
+        many = [len(cut[p]) // q for p in parts]
+        places = [np.arange(odd, n, 2) * q for n in many]
+        keys = np.concatenate([_pieces(_points(cut[p]), q)[x] for p, x in zip(parts, places, strict=True)])
+        order = np.argsort(keys, kind="stable")
+        first = np.searchsorted(keys[order], np.arange((1 << BITS) + 1)).astype(np.int32)
+        near_at, far_at = (-2, -q) if odd else (q, 2 * q - 2)  # the neighbour comes before pieces 1, 3, ..., after the others
+        near, far = [], []
+        for p, x, n in zip(parts, places, many, strict=True):
+            two = np.r_[_twos(_points(cut[p])), np.int32(0)]
+            near.append(np.where((q < 4) | (not odd) & (x // q == n - 1), -1, two.take(x + near_at, mode="clip")))
+            far.append(two.take(x + far_at, mode="clip"))
+        part, place, near, far = (np.concatenate(x)[order].astype(np.int32) for x in ([np.full(len(x), p) for p, x in zip(parts, places, strict=True)], places, near, far))
+        return Pieces(q, first[:-1], np.diff(first), part, place, near, near_at, far, far_at)
+
+    def _mask_table(self, cut: list[str]) -> np.ndarray:
+        """For each part and class of characters, the places of the class: 63 that any character fits, the part, any again."""
+        alphabet = np.unique(np.concatenate([_points(c) for c in cut] or [np.zeros(0, np.uint32)]))
+        self._class = np.zeros(0x110000, np.uint8)  # class 0: in no item
+        self._class[alphabet] = 1 + np.arange(len(alphabet)) % (CLASSES - 1)
+        masks = np.zeros((len(cut), CLASSES, self._words), np.uint64)
+        for p, c in enumerate(cut):
+            bits = np.zeros((CLASSES, self._words * 64), np.uint8)
+            bits[:, :63] = bits[:, 63 + len(c) :] = 1
+            bits[self._class[_points(c)], 63 + np.arange(len(c))] = 1
+            masks[p] = np.packbits(bits, axis=1, bitorder="little").view("<u8")
+        return masks.reshape(-1)
+
+    def _near(self, points: np.ndarray, lead: int) -> tuple[np.ndarray, np.ndarray]:
+        """(part, first diagonal): 64 diagonals from there may hold enough pieces of a part; lead: places before the text."""
+        counts = (len(points) + lead) // self._width + 3
+        base = np.cumsum(counts) - counts
+        shift, scale = (base + lead // self._width).astype(np.float64), 1.0 / self._width
+        shift += (lead % self._width + 0.5) * scale  # bin = base + (diagonal + lead) // width
+        bins = np.zeros(int(counts.sum()), np.int16)
+        two = np.r_[_twos(points), np.int32(0)]
+        for t in self._pieces:
+            keys = _pieces(points, t.q)
+            many = t.many.take(keys)
+            at = np.flatnonzero(many)
+            many, keys = many[at], keys[at]
+            ends = np.cumsum(many)
+            which = np.repeat(t.first.take(keys) - (ends - many), many)
+            which += np.arange(len(which))
+            if t.q >= 4:
+                near, far = t.near.take(which), t.far.take(which)
+                ok = near < 0
+                ok |= np.repeat(two.take(at + t.near_at, mode="clip"), many) == near
+                for d in (-1, 0, 1):
+                    ok |= np.repeat(two.take(at + (t.far_at + d), mode="clip"), many) == far
+                ok = np.flatnonzero(ok)
+                which, at = which.take(ok), np.repeat(at, many).take(ok)
+            else:
+                at = np.repeat(at, many)
+            part = t.part.take(which)
+            hit = ((at - t.place.take(which)) * scale.take(part) + shift.take(part)).astype(np.int64)
+            bins += np.minimum(np.bincount(hit, minlength=len(bins)), 10000).astype(np.int16)
+        least = np.repeat(np.minimum(self._need, 10000).astype(np.int16), counts)[:-1]
+        found = np.flatnonzero(bins[:-1] + bins[1:] >= least)
+        part = np.searchsorted(base, found, "right") - 1
+        start = (found - base[part]) * self._width[part] - lead
+        # as many bands of 64 diagonals as hold all runs of a bin's width that start in the bin
+        step = 65 - self._width[part]
+        bands = -(-self._width[part] // step)
+        n = np.arange(bands.sum()) - np.repeat(np.cumsum(bands) - bands, bands)
+        return np.repeat(part, bands), np.repeat(start, bands) + n * np.repeat(step, bands)
+
+    def _within(self, classes: np.ndarray, part: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """Which places hold the part with its edits on the 64 diagonals from start: bit-parallel, banded."""
+        one, top = np.uint64(1), np.uint64(63)
+        vp, vn = np.zeros(len(part), np.uint64), np.zeros(len(part), np.uint64)
+        score = np.zeros(len(part), np.uint64)
+        row, words = part * (CLASSES * self._words), np.int64(self._words)
+        for j in range(int(self._length[part].max()) + 63):
+            x = classes.take(start + j) * words
+            x += row
+            x += j >> 6
+            pm = self._masks.take(x)
+            if j & 63:
+                pm >>= np.uint64(j & 63)
+                x += 1
+                pm |= self._masks.take(x) << np.uint64(64 - (j & 63))
+            d0 = pm & vp
+            d0 += vp
+            d0 ^= vp
+            d0 |= pm
+            d0 |= vn
+            hp = ~(d0 | vp)
+            hp |= vn
+            vp &= d0
+            score += one
+            score -= d0 >> top
+            d0 >>= one
+            vn = d0 & hp
+            d0 |= hp
+            vp |= ~d0
+        score = score.astype(np.int64)
+        best = score.copy()
+        for b in range(62, -1, -1):
+            score += ((vn >> np.uint64(b)) & one).astype(np.int64) - ((vp >> np.uint64(b)) & one).astype(np.int64)
+            np.minimum(best, score, out=best)
+        return best <= self._edits[part]
+
+    def places(self, text: str) -> list[tuple[int, int, int]]:
+        """(item, begin, end) of the stretches of text that may hold the item; any that does lies in one of them whole."""
+        lead = self._longest + 128
         out = []
-        for t in range(tables):
-            steps = np.sort(rng.choice(2 * size, DRAWN, replace=False))
-            first = np.zeros(self._pad + 1, bool)
-            first[self._walk(t, flat, starts, steps[:1], None)[1] % (self._pad + 1)] = True
-            at, keys = self._walk(t, flat, starts, steps, None)
-            order = np.argsort(keys, kind="stable")
-            out.append((steps, first, keys[order], np.array(members)[at][order]))
-        telling = np.zeros(self._pad + 1, bool)
-        telling[np.concatenate([self.items.words[k] for k in members])] = True
-        return Group(size, telling & self._telling, need, out)
-
-    def _coins(self, table: int, step: int) -> np.ndarray:
-        """0 or 1 for each symbol; the coins of as many steps as fit in 64 MB are kept."""
-        if (table, step) not in self._kept:
-            if len(self._kept) >= self._room:
-                self._kept.clear()
-            add, times = np.random.default_rng((self._seed, table, step)).integers(0, 1 << 63, 2, dtype=np.uint64)
-            self._kept[table, step] = ((self._symbol_hash + add) * (times | np.uint64(1)) >> np.uint64(63)).astype(np.int32)
-        return self._kept[table, step]
-
-    def _walk(self, table: int, symbols: np.ndarray, starts: np.ndarray, steps: np.ndarray, first: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-        """(which starts, what their walks read at the steps as one number); with first, only walks whose first read is in it."""
-        which, at = np.arange(len(starts)), starts.astype(np.int64)
-        key = np.zeros(len(starts), np.int64)
-        j = 0
-        for s in steps.tolist():
-            while j < s:
-                at += self._coins(table, j).take(symbols.take(at))
-                j += 1
-            read = symbols.take(at)
-            if first is not None:
-                stay = np.flatnonzero(first.take(read))
-                which, at, key, read, first = which[stay], at[stay], key[stay], read[stay], None
-            key = key * (self._pad + 1) + read
-        return which, key
-
-    def candidates(self, symbols: np.ndarray) -> list[tuple[int, int]]:
-        """(start word, item) pairs, sorted, of windows that meet an item in a table."""
-        found: list[np.ndarray] = []
-        n = len(symbols)
-        total = np.r_[0, np.cumsum(self._telling.take(symbols), dtype=np.int32)]
-        longest = max((g.size for g in self._groups), default=0)
-        padded = np.r_[symbols, np.zeros(2 * longest + 1, symbols.dtype)]
-        total = np.r_[total, np.full(max(longest, int(self._sizes.max(initial=0))), total[-1], np.int32)]
-        for g in self._groups:
-            own = np.r_[0, np.cumsum(g.telling.take(padded), dtype=np.int32)]
-            starts = np.flatnonzero(own[g.size : g.size + n] - own[:n] >= g.need)
-            for t, (steps, first, keys, members) in enumerate(g.tables):
-                which, got = self._walk(t, padded, starts, steps, first)
-                lo, hi = np.searchsorted(keys, got, "left"), np.searchsorted(keys, got, "right")
-                hit = np.flatnonzero(hi > lo)
-                many = hi[hit] - lo[hit]
-                if len(hit):
-                    inside = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-                    item = members[np.repeat(lo[hit], many) + inside]
-                    start = np.repeat(starts[which[hit]], many)
-                    # the same share of telling words over the whole item
-                    fits = total[start + self._sizes[item]] - total[start] >= self._needs[item]
-                    found.append(start[fits] * len(self.items.words) + item[fits])
-        if not found:
-            return []
-        n_items = len(self.items.words)
-        return [divmod(x, n_items) for x in np.unique(np.concatenate(found)).tolist()]
+        points = _points(text)
+        classes = np.zeros(len(points) + 3 * lead + 64, np.int64)
+        classes[lead : lead + len(points)] = self._class[points]
+        for at in range(0, len(points), CHUNK):
+            # a part that starts before CHUNK more characters ends within twice its length
+            part, start = self._near(points[at : at + CHUNK + 2 * self._longest], lead)
+            start += at
+            order = np.argsort(self._length[part], kind="stable")
+            for i in range(0, len(order), PLACES):
+                some = order[i : i + PLACES]
+                p, s = part[some], np.clip(start[some], -lead, len(points))
+                ok = self._within(classes, p, s + lead)
+                p, s = p[ok], s[ok]
+                most = np.array(self._most, np.int64)[self._item[p]]
+                size = np.array([len(t) for t in self.items.texts], np.int64)[self._item[p]]
+                lo, hi = s - self._at[p] - most, s + 64 + size - self._at[p] + most
+                out += zip(self._item[p].tolist(), np.maximum(lo, 0).tolist(), np.minimum(hi, len(points)).tolist(), strict=True)
+        joined: list[tuple[int, int, int]] = []
+        for k, lo, hi in sorted(out):
+            if joined and joined[-1][0] == k and lo <= joined[-1][2]:
+                joined[-1] = (k, joined[-1][1], max(hi, joined[-1][2]))
+            else:
+                joined.append((k, lo, hi))
+        return joined
 
     def find_all(self, texts: list[str | None]) -> list[tuple[int, int, int, int, int]]:
-        """(text, item, edits, start, end) of each item found in the whole texts, at its best place; positions in characters.
-
-        A candidate is widened by a fifth of the item to each side; there the part closest to the item is sought.
-        """
-        number = self.items.number
-        if not number:
+        """(text, item, edits, start, end) of each item found in the whole texts, at its best place; positions in characters."""
+        if not self.items.texts:
             return []
         lows = [(t or "").lower() for t in texts]
-        words = [_FIND(x) for x in lows]
-        ends = np.cumsum([len(w) + 1 for w in words])
-        symbols = np.zeros(int(ends[-1]) if len(ends) else 0, np.int32)
-        for w, e in zip(words, ends.tolist(), strict=True):
-            symbols[e - 1 - len(w) : e - 1] = np.fromiter(map(number.get, w, itertools.repeat(0)), np.int32, len(w))
+        plain = [f" {' '.join(_FIND(x))} " for x in lows]
+        ends = np.cumsum([len(x) for x in plain])
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        passed: dict[tuple[int, int], int] = {}
-        pairs = self.candidates(symbols)
-        of = np.searchsorted(ends, [s for s, _ in pairs], "right").tolist()
-        for (start, k), row in zip(pairs, of, strict=True):
-            own = words[row]
-            first = int(ends[row]) - 1 - len(own)
-            start -= first
-            size = len(self.items.words[k])
-            if start >= len(own) or passed.get((row, k), -1) >= start:
-                continue  # between two texts, or near what has been found already
-            lo, hi = max(0, start - size // 5 - 1), min(len(own), start + size + size // 5 + 1)
-            if len(self._sets[k].intersection(symbols[first + lo : first + hi].tolist())) < 0.4 * len(self._sets[k]):
-                continue  # the words alone say no
-            item = self.items.texts[k]
-            got = edit_distance_within(item, " ".join(own[lo:hi]), int((1 - self.similarity) * len(item) + 1e-9))
-            if got:
-                passed[row, k] = start + size // 5
-                if (row, k) not in best or got[0] < best[row, k][0]:
-                    best[row, k] = (got[0], lo, hi)
+        for k, lo, hi in self.places("".join(plain)):
+            item, row = self.items.texts[k], int(np.searchsorted(ends, lo, "right"))
+            while row < len(plain) and (begin := int(ends[row]) - len(plain[row])) < hi:
+                a, b = max(lo - begin, 0), min(hi - begin, len(plain[row]))
+                got = edit_distance_within(item, plain[row][a:b], self._most[k])
+                if got and ((row, k) not in best or got[0] < best[row, k][0]):
+                    back = edit_distance_within(item[::-1], plain[row][a : a + got[1]][::-1], self._most[k])
+                    best[row, k] = (got[0], a + got[1] - back[1], a + got[1])
+                row += 1
         out = []
         for (row, k), (d, lo, hi) in sorted(best.items()):
-            at = [(m.start(), m.end()) for m in itertools.islice(_WORDS(lows[row]), lo, hi)]
+            text = plain[row]
+            lo, hi = lo + (text[lo] == " "), hi - (text[hi - 1] == " ")
+            at = [(m.start(), m.end()) for m in itertools.islice(_WORDS(lows[row]), text.count(" ", 0, lo) - 1, text.count(" ", 0, hi))]
             out.append((row, k, d, at[0][0], at[-1][1]))
         return out
 
 
-def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", similarity: float = 0.8, recall: float = RECALL) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", similarity: float = 0.8) -> DataFrame:
     """(id_col, item_col, edits, begin, end): the items found in each document, whole texts searched.
 
     Case, punctuation and white space don't count. An item is found where some part of the document is within (1 -
@@ -268,8 +336,8 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     spark = docs.sparkSession
     common.arrow_rows(spark, 500)
     rows = items.select(F.col(item_col), F.col(item_text_col).alias("_t")).where("_t is not null")
-    size = rows.agg(F.sum(F.octet_length("_t"))).first()[0] or 0
-    blocks = max(1, math.ceil(size / ITEM_BYTES))
+    size, many = rows.agg(F.sum(F.octet_length("_t")), F.count("_t")).first()
+    blocks = max(1, math.ceil((size or 0) / ITEM_BYTES), math.ceil(many / ITEM_ROWS))
     item_kind, kind = items.schema[item_col].dataType.simpleString(), docs.schema[id_col].dataType.simpleString()
     item_type = to_arrow_type(items.schema[item_col].dataType)
     schema = f"`{id_col}` {kind}, `{item_col}` {item_kind}, edits int, begin int, end int"
@@ -277,14 +345,14 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     out = None
     for block in range(blocks):
         part = rows.where(F.pmod(F.xxhash64(item_col, "_t"), F.lit(blocks)) == block)
-        found = texts.mapInArrow(_search(sorted(map(tuple, part.collect()), key=repr), similarity, recall, id_col, item_col, item_type), schema)
+        found = texts.mapInArrow(_search(sorted(map(tuple, part.collect()), key=repr), similarity, id_col, item_col, item_type), schema)
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def _search(rows: list[tuple], similarity: float, recall: float, id_name: str, item_name: str, item_type: pa.DataType, chars: int = 1_000_000):
+def _search(rows: list[tuple], similarity: float, id_name: str, item_name: str, item_type: pa.DataType, chars: int = 1_000_000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(prepare(rows), similarity, recall)
+        matcher = Matcher(prepare(rows), similarity)
         ids = matcher.items.ids
         for b in batches:
             texts = b.column(1).to_pylist()
