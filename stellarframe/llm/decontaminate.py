@@ -24,7 +24,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from . import common
 
-#: Items of fewer words say too little to be looked for.
+#: Items of fewer words are found as they stand, as whole words: a few edits would make other words of them.
 LEAST_WORDS = 5
 #: Edits that a part of an item may have at most: its band of diagonals then fits a machine word.
 PART_EDITS = 47
@@ -90,8 +90,8 @@ def prepare(rows: list[tuple]) -> Items:
     ids, texts, exact = [], [], []
     for i, text in rows:
         plain = normal(text or "")
-        short = len(plain.split()) < LEAST_WORDS
-        if not short:
+        if plain:
+            short = len(_SYMBOLS(plain)) < LEAST_WORDS
             ids.append(i)
             exact.append(short)
             texts.append(plain if not short else " " * (not _ALONE(plain[0])) + plain + " " * (not _ALONE(plain[-1])))
@@ -327,7 +327,8 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 
     Case, punctuation and white space don't count. An item is found where some part of the document is within (1 -
     similarity) edits for each of the item's characters; edits is the least number, begin and end (code points of the
-    lower-cased text) hold that part. Items with fewer than five words, null or empty ones are never found; null and empty
+    lower-cased text) hold that part. Items of fewer than five words are found as whole words without any edit; in scripts
+    without spaces each character counts as a word. Null items and those without a word are never found; null and empty
     documents hold none. Repeated documents are each reported, repeated items too; other columns are ignored.
 
     Documents stay where they are: each task compares its rows with all items. Items of more than ITEM_BYTES are

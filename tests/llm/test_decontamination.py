@@ -56,3 +56,18 @@ def test_tables_rows_against_all_pairs(spark):
     matcher = decontaminate.Matcher(decontaminate.prepare(items))
     got = {(row, k): d for row, k, d, *_ in matcher.find_all(texts)}
     assert got == brute(matcher, texts) and len(got) > 70
+
+
+def test_short_items_and_scripts_without_spaces(spark):
+    items = [(1, "Paris, France"), (2, "中国的首都是北京吗"), (3, "東京"), (4, "คำตอบคือกรุงเทพ"), (5, "42"), (6, "?!"), (7, "art")]
+    docs = [
+        (1, "He said: paris -- FRANCE!"), (2, "请问中国的首都是北京吗？是的"), (3, "中国的首都是上海吗"), (4, "私は東京に住んでいます"), (5, "ว่า คำตอบคือกรุงเทพ ครับ"),
+        (6, "it was 42."), (7, "parisian france 421 party start"), (8, "pari france"), (9, "中国的首都是南京吗"),
+    ]
+    df = lambda rows, name: spark.createDataFrame(rows, f"{name} long, text string")
+    got = {(r.doc_id, r.item_id): (r.edits, dict(docs)[r.doc_id].lower()[r.begin : r.end]) for r in decontaminate.contaminated(df(docs, "doc_id"), df(items, "item_id")).collect()}
+    assert got == {
+        (1, 1): (0, "paris -- france"), (2, 2): (0, "请问中国的首都是北京吗"), (4, 3): (0, "私は東京に住んでいます"), (5, 4): (0, "คำตอบคือกรุงเทพ"),
+        (6, 5): (0, "42"), (9, 2): (1, "中国的首都是南京吗"),
+    }
+    assert sorted(r.doc_id for r in decontaminate.keep_clean(df(docs, "doc_id"), df(items, "item_id")).collect()) == [3, 7, 8]
