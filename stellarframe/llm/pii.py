@@ -34,7 +34,9 @@ CONSONANTS = {"latin": "bdfgklmnprstv", "cyrillic": "бвгдклмнпрст",
 
 _OF_GIVEN = {n: gs for gs, names in GIVEN.items() for n in names}
 
-_NAME = r"\p{Lu}[\p{Ll}'’-]+"
+# a word of a name: inner capitals, apostrophes and hyphenated parts; a genitive 's is no part of it
+_INNER = r"[\p{L}\p{M}]|['’](?!s(?!\w))(?=\p{L})"
+_NAME = rf"\p{{Lu}}(?:{_INNER}|-(?=\p{{L}}))+"
 PATTERNS: list[tuple[str, str]] = [
     ("email", r"(?<![\w.+-])[\w.+-]*\w@(?:[\p{L}\p{N}](?:[\p{L}\p{N}-]*[\p{L}\p{N}])?\.)+\p{L}{2,}"),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){3,7}(?:[ ]?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
@@ -42,9 +44,10 @@ PATTERNS: list[tuple[str, str]] = [
     ("card", r"(?<![\w-])(?:\d{4}[ -]?){3}\d{1,7}(?!\w|-\d)"),
     ("ssn", r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"),
     ("phone", r"(?<![\w+])(?:\+\d{1,3}[ .-]?)(?:\(\d{1,4}\)[ .-]?)?\d(?:[ .-]?\d){5,12}(?!\d)|(?<![\w+])(?:\(\d{3}\)[ ]?|\d{3}[.-])\d{3}[.-]\d{4}(?!\d)"),
-    ("name", rf"(?<!\w)(?:{'|'.join(sorted(_OF_GIVEN, key=len, reverse=True))})(?:[ ]{_NAME}){{1,2}}(?!\w)|(?<!\w)(?:{'|'.join(TITLES)})\.?[ ]{_NAME}(?:[ ]{_NAME})?(?!\w)"),
+    ("name", rf"(?<!\w)(?:{'|'.join(sorted(_OF_GIVEN, key=len, reverse=True))})(?:-\p{{Lu}}\p{{L}}+)*(?:[ ]{_NAME}){{1,2}}(?!\w)|(?<!\w)(?:{'|'.join(TITLES)})\.?[ ]{_NAME}(?:[ ]{_NAME})?(?!\w)"),
 ]
 _FIND = regex.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS))
+_LONE = regex.compile(rf"(?<!\w)\p{{Lu}}(?:{_INNER})*(?!\w)")
 
 
 def _by_letter(words: list[str]) -> str:
@@ -65,7 +68,8 @@ def script_of(word: str) -> str:
 
 
 def parts(kind: str, found: str) -> list[tuple[str, str, int, int]]:
-    """(type, canonical form, start, end) of the entities in a match. The parts of a name are entities of their own."""
+    """(type, canonical form, start, end) of the entities in a match. The parts of a name, hyphenated ones too, are
+    entities of their own."""
     if kind == "email":
         return [("email", found.lower(), 0, len(found))]
     if kind == "iban":
@@ -76,19 +80,36 @@ def parts(kind: str, found: str) -> list[tuple[str, str, int, int]]:
         return [(kind, "".join(c for c in found if c.isdecimal()), 0, len(found))]
     out, at = [], 0
     for word in found.split(" "):
-        if word in _OF_GIVEN:
-            out.append(("given", word, at, at + len(word)))
-        elif word.rstrip(".") not in TITLES:
-            out.append(("surname", word.lower(), at, at + len(word)))
-        at += len(word) + 1
+        title = word.rstrip(".") in TITLES
+        for part in word.split("-"):
+            if part in _OF_GIVEN:
+                out.append(("given", part, at, at + len(part)))
+            elif not title:
+                out.append(("surname", part.lower(), at, at + len(part)))
+            at += len(part) + 1
     return out
 
 
 def entities(text: str | None) -> list[tuple[str, str, int, int]]:
-    """(type, canonical form, start, end) of all entities of the whole text, in order; code points, end exclusive."""
+    """(type, canonical form, start, end) of all entities of the whole text, in order; code points, end exclusive.
+
+    Given names and surnames found in full names count wherever they stand alone in the text as well, before or after.
+    """
     if not text or not ("@" in text or any(hint(text) for hint in _HINTS)):
         return []
-    return [(k, c, m.start() + s, m.start() + e) for m in _FIND.finditer(text) for k, c, s, e in parts(m.lastgroup, m.group())]
+    found = [(k, c, m.start() + s, m.start() + e) for m in _FIND.finditer(text) for k, c, s, e in parts(m.lastgroup, m.group())]
+    names = {(k, c) for k, c, _, _ in found if k in ("given", "surname")}
+    if not names:
+        return found
+    lone, at = [], 0
+    for m in _LONE.finditer(text):
+        while at < len(found) and found[at][3] <= m.start():
+            at += 1
+        if at == len(found) or found[at][2] >= m.end():
+            entity = next((x for x in (("given", m.group()), ("surname", m.group().lower())) if x in names), None)
+            if entity:
+                lone.append((*entity, m.start(), m.end()))
+    return sorted(found + lone, key=lambda x: x[2]) if lone else found
 
 
 def _draw(key: bytes, kind: str, canonical: str, attempt: int) -> Callable[[int], int]:
