@@ -211,6 +211,19 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_known(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = 0.0) -> DataFrame:
-    """docs without the rows that language identification rejects: no language, or a score under least. Columns stay."""
+    """docs without the rows that language identification rejects: no language, or a score under least. Columns stay.
+
+    With least = 0 only texts that are null, empty or without a letter go, whatever the score; so too where nothing could be
+    learned.
+    """
     model = fit(docs, id_col, text_col, lang_col)
+    if not model.families:
+        at = docs.columns.index(text_col)
+
+        def lettered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield b.filter(pa.array([features(t) is not None for t in b.column(at).to_pylist()], pa.bool_()))
+
+        common.arrow_rows(docs.sparkSession, 500)
+        return docs.mapInArrow(lettered, docs.schema)
     return predictions(docs, model, id_col, text_col).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(docs.columns)
