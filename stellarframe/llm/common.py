@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,34 +26,78 @@ def shared_dir(spark: SparkSession) -> str:
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     set_dir = spark.sparkContext.getCheckpointDir()
     if not set_dir:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="stellarframe-"))
+        own = tempfile.mkdtemp(prefix="stellarframe-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        spark.sparkContext.setCheckpointDir(own)
         set_dir = spark.sparkContext.getCheckpointDir()
     return set_dir.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    """A new path in this application's scratch folder, which is removed when the driver's Python ends."""
+    home = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
+    if home not in _HOMES:
+        _HOMES.add(home)
+        atexit.register(remove, spark, home)
+    return f"{home}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write df to the shared folder and read it again: cuts the lineage, and survives the loss of any executor."""
+_HOMES: set[str] = set()
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a scratch path, as far as the session still can."""
+    with contextlib.suppress(Exception):
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def _written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema.fields])).parquet(path)
+    return spark.read.schema(T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema.fields])).parquet(path), path
+
+
+def materialise(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write df to the shared folder and read it again: cuts the lineage, and survives the loss of any executor."""
+    return _written(df, name)[0]
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def arrow_rows(spark: SparkSession, rows: int) -> None:
-    """Bound the rows of an Arrow batch, so that batches of long texts stay small in Python workers."""
+def arrow_rows(spark: SparkSession, rows: int = 500) -> None:
+    """Lower the session's rows of an Arrow batch, so that batches of long texts stay small beside the heap; never raised.
+
+    The setting stays: what the operators return is lazy and runs later.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > rows:
         spark.conf.set(key, str(rows))
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in parts of so many rows at most, whatever the session's setting, so that little is in Python objects at once."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def connected_components(edges: DataFrame, u: str = "u", v: str = "v", rounds: int = 60) -> DataFrame:
     """(id, component) for every id of edges; component is the smallest id reachable.
 
@@ -55,9 +105,7 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", rounds: i
     aggregates and the joins are plain equi-joins, so a node with very many links is split by AQE, not gathered.
     Self-links, nulls and repeated links have no effect. Ids must be integers.
     """
-    now = materialise(
-        edges.where(F.col(u) != F.col(v)).select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).distinct(), "links"
-    )
+    now, path = _written(edges.where(F.col(u) != F.col(v)).select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).distinct(), "links")
     mark = lambda df: df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     seen = mark(now)
     for _ in range(rounds):
@@ -68,8 +116,9 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", rounds: i
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        after = materialise(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "links")
-        was, seen, now = seen, mark(after), after
+        after, fresh_path = _written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "links")
+        remove(now.sparkSession, path)
+        was, seen, now, path = seen, mark(after), after, fresh_path
         if seen == was:
             break
     else:
@@ -78,13 +127,13 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", rounds: i
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)
 
 
-def ranked(df: DataFrame, group: str, key: Column, order: list, name: str, buckets: int = 256) -> DataFrame:
+def ranked(df: DataFrame, group: str, key: Column, order: list, name: str, buckets: int | Column = 256) -> DataFrame:
     """Add name: a gapless rank from 0 within group, without ever gathering a group in one task.
 
     Rows of a group are dealt to buckets by a hash of key; only bucket counts are summed up in order. Rows with one
-    key share a bucket and are told apart by order.
+    key share a bucket and are told apart by order. buckets is how many there are, by group if it is a column.
     """
-    df = df.withColumn("_bucket", F.pmod(F.xxhash64(key, F.lit(7)), F.lit(buckets)).cast("int"))
+    df = df.withColumn("_bucket", F.pmod(F.xxhash64(key, F.lit(7)), buckets if isinstance(buckets, Column) else F.lit(buckets)).cast("long"))
     counts = df.groupBy(group, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy(group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = counts.select(F.col(group).alias("_group"), F.col("_bucket").alias("_at"), before.alias("_before"))
