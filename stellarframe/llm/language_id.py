@@ -10,7 +10,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from . import common
 
@@ -119,62 +118,110 @@ def train(x: np.ndarray, langs: list[str], family: dict[str, str] = FAMILY) -> M
     return Model(families, pairs(list(families), of), within)
 
 
-def _elect(names: list[str], machines: dict[tuple[str, str], np.ndarray], x: np.ndarray) -> tuple[str, float]:
-    """The name with the most votes, then the largest sum of margins; and how sure its closest duel was, 0.5 to 1."""
+def _elect(names: list[str], machines: dict[tuple[str, str], np.ndarray], x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of x the number of the name with the most votes, then the largest sum of margins; and how sure its
+    closest duel was, 0.5 to 1."""
     if len(names) == 1:
-        return names[0], 1.0
-    votes, margin, least = dict.fromkeys(names, 0), dict.fromkeys(names, 0.0), dict.fromkeys(names, np.inf)
-    for p, q in itertools.combinations(names, 2):
-        w = machines[p, q]
-        m = float(x @ w[:-1] + w[-1])
-        votes[p if m >= 0 else q] += 1
-        for n, v in ((p, m), (q, -m)):
-            margin[n] += v
-            least[n] = min(least[n], v)
-    best = max(names, key=lambda n: (votes[n], margin[n]))
-    return best, 1 / (1 + float(np.exp(-3 * np.clip(least[best], -20, 20))))
+        return np.zeros(len(x), np.int64), np.ones(len(x))
+    votes, margin, least = np.zeros((len(x), len(names))), np.zeros((len(x), len(names))), np.full((len(x), len(names)), np.inf)
+    duels = list(itertools.combinations(range(len(names)), 2))
+    w = np.stack([machines[names[i], names[j]] for i, j in duels])
+    m = x @ w[:, :-1].T + w[:, -1]
+    for k, (i, j) in enumerate(duels):
+        for n, v, won in ((i, m[:, k], m[:, k] >= 0), (j, -m[:, k], m[:, k] < 0)):
+            votes[:, n] += won
+            margin[:, n] += v
+            least[:, n] = np.minimum(least[:, n], v)
+    best = np.where(votes == votes.max(axis=1, keepdims=True), margin, -np.inf).argmax(axis=1)
+    return best, 1 / (1 + np.exp(-3 * np.clip(least[np.arange(len(x)), best], -20, 20)))
+
+
+def predict_all(model: Model, texts: list[str | None]) -> tuple[list[str], list[float]]:
+    """Languages and scores of whole texts; a score is the less sure of the two steps. No letter: ("und", 0)."""
+    langs, scores = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
+    found = [(i, x) for i, t in enumerate(texts) if (x := features(t)) is not None] if model.families else []
+    if found:
+        at, x = np.array([i for i, _ in found]), np.stack([x for _, x in found]).astype(np.float64)
+        names = list(model.families)
+        family, sure = _elect(names, model.between, x)
+        for f in np.unique(family):
+            rows, inside = np.flatnonzero(family == f), model.families[names[f]]
+            lang, here = _elect(inside, model.within, x[rows])
+            langs[at[rows]] = np.array(inside, object)[lang]
+            scores[at[rows]] = np.round(np.minimum(sure[rows], here), 9)  # the last digits depend on the batch
+    return langs.tolist(), scores.tolist()
 
 
 def predict(model: Model, text: str | None) -> tuple[str, float]:
-    """(language, score) of a whole text; score is the less sure of the two steps. No letter: ("und", 0)."""
-    x = features(text) if model.families else None
-    if x is None:
-        return UNKNOWN, 0.0
-    family, sure = _elect(list(model.families), model.between, x)
-    lang, here = _elect(model.families[family], model.within, x)
-    return lang, min(sure, here)
+    """(language, score) of a whole text."""
+    langs, scores = predict_all(model, [text])
+    return langs[0], scores[0]
+
+
+#: Steps of the hash threshold for each halving: a sample is at most a quarter larger than it has to be before it is cut.
+STEPS = 4
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
     """Learn from text and language of the rows that are not held out, on a sample of at most `sample` rows.
 
-    Rows are drawn by a hash of their id, as many of each language; the texts of the drawn rows are read whole and turned
-    into features on the executors, so the driver gets sample x DIM numbers at most.
+    Rows are drawn by a hash of their id, as many of each language: partial aggregates count the ids by language and size of
+    hash, the counts give each language a threshold, and rows beyond it are passed over where they are read. The drawn texts
+    are read whole and become features on the executors; one task, which sees no more than about the sample, trains, and
+    only weights come to the driver. Of more than `sample` languages, that many are learned; rows with a null id are not learned from.
     """
+    common.arrow_rows(docs.sparkSession)
     spark = docs.sparkSession
-    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(F.col(id_col)))
-    langs = [r[0] for r in rows.select(lang_col).distinct().limit(sample).collect()]
-    if not langs:
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    rows = rows.where(F.col("id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("id"))).withColumn("h", F.xxhash64("id"))
+    small = F.greatest(F.col("h").bitwiseAND(F.lit((1 << 63) - 1)), F.lit(1))
+    rows = rows.withColumn("rank", F.floor(STEPS * (63 - F.log2(small))).cast("int"))
+    counts = rows.groupBy("lang", "rank").agg(F.approx_count_distinct("h").alias("n")).limit(63 * STEPS * sample).collect()
+    by: dict[str, dict[int, int]] = {}
+    for r in counts:
+        by.setdefault(r["lang"], {})[r["rank"]] = r["n"]
+    if not by:
         return Model({}, {}, {})
-    each = max(1, sample // len(langs))
-    order = Window.partitionBy(lang_col).orderBy(F.xxhash64(id_col), id_col)
-    drawn = rows.select(id_col, lang_col).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= each).select(F.col(id_col).alias("_id")).distinct()
-    drawn = F.broadcast(common.materialise(drawn, "sample"))  # sample ids at most
-    common.arrow_rows(spark, 500)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    by = dict(sorted(by.items())[:sample])
+    each = max(1, sample // len(by))
+    least = []
+    for lang, n in by.items():
+        rank, got = max(n), 0
+        while rank >= 0 and (got := got + n.get(rank, 0)) < 1.3 * each:  # the counts are within some per cent
+            rank -= 1
+        least.append((lang, max(rank, 0)))
+    limits = F.broadcast(spark.createDataFrame(least, "lang string, least int"))  # `sample` rows at most
+    drawn = rows.join(limits, "lang").where(F.col("rank") >= F.col("least")).select("lang", "h", "text")
+
+    def features_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in common.slices(batches):
+            xs = [(n, h, x) for n, h, t in zip(*(c.to_pylist() for c in b.columns), strict=True) if (x := features(t)) is not None]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([n for n, _, _ in xs], pa.string()), pa.array([h for _, h, _ in xs], pa.int64()), pa.array([x.tobytes() for _, _, x in xs], pa.binary())], ["lang", "h", "x"]
+            )
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of: dict[str, list[tuple[int, bytes]]] = {}
         for b in batches:
-            xs = [(n, x) for t, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if (x := features(t)) is not None]
-            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in xs], pa.string()), pa.array([x.tobytes() for _, x in xs], pa.binary())], ["lang", "x"])
-
-    texts = rows.join(drawn, rows[id_col].eqNullSafe(drawn["_id"]), "left_semi").select(text_col, lang_col)
-    got = texts.mapInArrow(run, "lang string, x binary").limit(2 * sample).toArrow()
-    if not got.num_rows:
-        return Model({}, {}, {})
-    x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float32).reshape(got.num_rows, -1)
-    langs = got.column("lang").to_pylist()
-    at = sorted(range(len(langs)), key=lambda i: (langs[i], x[i].tobytes()))  # the order of rows is not fixed; the model is
-    return train(x[at], [langs[i] for i in at])
+            for n, h, x in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                of.setdefault(n, []).append((h & ((1 << 63) - 1), x))
+        got = [(n, x) for n in sorted(of) for _, x in sorted(of[n])[:each]]
+        if got:
+            model = train(np.frombuffer(b"".join(x for _, x in got), np.float32).reshape(len(got), -1), [n for n, _ in got])
+            rows = [("lang", n, None, None) for names in model.families.values() for n in names]
+            rows += [(step, *pair, w.tobytes()) for step in ("between", "within") for pair, w in getattr(model, step).items()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.string(),) * 3 + (pa.binary(),), strict=True)], ["step", "p", "q", "w"])
+
+    # an id that is there often counts once
+    samples = drawn.mapInArrow(features_of, "lang string, h long, x binary").groupBy("lang", "h").agg(F.min("x").alias("x"))
+    learned = samples.repartition(1).mapInArrow(learn, "step string, p string, q string, w binary").collect()
+    model, names = Model({}, {}, {}), sorted(r["p"] for r in learned if r["step"] == "lang")
+    for f in sorted({FAMILY.get(n, n) for n in names}):
+        model.families[f] = [n for n in names if FAMILY.get(n, n) == f]
+    for r in learned:
+        if r["w"] is not None:
+            getattr(model, r["step"])[r["p"], r["q"]] = np.frombuffer(bytes(r["w"]), np.float64)
+    return model
 
 
 def held_out(key):
@@ -183,16 +230,16 @@ def held_out(key):
 
 
 def predictions(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs' columns and lang_pred, score for each row, from the whole text alone."""
-    common.arrow_rows(docs.sparkSession, 500)
+    """docs' columns and lang_pred, score for each row, from the whole text alone; columns of these names are replaced."""
+    common.arrow_rows(docs.sparkSession)
     docs = docs.select([c for c in docs.columns if c not in ("lang_pred", "score")])
     at = docs.columns.index(text_col)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            said = [predict(model, t) for t in b.column(at).to_pylist()]
-            more = [pa.array([n for n, _ in said], pa.string()), pa.array([s for _, s in said], pa.float64())]
+        for b in common.slices(batches):
+            langs, scores = predict_all(model, b.column(at).to_pylist())
+            more = [pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
             yield pa.RecordBatch.from_arrays([*b.columns, *more], [*b.schema.names, "lang_pred", "score"])
 
     return docs.mapInArrow(run, f"{fields}, lang_pred string, score double")
@@ -213,17 +260,19 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def keep_known(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = 0.0) -> DataFrame:
     """docs without the rows that language identification rejects: no language, or a score under least. Columns stay.
 
-    With least = 0 only texts that are null, empty or without a letter go, whatever the score; so too where nothing could be
+    Columns keep their values whatever their names. With least = 0 only texts that are null, empty or without a letter go, whatever the score; so too where nothing could be
     learned.
     """
     model = fit(docs, id_col, text_col, lang_col)
-    if not model.families:
-        at = docs.columns.index(text_col)
+    at = docs.columns.index(text_col)
 
-        def lettered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                yield b.filter(pa.array([features(t) is not None for t in b.column(at).to_pylist()], pa.bool_()))
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in common.slices(batches):
+            texts = b.column(at).to_pylist()
+            if model.families:
+                said = [n != UNKNOWN and s >= least for n, s in zip(*predict_all(model, texts), strict=True)]
+            else:
+                said = [features(t) is not None for t in texts]
+            yield b.filter(pa.array(said, pa.bool_()))
 
-        common.arrow_rows(docs.sparkSession, 500)
-        return docs.mapInArrow(lettered, docs.schema)
-    return predictions(docs, model, id_col, text_col).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(docs.columns)
+    return docs.mapInArrow(keep, docs.schema)
