@@ -28,8 +28,8 @@ from . import common
 LEAST_WORDS = 5
 #: Edits that a part of an item may have at most: its band of diagonals then fits a machine word.
 PART_EDITS = 47
-#: Bits of the hash of a piece. Classes that characters are put in for the banded distance; two in one class only let more pass.
-BITS, CLASSES = 18, 64
+#: Classes that characters are put in for the banded distance; two in one class only let more pass.
+CLASSES = 64
 #: Characters of text searched at a time; places measured at a time.
 CHUNK, PLACES = 64_000, 4096
 #: Bytes and rows of items that one pass over the documents takes along; more items are taken in further passes.
@@ -109,30 +109,37 @@ def _pieces(points: np.ndarray, q: int) -> np.ndarray:
     for j in range(q):
         h *= np.uint32(0x01000193 * 8 + 5)
         h += points[j : j + n]
+    return h
+
+
+def _twos(points: np.ndarray) -> np.ndarray:
+    """Two characters from each place on as one number; further characters may share a number."""
+    return points[:-1] * np.uint32(0x9E3779B1) + points[1:] * np.uint32(0x85EBCA6B)
+
+
+def _keys(pieces: np.ndarray, twos: np.ndarray | None, bits: int) -> np.ndarray:
+    h = pieces * np.uint32(0xC2B2AE35) if twos is None else pieces * np.uint32(0xC2B2AE35) + twos
     h ^= h >> np.uint32(15)
     h *= np.uint32(0x9E3779B1)
-    return h >> np.uint32(32 - BITS)
+    h >>= np.uint32(32 - bits)
+    return h
 
 
 class Pieces(NamedTuple):
-    """Every other piece of q characters of some parts, from the first or the second on, by hash: where a hash's pieces start and how many they are; each one's
-    part and place. near, far: the two characters of its neighbour next to it and furthest from it, as one number, and how
-    far from the piece they start; near is -1 for a piece without neighbour."""
+    """Some pieces of q characters by a hash of the piece and two characters of its neighbour: whether a hash has
+    pieces, where they start and how many they are; each one's part and place. offsets: how far from a piece in the text the two characters may start; None
+    for pieces that count by themselves. unless: pieces whose neighbour has these two characters at unless_at have been
+    counted already."""
 
     q: int
+    offsets: tuple
+    any: np.ndarray
     first: np.ndarray
     many: np.ndarray
     part: np.ndarray
     place: np.ndarray
-    near: np.ndarray
-    near_at: int
-    far: np.ndarray
-    far_at: int
-
-
-def _twos(points: np.ndarray) -> np.ndarray:
-    """Two characters from each place on as one number of 31 bits; further characters may share a number."""
-    return ((points[:-1] * np.uint32(0x9E37) + points[1:]) & np.uint32(0x7FFFFFFF)).astype(np.int32)
+    unless: np.ndarray | None
+    unless_at: int
 
 
 class Matcher:
@@ -153,31 +160,53 @@ class Matcher:
                 at.append(lo)
                 length.append(hi - lo)
                 edits.append(most // n)
-                q.append(next((x for x in (6, 5, 4, 3, 2) if (hi - lo) // x > most // n), 1))
+                # the longest pieces of which some more than one must stand, or one at least
+                q.append(next((x for more in (2, 0) for x in (8, 7, 6, 5, 4, 3, 2) if (hi - lo) // x > most // n + more), 1))
                 cut.append(text[lo:hi])
         self._item, self._at, self._length, self._edits = (np.array(x, np.int64) for x in (item, at, length, edits))
         q = np.array(q, np.int64)
-        self._need = np.maximum(1, self._length // np.maximum(q, 1) - self._edits)
+        many = self._length // np.maximum(q, 1)
+        # the last piece of an odd number has no neighbour: it is left out where enough others are needed
+        lone = (q < 4) | (many % 2 == 1) & (many - self._edits < 3)
+        self._need = np.maximum(1, many - (many % 2) * ~lone - self._edits)
         self._width = self._edits + 1  # of a bin of diagonals: any edits + 1 of them are in two bins
         self._longest = int(self._length.max(initial=0))
-        self._pieces = [self._table(int(x), odd, np.flatnonzero(q == x), cut) for x in np.unique(q) for odd in (0, 1)]
+        self._bits = int(np.clip(np.ceil(np.log2(1 + many.sum() / 2)) + 5, 16, 22))
+        self._pieces = [t for x in np.unique(q) for t in self._tables(int(x), np.flatnonzero(q == x), cut, lone)]
         self._words = (63 + self._longest + 64) // 64 + 3
         self._masks = self._mask_table(cut)
 
-    def _table(self, q: int, odd: int, parts: np.ndarray, cut: list[str]) -> Pieces:
-        many = [len(cut[p]) // q for p in parts]
-        places = [np.arange(odd, n, 2) * q for n in many]
-        keys = np.concatenate([_pieces(_points(cut[p]), q)[x] for p, x in zip(parts, places, strict=True)])
-        order = np.argsort(keys, kind="stable")
-        first = np.searchsorted(keys[order], np.arange((1 << BITS) + 1)).astype(np.int32)
-        near_at, far_at = (-2, -q) if odd else (q, 2 * q - 2)  # the neighbour comes before pieces 1, 3, ..., after the others
-        near, far = [], []
-        for p, x, n in zip(parts, places, many, strict=True):
-            two = np.r_[_twos(_points(cut[p])), np.int32(0)]
-            near.append(np.where((q < 4) | (not odd) & (x // q == n - 1), -1, two.take(x + near_at, mode="clip")))
-            far.append(two.take(x + far_at, mode="clip"))
-        part, place, near, far = (np.concatenate(x)[order].astype(np.int32) for x in ([np.full(len(x), p) for p, x in zip(parts, places, strict=True)], places, near, far))
-        return Pieces(q, first[:-1], np.diff(first), part, place, near, near_at, far, far_at)
+    def _tables(self, q: int, parts: np.ndarray, cut: list[str], lone: np.ndarray) -> list[Pieces]:
+        """The pieces of parts: those that count by themselves, and pairs of neighbours both ways. A neighbour within an edit
+        has the two characters next to the piece in their place, or those furthest from it at most one place off."""
+        rows: dict[str, list[tuple]] = {"alone": [], "after": [], "before": []}
+        for p in parts:
+            points = _points(cut[p])
+            h, two, n = _pieces(points, q), _twos(points), len(cut[p]) // q
+            for k in range(n):
+                at = k * q
+                if q < 4 or (n % 2 and k == n - 1):
+                    if q < 4 or lone[p]:
+                        rows["alone"].append((p, at, h[at], 0, 0))
+                elif k % 2:
+                    rows["before"].append((p, at, h[at], two[at - 2], two[at - q]))
+                else:
+                    rows["after"].append((p, at, h[at], two[at + q], two[at + 2 * q - 2]))
+        out = []
+        for kind, got in rows.items():
+            if not got:
+                continue
+            part, place = (np.array([r[c] for r in got], np.int32) for c in (0, 1))
+            h, near, far = (np.array([r[c] for r in got], np.uint32) for c in (2, 3, 4))
+            near_at, far_at = (q, 2 * q - 2) if kind == "after" else (-2, -q)
+            sorts = [((), None, None, 0)] if kind == "alone" else [((near_at,), near, None, 0), ((far_at - 1, far_at, far_at + 1), far, near, near_at)]
+            for offsets, two, unless, unless_at in sorts:
+                keys = _keys(h, two, self._bits)
+                order = np.argsort(keys, kind="stable")
+                first = np.searchsorted(keys[order], np.arange((1 << self._bits) + 1)).astype(np.int32)
+                many = np.diff(first)
+                out.append(Pieces(q, offsets, many > 0, first[:-1], many, part[order], place[order], None if unless is None else unless[order], unless_at))
+        return out
 
     def _mask_table(self, cut: list[str]) -> np.ndarray:
         """For each part and class of characters, the places of the class: 63 that any character fits, the part, any again."""
@@ -198,31 +227,41 @@ class Matcher:
         base = np.cumsum(counts) - counts
         shift, scale = (base + lead // self._width).astype(np.float64), 1.0 / self._width
         shift += (lead % self._width + 0.5) * scale  # bin = base + (diagonal + lead) // width
-        bins = np.zeros(int(counts.sum()), np.int16)
-        two = np.r_[_twos(points), np.int32(0)]
+        two, pieces, hits, places = _twos(points), {}, [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
         for t in self._pieces:
-            keys = _pieces(points, t.q)
-            many = t.many.take(keys)
-            at = np.flatnonzero(many)
-            many, keys = many[at], keys[at]
-            ends = np.cumsum(many)
-            which = np.repeat(t.first.take(keys) - (ends - many), many)
-            which += np.arange(len(which))
-            if t.q >= 4:
-                near, far = t.near.take(which), t.far.take(which)
-                ok = near < 0
-                ok |= np.repeat(two.take(at + t.near_at, mode="clip"), many) == near
-                for d in (-1, 0, 1):
-                    ok |= np.repeat(two.take(at + (t.far_at + d), mode="clip"), many) == far
-                ok = np.flatnonzero(ok)
-                which, at = which.take(ok), np.repeat(at, many).take(ok)
-            else:
+            h = pieces[t.q] = pieces[t.q] if t.q in pieces else _pieces(points, t.q)
+            for off in t.offsets or (None,):
+                lo, hi = (0, len(h)) if off is None else (max(0, -off), min(len(h), len(two) - off))
+                if lo >= hi:
+                    continue
+                keys = _keys(h[lo:hi], None if off is None else two[lo + off : hi + off], self._bits)
+                at = np.flatnonzero(t.any.take(keys))
+                if not len(at):
+                    continue
+                keys = keys[at]
+                many = t.many.take(keys)
+                at += lo
+                ends = np.cumsum(many)
+                which = np.repeat(t.first.take(keys) - (ends - many), many)
+                which += np.arange(len(which))
                 at = np.repeat(at, many)
-            part = t.part.take(which)
-            hit = ((at - t.place.take(which)) * scale.take(part) + shift.take(part)).astype(np.int64)
-            bins += np.minimum(np.bincount(hit, minlength=len(bins)), 10000).astype(np.int16)
+                if t.unless is not None:
+                    new = np.flatnonzero(two.take(at + t.unless_at, mode="clip") != t.unless.take(which))
+                    which, at = which.take(new), at.take(new)
+                part, place = t.part.take(which), t.place.take(which)
+                places.append(place)
+                hits.append(((at - place) * scale.take(part) + shift.take(part)).astype(np.int64))
+        hit, place, total = np.concatenate(hits), np.concatenate(places), int(counts.sum())
+        bins = np.minimum(np.bincount(hit, minlength=total), 10000).astype(np.int16)
         least = np.repeat(np.minimum(self._need, 10000).astype(np.int16), counts)[:-1]
         found = np.flatnonzero(bins[:-1] + bins[1:] >= least)
+        # a piece that is met several times in a bin stands for one
+        near = np.zeros(total, bool)
+        near[found] = near[found + 1] = True
+        some = np.flatnonzero(near.take(hit))
+        one = np.unique(hit.take(some) * (self._longest + 1) + place.take(some)) // (self._longest + 1)
+        bins = np.bincount(one, minlength=total)
+        found = found[bins[found] + bins[found + 1] >= least[found]]
         part = np.searchsorted(base, found, "right") - 1
         start = (found - base[part]) * self._width[part] - lead
         # as many bands of 64 diagonals as hold all runs of a bin's width that start in the bin
@@ -234,10 +273,13 @@ class Matcher:
     def _within(self, classes: np.ndarray, part: np.ndarray, start: np.ndarray) -> np.ndarray:
         """Which places hold the part with its edits on the 64 diagonals from start: bit-parallel, banded."""
         one, top = np.uint64(1), np.uint64(63)
-        vp, vn = np.zeros(len(part), np.uint64), np.zeros(len(part), np.uint64)
-        score = np.zeros(len(part), np.uint64)
+        vp, vn, score = (np.zeros(len(part), np.uint64) for _ in range(3))
         row, words = part * (CLASSES * self._words), np.int64(self._words)
-        for j in range(int(self._length[part].max()) + 63):
+        out, alive = np.zeros(len(part), bool), np.arange(len(part))
+        shortest, steps = int(self._length[part].min(initial=0)), int(self._length[part].max(initial=0)) + 63
+        # a column whose least value is over the edits ends the search there: most places that only look alike go early
+        checks = {63 + shortest * k // 10 for k in (4, 6)} | {steps - 1}
+        for j in range(steps):
             x = classes.take(start + j) * words
             x += row
             x += j >> 6
@@ -260,12 +302,18 @@ class Matcher:
             vn = d0 & hp
             d0 |= hp
             vp |= ~d0
-        score = score.astype(np.int64)
-        best = score.copy()
-        for b in range(62, -1, -1):
-            score += ((vn >> np.uint64(b)) & one).astype(np.int64) - ((vp >> np.uint64(b)) & one).astype(np.int64)
-            np.minimum(best, score, out=best)
-        return best <= self._edits[part]
+            if j in checks:
+                here = score.astype(np.int64)
+                best = here.copy()
+                for b in range(62, -1, -1):
+                    here += ((vn >> np.uint64(b)) & one).astype(np.int64) - ((vp >> np.uint64(b)) & one).astype(np.int64)
+                    np.minimum(best, here, out=best)
+                keep = best <= self._edits[part]
+                part, start, row, vp, vn, score, alive = (a[keep] for a in (part, start, row, vp, vn, score, alive))
+                if not len(alive):
+                    return out
+        out[alive] = True
+        return out
 
     def places(self, text: str) -> list[tuple[int, int, int]]:
         """(item, begin, end) of the stretches of text that may hold the item; any that does lies in one of them whole."""
@@ -274,20 +322,23 @@ class Matcher:
         points = _points(text)
         classes = np.zeros(len(points) + 3 * lead + 64, np.int64)
         classes[lead : lead + len(points)] = self._class[points]
+        parts, starts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for at in range(0, len(points), CHUNK):
             # a part that starts before CHUNK more characters ends within twice its length
             part, start = self._near(points[at : at + CHUNK + 2 * self._longest], lead)
-            start += at
-            order = np.argsort(self._length[part], kind="stable")
-            for i in range(0, len(order), PLACES):
-                some = order[i : i + PLACES]
-                p, s = part[some], np.clip(start[some], -lead, len(points))
-                ok = self._within(classes, p, s + lead)
-                p, s = p[ok], s[ok]
-                most = np.array(self._most, np.int64)[self._item[p]]
-                size = np.array([len(t) for t in self.items.texts], np.int64)[self._item[p]]
-                lo, hi = s - self._at[p] - most, s + 64 + size - self._at[p] + most
-                out += zip(self._item[p].tolist(), np.maximum(lo, 0).tolist(), np.minimum(hi, len(points)).tolist(), strict=True)
+            parts.append(part)
+            starts.append(start + at)
+        part, start = np.concatenate(parts), np.concatenate(starts)
+        sizes = np.array([len(t) for t in self.items.texts], np.int64)
+        order = np.argsort(self._length[part], kind="stable")
+        for i in range(0, len(order), PLACES):
+            some = order[i : i + PLACES]
+            p, s = part[some], np.clip(start[some], -lead, len(points))
+            ok = self._within(classes, p, s + lead)
+            p, s = p[ok], s[ok]
+            most, size = np.array(self._most, np.int64)[self._item[p]], sizes[self._item[p]]
+            lo, hi = s - self._at[p] - most, s + 64 + size - self._at[p] + most
+            out += zip(self._item[p].tolist(), np.maximum(lo, 0).tolist(), np.minimum(hi, len(points)).tolist(), strict=True)
         joined: list[tuple[int, int, int]] = []
         for k, lo, hi in sorted(out):
             if joined and joined[-1][0] == k and lo <= joined[-1][2]:
@@ -334,44 +385,71 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     Documents stay where they are: each task compares its rows with all items. Items of more than ITEM_BYTES are
     taken in blocks of about that size, one pass over the documents for each, so what is sent along is bounded.
     """
-    spark = docs.sparkSession
-    common.arrow_rows(spark, 500)
-    rows = items.select(F.col(item_col), F.col(item_text_col).alias("_t")).where("_t is not null")
-    size, many = rows.agg(F.sum(F.octet_length("_t")), F.count("_t")).first()
-    blocks = max(1, math.ceil((size or 0) / ITEM_BYTES), math.ceil(many / ITEM_ROWS))
+    common.arrow_rows(docs.sparkSession)
     item_kind, kind = items.schema[item_col].dataType.simpleString(), docs.schema[id_col].dataType.simpleString()
     item_type = to_arrow_type(items.schema[item_col].dataType)
     schema = f"`{id_col}` {kind}, `{item_col}` {item_kind}, edits int, begin int, end int"
     texts = docs.select(F.col(id_col), F.col(text_col))
     out = None
-    for block in range(blocks):
-        part = rows.where(F.pmod(F.xxhash64(item_col, "_t"), F.lit(blocks)) == block)
-        found = texts.mapInArrow(_search(sorted(map(tuple, part.collect()), key=repr), similarity, id_col, item_col, item_type), schema)
+    for rows in item_blocks(items, item_col, item_text_col):
+        found = texts.mapInArrow(_search(rows, similarity, id_col, item_col, item_type), schema)
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def _search(rows: list[tuple], similarity: float, id_name: str, item_name: str, item_type: pa.DataType, chars: int = 1_000_000):
+def item_blocks(items: DataFrame, item_col: str, item_text_col: str) -> list[list[tuple]]:
+    """The items (id, text) in blocks of about ITEM_BYTES and ITEM_ROWS, by a hash: one block at least."""
+    rows = items.select(F.col(item_col), F.col(item_text_col).alias("_t")).where("_t is not null")
+    size, many = rows.agg(F.sum(F.octet_length("_t")), F.count("_t")).first()
+    blocks = max(1, math.ceil((size or 0) / ITEM_BYTES), math.ceil(many / ITEM_ROWS))
+    return [sorted(map(tuple, rows.where(F.pmod(F.xxhash64(item_col, "_t"), F.lit(blocks)) == k).collect()), key=repr) for k in range(blocks)]
+
+
+def _groups(texts: list[str | None], chars: int = 1_000_000) -> Iterator[tuple[int, int]]:
+    """(start, end) of as many texts at a time as hold about `chars` characters."""
+    start = held = 0
+    for row, t in enumerate(texts):
+        held += len(t or "")
+        if held >= chars or row + 1 == len(texts):
+            yield start, row + 1
+            start, held = row + 1, 0
+
+
+def _search(rows: list[tuple], similarity: float, id_name: str, item_name: str, item_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(prepare(rows), similarity)
         ids = matcher.items.ids
-        for b in batches:
+        for b in common.slices(batches):
             texts = b.column(1).to_pylist()
-            start = held = 0
-            for row, t in enumerate(texts):  # as many rows at a time as hold about `chars` characters
-                held += len(t or "")
-                if held < chars and row + 1 < len(texts):
-                    continue
-                found = matcher.find_all(texts[start : row + 1])
+            for start, end in _groups(texts):
+                found = matcher.find_all(texts[start:end])
                 cols = [b.column(0).take(pa.array([start + f[0] for f in found], pa.int64())), pa.array([ids[f[1]] for f in found], item_type)]
                 cols += [pa.array([f[c] for f in found], pa.int32()) for c in (2, 3, 4)]
                 yield pa.RecordBatch.from_arrays(cols, [id_name, item_name, "edits", "begin", "end"])
-                start, held = row + 1, 0
 
     return run
 
 
-def keep_clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """docs without those that hold an item. Columns and repeated rows stay; a null id is never dropped."""
-    bad = contaminated(docs, items, id_col, text_col, item_col, item_text_col).select(id_col).distinct()
-    return docs.join(bad, id_col, "left_anti").select(docs.columns)
+def keep_clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", similarity: float = 0.8) -> DataFrame:
+    """docs without the rows whose text holds an item, found as contaminated() does. Columns and repeated rows stay.
+
+    Each row is judged by its own text, so ids that are null or repeat make no difference; texts are not moved.
+    """
+    common.arrow_rows(docs.sparkSession)
+    at = docs.columns.index(text_col)
+
+    def without(rows: list[tuple]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            matcher = Matcher(prepare(rows), similarity)
+            for b in common.slices(batches):
+                texts = b.column(at).to_pylist()
+                clean = np.ones(len(texts), bool)
+                for start, end in _groups(texts):
+                    clean[[start + f[0] for f in matcher.find_all(texts[start:end])]] = False
+                yield b.filter(pa.array(clean))
+
+        return run
+
+    for rows in item_blocks(items, item_col, item_text_col):
+        docs = docs.mapInArrow(without(rows), docs.schema)
+    return docs
