@@ -20,7 +20,7 @@ from . import common, tokens
 
 END = b"\0\0\0\0"
 #: Rows of one length that are ranked in one hash bucket.
-BUCKET_ROWS = 50_000
+BUCKET_ROWS = 2_000
 
 
 def cut(length: int, room: int) -> list[tuple[int, int]]:
@@ -32,7 +32,7 @@ def cut(length: int, room: int) -> list[tuple[int, int]]:
 def _pieces(path: str, room: int, id_name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokens.encoder(path)
-        for b in batches:
+        for b in common.slices(batches):
             rows: tuple[list, ...] = ([], [], [], [], [])
             ids = b.column(0).to_pylist()
             for i, t in zip(ids, b.column(1).to_pylist(), strict=True):
@@ -131,15 +131,14 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", room:
     other, extra columns are ignored, an empty table gives no rows. Only the histogram of lengths (at most room entries)
     comes to the driver.
     """
-    spark = docs.sparkSession
-    common.arrow_rows(spark, 500)
+    common.arrow_rows(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long"
     cut_up = common.materialise(docs.select(id_col, text_col).mapInArrow(_pieces(tokens.vocabulary_path(vocabulary), room, id_col), schema), "pieces")
     histogram = {r["length"]: r["n"] for r in cut_up.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     places = _places(plan(histogram, room))
-    buckets = 1 + max(histogram.values(), default=0) // BUCKET_ROWS
+    buckets = F.get(F.array(*(F.lit(1 + histogram.get(n, 0) // BUCKET_ROWS) for n in range(room + 1))), F.col("length").cast("int"))
     order = [id_col, "piece", "ids_crc32"]
-    ranks = common.ranked(cut_up, "length", F.struct(id_col, "piece"), order, "_rank_in_length", buckets)
+    ranks = common.ranked(cut_up, "length", F.struct(*order), order, "_rank_in_length", buckets)
     ranks = ranks.select(id_col, "piece", "start", "length", "ids_crc32", "_rank_in_length")
     return ranks.mapInArrow(_place(places), f"{schema}, sequence_id long, offset long")

@@ -1,8 +1,8 @@
 """Token counts by distinct pre-token.
 
 Documents are gathered in blocks. A block turns its texts into per-document pre-token frequencies over its own sorted
-list of pre-tokens. The lists meet by hash bucket; there each distinct pre-token is counted once, whatever the number of
-blocks that hold it, and only the counts go back. A document's tokens are the sum of frequency times count: ids are
+list of pre-tokens. The lists of a hash bucket pass through one task one after the other; there each distinct pre-token is counted
+once, whatever the number of blocks that hold it, and only the counts go back. A document's tokens are the sum of frequency times count: ids are
 never laid out for a document.
 """
 
@@ -23,6 +23,8 @@ from . import common, tokens
 
 #: Characters of text in a block: what a task holds as frequencies at once (a longer document is a block of its own).
 BLOCK_CHARS = 8_000_000
+#: Distinct pre-tokens of a bucket whose counts are held at once; where it has more, some are counted again.
+WORDS = 2_000_000
 
 
 def _pack(parts: list[bytes], level: int = 3) -> bytes:
@@ -109,7 +111,7 @@ def _frequencies(path: str, buckets: int, id_type: pa.DataType, room: int):
                 ["block", "bucket", "words", "ids", "n_bytes", "sizes", "at", "freq"],
             )
 
-        for b in batches:
+        for b in common.slices(batches):
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 text = t or ""
                 found = Counter(split(text))
@@ -132,14 +134,24 @@ def _frequencies(path: str, buckets: int, id_type: pa.DataType, room: int):
 
 
 def _count_pieces(path: str):
-    """Pieces of each distinct pre-token of a bucket, once; to each block the counts of its list."""
+    """Pieces of each distinct pre-token, to each block's list of them. Lists come ordered by bucket, one at a time; a
+    bucket's pre-tokens keep their counts until the next bucket, so each is counted once."""
 
-    def run(group: pa.Table) -> pa.Table:
-        encode = tokens.encoder(path)
-        lists = [_unpack(w) for w in group.column("words").to_pylist()]
-        n = {p: len(encode(p.decode("utf-8", "surrogatepass"))) // 4 for p in set().union(*lists)}
-        counts = [zlib.compress(np.fromiter((n[p] for p in ps), "<u4", len(ps)).tobytes(), 1) for ps in lists]
-        return pa.table({"block": group.column("block"), "bucket": group.column("bucket"), "counts": pa.array(counts, pa.binary())})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces, bucket, n = tokens.encoder(path).pieces, None, {}
+        for b in common.slices(batches, 16):
+            counts = []
+            for at, words in zip(b.column("bucket").to_pylist(), b.column("words"), strict=True):
+                if at != bucket:
+                    bucket, n = at, {}
+                ps = _unpack(words.as_py())
+                for p in ps:
+                    if p not in n:
+                        n[p] = pieces(p.decode("utf-8", "surrogatepass"))
+                counts.append(zlib.compress(np.fromiter((n[p] for p in ps), "<u4", len(ps)).tobytes(), 1))
+                if len(n) > WORDS:
+                    n.clear()
+            yield pa.RecordBatch.from_arrays([b.column("block"), b.column("bucket"), pa.array(counts, pa.binary())], ["block", "bucket", "counts"])
 
     return run
 
@@ -178,14 +190,13 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     from pyspark.sql.pandas.types import to_arrow_type
 
     spark = docs.sparkSession
-    common.arrow_rows(spark, 500)
+    common.arrow_rows(spark)
     path, buckets = tokens.vocabulary_path(vocabulary), common.shuffle_partitions(spark)
     kind = docs.schema[id_col].dataType
     id_type = to_arrow_type(kind)
     found = common.materialise(docs.select(id_col, text_col).mapInArrow(_frequencies(path, buckets, id_type, block_chars), _FREQ), "frequencies")
-    counts = (
-        found.where("bucket >= 0").select("block", "bucket", "words").groupBy("bucket").applyInArrow(_count_pieces(path), "block long, bucket int, counts binary")
-    )
+    lists = found.where("bucket >= 0").select("block", "bucket", "words").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    counts = lists.mapInArrow(_count_pieces(path), "block long, bucket int, counts binary")
     blocks = found.where("bucket < 0").drop("bucket", "words")
     schema = f"`{id_col}` {kind.simpleString()}, n_bytes long, n_tokens long, over_limit boolean"
     return blocks.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(_sum(id_col, id_type, limit), schema)

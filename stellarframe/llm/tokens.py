@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 
 import numpy as np
 import regex
@@ -11,6 +12,9 @@ import regex
 #: The split pattern of byte-level BPE (public GPT-2 pattern). \s is Unicode white space.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+#: The same for texts of ASCII alone, in which Python's faster matcher has the same classes.
+ASCII_PATTERN = PATTERN.replace(r"\p{L}", "A-Za-z").replace(r"\p{N}", "0-9").replace(" ?A-Za-z+", " ?[A-Za-z]+").replace(" ?0-9+", " ?[0-9]+")
+
 VOCABULARY = "byte_bpe_50k.json"
 
 
@@ -41,7 +45,8 @@ class PreTokens:
             raise ValueError(f"{path}: special strings that take in their surroundings")
         self.special = {t["content"] for t in added}
         self._split = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if added else None
-        self._find = regex.compile(PATTERN).findall
+        wide, narrow = regex.compile(PATTERN).findall, re.compile(ASCII_PATTERN, re.ASCII).findall
+        self._find = lambda text: narrow(text) if text.isascii() else wide(text)
 
     def __call__(self, text: str) -> list[str]:
         if self._split is None or not any(s in text for s in self.special):
@@ -59,48 +64,58 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
-def byte_ranks(path: str) -> dict[bytes, int] | None:
-    """Ids by bytes if merging the pair with the lowest id first is what the file's merges say, else None."""
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
-    special = {t["content"] for t in spec.get("added_tokens") or []}
-    vocab, merges, of = spec["model"]["vocab"], spec["model"]["merges"], byte_alphabet()
-    made = [vocab.get("".join(m.split(" ") if isinstance(m, str) else m)) for m in merges]
-    if None in made or any(a >= b for a, b in zip(made, made[1:], strict=False)) or spec["model"].get("ignore_merges"):
-        return None
-    if any(set(w) - of.keys() for w in vocab if w not in special) or len(vocab) != len(made) + 256 + len(special & vocab.keys()):
-        return None
-    return {bytes(of[c] for c in w): i for w, i in vocab.items() if w not in special}
+class _Pieces(dict):
+    """Ids of pre-tokens as bytes, by the library's own byte-pair model; what is looked up first is encoded then."""
+
+    #: Pre-tokens that are kept, and the longest that are worth it.
+    ROOM, LENGTH = 1_000_000, 64
+
+    def __init__(self, tokenizer, special: set[str]):
+        super().__init__()
+        self._whole, self._model, self._special = tokenizer.encode, tokenizer.model.tokenize, special
+        of = {b: c for c, b in byte_alphabet().items()}
+        self._table = "".join(of[b] for b in range(256))
+
+    def __missing__(self, pre: str) -> bytes:
+        if pre in self._special:
+            ids = self._whole(pre, add_special_tokens=False).ids
+        else:
+            ids = [t.id for t in self._model(pre.encode("utf-8").decode("latin-1").translate(self._table))]
+        out = np.array(ids, dtype="<u4").tobytes()
+        if len(pre) <= self.LENGTH:
+            if len(self) >= self.ROOM:
+                self.clear()
+            self[pre] = out
+        return out
 
 
 class Encoder:
     """Ids of whole texts as little-endian 32-bit bytes, equal to the library's encode without added special tokens.
 
-    Texts in Latin-1 without special strings go through a byte-pair encoder made from the same file, which is several
-    times faster; all others through the library itself.
+    In a byte-level file a pre-token's pieces don't depend on what stands beside it, so each distinct pre-token goes through
+    the library's model once; texts are joined from them. Files of another kind go through the library whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self._special = PreTokens(path).special
-        self._exact = Tokenizer.from_file(path).encode
-        ranks = byte_ranks(path)
-        self._fast = None
-        if ranks:
-            import tiktoken
-
-            self._fast = tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_to_numpy
+        whole = Tokenizer.from_file(path)
+        self._exact = whole.encode
+        try:
+            self._split = PreTokens(path)
+        except ValueError:
+            self._split = None
+        else:
+            self._piece = _Pieces(whole, self._split.special).__getitem__
 
     def __call__(self, text: str) -> bytes:
-        if self._fast is not None:
-            try:
-                text.encode("latin-1")
-                if not any(s in text for s in self._special):
-                    return self._fast(text, disallowed_special=()).astype("<u4").tobytes()
-            except UnicodeEncodeError:
-                pass
-        return np.array(self._exact(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        if self._split is None:
+            return np.array(self._exact(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return b"".join(map(self._piece, self._split(text)))
+
+    def pieces(self, pre: str) -> int:
+        """How many ids a pre-token has."""
+        return len(self(pre) if self._split is None else self._piece(pre)) // 4
 
 
 @functools.lru_cache(maxsize=2)
