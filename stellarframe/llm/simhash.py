@@ -2,7 +2,8 @@
 
 A 64-bit fingerprint is mapped to the bit counts of its segments. The Manhattan distance of two such vectors is at
 most the Hamming distance of the fingerprints, so a grid join within that distance loses no pair; the pairs found are
-then verified exactly.
+then verified exactly. Members of a crowded cell go on to a grid of twice as many segments, at last of one bit each, where a
+cell can't hold more than a fingerprint and its 64 neighbours.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 
@@ -22,7 +24,8 @@ BITS = 64
 SEGMENTS = 16
 #: Cells are one step wide, which meets this distance and no other.
 MAX_BITS = 2
-CELL_CAP = 512
+#: Members of a cell that are compared with each other; those of larger cells are spread over a finer grid. At least 65.
+CROWD = 512
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -51,11 +54,11 @@ def signed(value: int) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """(id_col, fp long): the fingerprint's 64 bits as a signed long. One row for each input row; texts are read whole."""
-    common.arrow_rows(docs.sparkSession, 500)
+    common.arrow_rows(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in common.slices(batches):
             fps = [signed(fingerprint(t.as_py(), shingle)) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], [id_col, "fp"])
 
@@ -96,14 +99,30 @@ def _cells(segments: int):
     return run
 
 
-def _verify(cap: int):
-    """Links within each cell; a cell of over cap members only names them, for the exact way round."""
+def _roots(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """For each of n nodes the smallest one that it reaches by the links u, v."""
+    label = np.arange(n)
+    while len(u):
+        a, b = label[u], label[v]
+        apart = a != b
+        u, v, a, b = u[apart], v[apart], a[apart], b[apart]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while (label != label[label]).any():
+            label = label[label]
+    return label
+
+
+def _verify(crowd: int):
+    """The links within each cell, as one from each member to the smallest of its class; a cell of over crowd members only
+    names them. Rows come ordered by cell."""
 
     def links(fps: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         i, j = np.triu_indices(len(fps), 1)
         # both one step away by the same step: equal vectors, which meet in their own cell as well
         near = ((step[i] != step[j]) | (step[i] == 0)) & (np.bitwise_count(fps[i] ^ fps[j]) <= MAX_BITS)
-        return fps[i[near]], fps[j[near]]
+        root = _roots(len(fps), i[near], j[near])
+        linked = np.flatnonzero(root != np.arange(len(fps)))
+        return fps[linked], fps[root[linked]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pack(a: list, b: list, crowded: list) -> pa.RecordBatch:
@@ -129,7 +148,7 @@ def _verify(cap: int):
                     cell, held, steps, over = cells[s], fps[s:e], step[s:e], False
                 else:
                     held, steps = np.r_[held, fps[s:e]], np.r_[steps, step[s:e]]
-                if over or len(held) > cap:
+                if over or len(held) > crowd:
                     crowded.append(held)
                     held, steps, over = held[:0], steps[:0], True
             yield pack(a, z, crowded)
@@ -140,32 +159,25 @@ def _verify(cap: int):
     return run
 
 
-def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each fingerprint with the 65 values at most one bit away."""
-    flips = np.r_[np.uint64(0), np.uint64(1) << np.arange(BITS, dtype=np.uint64)]
-    for b in batches:
-        fps = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-        near = fps[:, None] ^ flips
-        yield pa.RecordBatch.from_arrays([pa.array(near.ravel().view(np.int64)), pa.array(np.repeat(fps, len(flips)).view(np.int64))], ["near", "fp"])
+def fingerprint_links(distinct: DataFrame, segments: int = SEGMENTS, crowd: int = CROWD) -> DataFrame:
+    """(u, v): links between distinct fingerprints (column fp) that keep all components at no more than MAX_BITS differing bits.
 
-
-def fingerprint_links(distinct: DataFrame, segments: int = SEGMENTS, cap: int = CELL_CAP) -> DataFrame:
-    """(u, v): links between distinct fingerprints (column fp) at no more than MAX_BITS differing bits.
-
-    Every link of a cell with up to cap members is returned. In a crowded cell the members are linked through the
-    values one bit away: members that share such a value differ in two bits at most and are linked to the smallest of
-    them. That needs one row for each member and bit whatever the cell's size and keeps the same components.
+    Both ends of a link share a cell. If the cell is crowded, both go to the grid of twice as many segments, where they
+    share a cell again. Segments of one bit are the last: their cells hold 65 fingerprints at most.
     """
+    if crowd <= BITS:
+        raise ValueError("crowd must exceed the number of bits")
     n = max(common.shuffle_partitions(distinct.sparkSession), 1)
-    cells = distinct.select("fp").mapInArrow(_cells(segments), "cell long, fp long, step short")
-    found = common.materialise(
-        cells.repartition(n, "cell").sortWithinPartitions("cell").mapInArrow(_verify(cap), "u long, v long, crowded boolean"), "cells"
-    )
-    links = found.where("not crowded").select("u", "v")
-    near = found.where("crowded").select(F.col("u").alias("fp")).distinct().mapInArrow(_around, "near long, fp long")
-    heads = near.groupBy("near").agg(F.min("fp").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").select("near", "head")
-    through = near.join(heads, "near").where(F.col("fp") != F.col("head")).select(F.col("fp").alias("u"), F.col("head").alias("v"))
-    return links.unionByName(through).distinct()
+    now, out = distinct.select("fp"), None
+    while True:
+        cells = now.mapInArrow(_cells(segments), "cell long, fp long, step short")
+        found = common.materialise(cells.repartition(n, "cell").sortWithinPartitions("cell").mapInArrow(_verify(crowd), "u long, v long, crowded boolean"), "cells")
+        links = found.where("not crowded").select("u", "v")
+        out = links if out is None else out.unionByName(links)
+        crowded = found.where("crowded")
+        if segments == BITS or crowded.isEmpty():
+            return out.distinct()
+        now, segments = crowded.select(F.col("u").alias("fp")).distinct(), segments * 2
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
@@ -178,17 +190,44 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Other columns of docs are ignored. Empty input gives no rows.
     """
     fps = common.materialise(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+    reps = _classes(fps, id_col).select("fp", F.col("least").alias("component_id"))
+    return fps.join(reps, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _classes(fps: DataFrame, id_col: str) -> DataFrame:
+    """(fp, component, least): for each distinct fingerprint its class, named by a fingerprint, and the smallest id in it."""
     heads = fps.groupBy("fp").agg(F.min(id_col).alias("head"))
     comps = common.connected_components(fingerprint_links(heads))
     # the smallest id of a component, over the fingerprints it holds
     named = heads.join(comps, heads["fp"] == comps["id"]).select("fp", "component", "head")
     least = named.groupBy("component").agg(F.min("head").alias("least"))
-    linked = named.join(least, "component").select("fp", "least")
-    reps = heads.join(linked, "fp", "left").select("fp", F.coalesce("least", "head").alias("component_id"))
-    return fps.join(reps, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    linked = named.join(least, "component").select("fp", "component", "least")
+    return heads.join(linked, "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"), F.coalesce("least", "head").alias("least"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each group of near copies: that with the smallest id. Rows with a null id stay."""
-    groups = simhash_components(docs, id_col, text_col).where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
-    return docs.join(groups, id_col, "left_anti").select(docs.columns)
+    """docs with one row of each group of near copies: that with the smallest id; a null id stays only if all are null.
+
+    Where ids are null or repeated, of the rows that share the id the one with the smallest fingerprint stays, then the one with
+    the smallest hash of its columns. Columns stay.
+    """
+    fps = common.materialise(fingerprints(docs, id_col, text_col), "fingerprints")
+    classes = common.materialise(_classes(fps, id_col), "classes")
+    plain = fps.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).where(F.col(id_col).isNull() | (F.col("n") > 1)).isEmpty()
+    if plain:  # an id names one row
+        gone = fps.join(classes, "fp").where(F.col(id_col) != F.col("least")).select(id_col)
+        return docs.join(gone, id_col, "left_anti").select(docs.columns)
+    fp, pick = common.fresh(docs, "_fp"), common.fresh(docs, "_pick")
+    kind, at, names = docs.schema[id_col].dataType, docs.columns.index(text_col), [*docs.columns, fp]
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in common.slices(batches):
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([signed(fingerprint(t.as_py())) for t in b.column(at)], pa.int64())], names)
+
+    wide = docs.mapInArrow(put, T.StructType([*docs.schema.fields, T.StructField(fp, T.LongType())]))
+    told = fps.distinct().join(classes, "fp").select(F.col(id_col).alias("i"), "fp", "component", "least")
+    stays = told.where(F.col("i").eqNullSafe(F.col("least"))).groupBy("component").agg(F.min("fp").alias("fp"), F.min("i").cast(kind).alias("i"))
+    both = wide.join(stays.select(F.col("i"), F.col("fp").alias("f")), F.col(fp).eqNullSafe(F.col("f")) & wide[id_col].eqNullSafe(F.col("i")), "left_semi")
+    hashed = F.xxhash64(*(F.to_json(c) if "map" in t or t == "variant" else F.col(c) for c, t in docs.dtypes))
+    one = both.groupBy(id_col, fp).agg(F.min_by(F.struct(*docs.columns), hashed).alias(pick))
+    return one.select(*(F.col(f"{pick}.`{c}`").alias(c) for c in docs.columns))

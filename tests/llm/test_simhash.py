@@ -1,5 +1,7 @@
 import itertools
 
+import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import Row
 
@@ -52,27 +54,40 @@ def test_edges_and_clashing_columns(spark):
     assert got == [(3, 3), (4, 4), (5, 4), (8, 8), (9, 9), (9, 9)]
     assert simhash.simhash_components(docs.where("false")).count() == 0
     assert simhash.keep_one(docs).columns == docs.columns
-    assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == [3, 4, 8, 9, 9]
+    assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == [3, 4, 8, 9]
 
 
-def test_crowded_cells_keep_components(spark):
+@pytest.mark.parametrize(("segments", "crowd"), [(16, 512), (16, 65), (2, 65), (64, 65)])
+def test_crowded_cells_keep_components(spark, segments, crowd):
     base = 0x0123456789ABCDEF
     fps = {base} | {base ^ (1 << a) for a in range(64)} | {base ^ (1 << a) ^ (3 << 8) for a in range(12)} | {0xFFFF << 40}
+    fps |= {sum(3 << 4 * (i + k) for i in range(8)) ^ (1 << k) for k in range(9)} | {int.from_bytes(bytes(8 * [k]), "big") for k in range(256)}
+    rng = np.random.default_rng(4)
+    for _ in range(200):  # words of the same segment counts, and neighbours of some
+        w = sum(int(rng.choice([1, 2, 4, 8])) << 4 * i for i in range(16))
+        fps |= {w, w ^ (1 << int(rng.integers(64)))}
     df = spark.createDataFrame([(simhash.signed(f),) for f in fps], "fp long")
-    wide = {frozenset((r.u, r.v)) for r in simhash.fingerprint_links(df).collect()}
+    found = {frozenset((r.u, r.v)) for r in simhash.fingerprint_links(df, segments, crowd).collect()}
     exact = {frozenset((simhash.signed(a), simhash.signed(b))) for a, b in itertools.combinations(fps, 2) if (a ^ b).bit_count() <= 2}
-    assert wide == exact
-    some = {frozenset((r.u, r.v)) for r in simhash.fingerprint_links(df, cap=3).collect()}
-    assert some <= exact
 
     def classes(links):
         at = {simhash.signed(f): simhash.signed(f) for f in fps}
-        for _ in at:
+        while True:
+            before = dict(at)
             for a, b in map(tuple, links):
                 at[a] = at[b] = min(at[a], at[b])
-        return at
+            if before == at:
+                return at
 
-    assert classes(some) == classes(exact)
+    assert classes(found) == classes(exact)
+
+
+def test_keep_one_with_null_and_repeated_ids(spark):
+    near = " ".join(f"w{i}" for i in range(40))
+    rows = [(5, near, "a"), (5, near, "a"), (None, near, "b"), (None, "other words here now", "c"), (None, "other words here now", "c"), (5, "nothing of the kind at all", "d"), (7, near, "e"), (3, "nothing of the kind at all", "f")]
+    docs = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, _fp string, component long, _pick int")
+    assert sorted(((r.doc_id or 0), r._fp) for r in simhash.keep_one(docs).collect()) == [(0, "c"), (3, "f"), (5, "a")]
+    assert simhash.keep_one(docs).columns == docs.columns
 
 
 def test_long_texts_count_every_shingle():
