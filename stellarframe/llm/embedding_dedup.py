@@ -17,12 +17,19 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Hash tables, hashes side by side in each, and further buckets probed in each. The buckets of a label grow with its vectors
-#: over (2d)**HASHES: take a hash and some tables more where that number falls far behind.
+#: Hash tables, hashes side by side in each, and further buckets probed in each, at least; see plan().
 TABLES, HASHES, PROBES = 5, 2, 2
+#: Vectors in an average bucket beyond which a label's tables get a hash more.
+FULL = 64
 SEED = 17
-#: Members of a bucket that are compared in one go; larger buckets are split into blocks, and all pairs of blocks compared.
-BLOCK = 1024
+#: Bytes of the vectors of a bucket that are compared in one go; larger buckets are split into blocks, and all pairs of blocks
+#: compared.
+BLOCK_BYTES = 4 << 20
+
+
+def plan(hashes: int) -> tuple[int, int]:
+    """(tables, probes) for so many hashes side by side: each hash more is less often shared, more tables make up for it."""
+    return TABLES + 3 * (hashes - HASHES), PROBES + 2 * (hashes - HASHES)
 
 
 def rotate(x: np.ndarray, signs: np.ndarray) -> np.ndarray:
@@ -192,7 +199,7 @@ def _compare(tables: int, threshold: float, most: int | None):
     return run
 
 
-def embedding_components(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = 0.93, tables: int = TABLES, hashes: int = HASHES, probes: int = PROBES, block: int = BLOCK) -> DataFrame:
+def embedding_components(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = 0.93, hashes: int | None = None, block: int | None = None) -> DataFrame:
     """(id_col, n_links, component_id, kept) for each row of vectors.
 
     Vectors of one non-null label are linked at a cosine of at least threshold, in double precision. n_links counts the
@@ -200,29 +207,38 @@ def embedding_components(vectors: DataFrame, id_col: str = "vec_id", vec_col: st
     zero vectors, those with null or non-finite components and those without a label link with nothing. Equal vectors of a
     label are compared as one, and a bucket of any size is compared whole, in blocks: no cap drops a pair. The hashing may
     miss a pair near the threshold (recall is measured in the tests); no pair below it is linked. Vectors of different
-    lengths don't link. Repeated rows count as linked vectors of their own; other columns are ignored; an empty table
+    lengths don't link. A label's hashes grow with the logarithm of its vectors, so its buckets stay about the same size; hashes
+    and block set them instead. A null id links like any other; component_id is null only where all of a class are. Repeated rows count as linked vectors of their own; other columns are ignored; an empty table
     gives no rows.
     """
-    spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec"), F.col(label_col).cast("string").alias("label"))
     usable = F.coalesce(F.col("label").isNotNull() & _usable("vec"), F.lit(False))
     valid = rows.where(usable).withColumn("label", F.concat_ws("/", F.size("vec").cast("string"), "label"))
-    # rows of one id and vector are told apart by their number only
+    # a distinct vector of a label goes by a number, fixed where it is written: ids may repeat over vectors and labels
     heads = valid.groupBy("label", "vec").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("weight"))
-    heads = common.materialise(heads.select("label", F.col("head").alias("id"), "weight", "vec"), "vectors")
-    common.arrow_rows(spark, 2000)
-    sizes = [r[0] for r in heads.select(F.size("vec")).distinct().collect()]
+    heads = common.materialise(heads.select("label", F.monotonically_increasing_id().alias("id"), "head", "weight", "vec"), "vectors")
+    common.arrow_rows(vectors.sparkSession, 2000)
+    per = heads.groupBy("label", F.size("vec").alias("size")).agg(F.count(F.lit(1)).alias("n"))
+    points = F.log(2 * F.pow(F.lit(2.0), F.greatest(F.ceil(F.log2("size")), F.lit(1))))
+    many = F.ceil(F.log(F.col("n") * (1 + PROBES) / FULL) / points).cast("int")
+    per = per.withColumn("hashes", F.lit(hashes) if hashes else F.greatest(F.lit(HASHES), F.least(many, F.lit(8))))
+    kinds = [tuple(r) for r in per.select("size", "hashes").distinct().collect()]
     out = None
-    for size in sorted(sizes):  # vectors of one length at a time; there is one length as a rule
-        found = _links(heads.where(F.size("vec") == size), tables, hashes, probes, threshold, block)
+    for size, k in sorted(kinds):  # vectors of one length and number of hashes at a time; there is one kind as a rule
+        some = heads.where(F.size("vec") == size).drop("head")
+        if sum(s == size for s, _ in kinds) > 1:
+            some = some.join(per.where((F.col("size") == size) & (F.col("hashes") == k)).select("label"), "label", "left_semi").select(some.columns)
+        found = _links(some, plan(k)[0], k, plan(k)[1], threshold, block or max(256, min(8192, BLOCK_BYTES // (8 * size))))
         out = found if out is None else out.unionByName(found)
     if out is None:
         return rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").cast("long").alias("component_id"), F.lit(True).alias("kept"))
     out = common.materialise(out, "links")
     comps = common.connected_components(out.select(F.col("id").alias("u"), F.col("to").alias("v")))
     counts = out.groupBy("id").agg(F.sum("links").alias("links"))
-    told = heads.join(counts, "id", "left").join(comps, "id", "left")
-    told = told.select(F.col("label").alias("_label"), F.col("vec").alias("_vec"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+    linked = heads.select("id", "head").join(comps, "id")
+    linked = linked.join(linked.groupBy("component").agg(F.min("head").alias("least")), "component").select("id", "least")
+    told = heads.join(counts, "id", "left").join(linked, "id", "left")
+    told = told.select(F.col("label").alias("_label"), F.col("vec").alias("_vec"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("least", "head").cast("long").alias("component_id"))
     keyed = rows.withColumn("_label", F.when(usable, F.concat_ws("/", F.size("vec").cast("string"), "label")))
     full = keyed.join(told, (keyed["_label"] == told["_label"]) & (keyed["vec"] == told["_vec"]), "left")
     component = F.coalesce("component_id", F.col("id").cast("long"))
