@@ -40,12 +40,16 @@ RULES = (
     Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
 )
 
-_SPAN = "array<struct<kind:string,start:long,end:long>>"
-LEDGER = f"blob binary, rules array<string>, spans {_SPAN}"
+_SPAN = "struct<rule:string,start:long,end:long>"
+_SPANS = f"array<{_SPAN}>"
+#: A blob's row says which rule versions scanned it and what each found; a blob may have several rows.
+LEDGER = f"blob binary, rules array<string>, spans {_SPANS}"
+#: Matches that are added to one array: two levels of arrays keep the work in proportion to a text's matches.
+CHUNK = 256
 
 
 def _none() -> Column:
-    return F.array().cast(_SPAN)
+    return F.array().cast(_SPANS)
 
 
 def spans_of(text: Column, rule: Rule) -> Column:
@@ -57,17 +61,18 @@ def spans_of(text: Column, rule: Rule) -> Column:
         F.split(text, rule.pattern, -1).alias("gap"),
     )
     start = lambda acc, x: acc["at"] + F.length(x["gap"])
+    span = lambda acc, x: F.struct(F.lit(rule.key).alias("rule"), start(acc, x).alias("start"), (start(acc, x) + F.length(x["all"])).alias("end"))
     step = lambda acc, x: F.struct(
         (start(acc, x) + F.coalesce(F.length(x["all"]), F.lit(0))).alias("at"),
-        F.when(
-            F.length(x["part"]) >= rule.least,
-            F.array_append(acc["out"], F.struct(F.lit(rule.kind).alias("kind"), start(acc, x).alias("start"), (start(acc, x) + F.length(x["all"])).alias("end"))),
-        )
-        .otherwise(acc["out"])
-        .alias("out"),
+        F.when(F.length(x["part"]) >= rule.least, F.array_append(acc["out"], span(acc, x))).otherwise(acc["out"]).alias("out"),
     )
-    zero = F.struct(F.lit(0).cast("long").alias("at"), _none().alias("out"))
-    folded = F.aggregate(found, zero, lambda acc, x: step(acc, x).cast(f"struct<at:long,out:{_SPAN}>"), lambda acc: acc["out"])
+    state = f"struct<at:long,out:{_SPANS}>"
+    chunk = lambda at, part: F.aggregate(part, F.struct(at.alias("at"), _none().alias("out")).cast(state), lambda acc, x: step(acc, x).cast(state))
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / CHUNK).cast("int")), lambda k: F.slice(found, k * CHUNK + 1, CHUNK))
+    whole = f"struct<last:{state},done:array<{_SPANS}>>"
+    zero = F.struct(F.struct(F.lit(0).cast("long").alias("at"), _none().alias("out")).alias("last"), F.array().cast(f"array<{_SPANS}>").alias("done")).cast(whole)
+    more = lambda acc, part: F.struct(chunk(acc["last"]["at"], part).alias("last"), F.array_append(acc["done"], acc["last"]["out"]).alias("done")).cast(whole)
+    folded = F.aggregate(parts, zero, more, lambda acc: F.flatten(F.array_append(acc["done"], acc["last"]["out"])))
     return F.when(text.rlike(rule.pattern), folded).otherwise(_none())
 
 
@@ -99,24 +104,33 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ..
 
 
 def findings(paths: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id") -> DataFrame:
-    """(id_col, spans): for every path the spans of its blob, by start, then kind in the order of rules."""
-    place = F.create_map(*(F.lit(y) for i, r in enumerate(rules) for y in (r.kind, i)))
-    have = ledger.where(F.size("spans") > 0).select("blob", F.explode("spans").alias("s")).where(F.col("s.kind").isin([r.kind for r in rules]))
-    have = have.select("blob", F.struct(F.col("s.start").alias("start"), place[F.col("s.kind")].alias("place"), F.col("s.end").alias("end"), F.col("s.kind").alias("kind")).alias("s"))
+    """(id_col, spans): for every path the spans of its blob, by start, then kind in the order of rules. Findings of other
+    versions of a rule stay in the ledger and don't count."""
+    key = F.explode("spans").alias("s")
+    place = F.create_map(*(F.lit(y) for i, r in enumerate(rules) for y in (r.key, i)))
+    kind = F.create_map(*(F.lit(y) for r in rules for y in (r.key, r.kind)))
+    have = ledger.where(F.size("spans") > 0).select("blob", key).where(F.col("s.rule").isin([r.key for r in rules]))
+    have = have.select("blob", F.struct(F.col("s.start").alias("start"), place[F.col("s.rule")].alias("place"), F.col("s.end").alias("end"), kind[F.col("s.rule")].alias("kind")).alias("s"))
     have = have.groupBy("blob").agg(F.array_sort(F.collect_set("s")).alias("spans"))
     return paths.join(have, "blob", "left").select(id_col, "spans")
 
 
-def secret_report(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def secret_report(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text", ledger_path: str | None = None) -> DataFrame:
     """(id_col, n_assign, n_access, n_hex, base_sha256, spans) for each row of docs.
 
     The counts and base_sha256 are of the base rules, spans of all rules: "kind:start:end" by start, then kind, joined by
     commas. Null text is the empty text. A text without findings has zeros and the digest of the empty string. Repeated
     rows and null ids are kept; other columns of docs are ignored; an empty table gives no rows. The new ledger rows are
-    written to the shared folder before they are joined.
+    written before they are joined: appended to the Parquet table at ledger_path, which is read as the ledger if it is there
+    already, so that the next run scans only what is new; without a path, to the shared folder.
     """
+    spark = docs.sparkSession
+    if ledger_path and ledger is None and common.exists(spark, ledger_path):
+        ledger = common.materialise(spark.read.schema(LEDGER).parquet(ledger_path), "ledger-before")  # what is there now
     paths = common.materialise(blobs(docs, id_col, text_col), "paths")
     rows = common.materialise(scan(docs, ledger, rules, id_col, text_col, paths), "ledger")
+    if ledger_path:
+        rows.write.mode("append").parquet(ledger_path)
     every = rows if ledger is None else ledger.select("blob", "rules", "spans").unionByName(rows)
     base = [r.kind for r in rules if r.base]
     out = findings(paths, every, rules, id_col).withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<start:long,place:int,end:long,kind:string>>")))
