@@ -15,6 +15,8 @@ from . import common
 
 #: 2**53: hashes are cut to 53 bits, which doubles hold exactly.
 SPAN = 9007199254740992.0
+#: Rows of a shard that are ranked in one hash bucket, about.
+BUCKET_ROWS = 50_000
 
 
 def rendezvous(key: Column, weights: Sequence[float]) -> Column:
@@ -50,5 +52,6 @@ def shard_documents(docs: DataFrame, weights: Sequence[float], id_col: str = "do
     out = docs.select(F.col(id_col), (F.octet_length(text).cast("long") + 8).alias("size"), F.crc32(text).alias("text_crc32"))
     key = F.col(id_col)
     out = out.withColumn("shard", rendezvous(key, weights)).withColumn("grown_shard", rendezvous(key, [*weights, more]))
-    out = common.ranked(out, "shard", key, [id_col, "text_crc32", "size"], "slot")
+    order = [id_col, "text_crc32", "size"]
+    out = common.ranked(out, "shard", F.struct(*order), order, "slot", max(256, docs.count() // (BUCKET_ROWS * len(weights))))
     return out.select(id_col, "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
