@@ -10,6 +10,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -25,7 +26,6 @@ from . import common
 SKIPPABLE = 0x184D2A5E
 SEEKABLE = 0x8F92EAB1
 VERSION = "WARC/1.1"
-DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 #: Bytes of records in a frame before it is closed, and of a bundle before the next is begun.
@@ -45,33 +45,47 @@ def record_id(key: object) -> str:
     return f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{key}')}"
 
 
-def record(key: object, url: str | None, payload: bytes, payload_digest: str, refers_to: object | None) -> bytes:
-    """One WARC record; a revisit names its original and carries no payload."""
+def now() -> str:
+    return time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime())
+
+
+def _block(head: list[str], block: bytes) -> bytes:
+    return "\r\n".join([VERSION, *head, f"Content-Length: {len(block)}", "", ""]).encode() + block + b"\r\n\r\n"
+
+
+def info(name: str, date: str) -> bytes:
+    """The warcinfo record that opens a bundle."""
+    head = ["WARC-Type: warcinfo", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>", f"WARC-Date: {date}", f"WARC-Filename: {name}", "Content-Type: application/warc-fields"]
+    return _block(head, b"software: stellarframe\r\nformat: WARC File Format 1.1\r\n")
+
+
+def record(key: object, url: str | None, payload: bytes, payload_digest: str, refers_to: object | None, date: str | None = None) -> bytes:
+    """One WARC record: a response is an HTTP message with the payload as its body; a revisit names its original and carries no
+    block."""
     head = [
-        VERSION,
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
         f"WARC-Record-ID: <{record_id(key)}>",
-        f"WARC-Date: {DATE}",
+        f"WARC-Date: {date or now()}",
         f"WARC-Target-URI: {(url or '').translate({10: None, 13: None})}",
         f"WARC-Payload-Digest: sha1:{payload_digest}",
         f"X-Page-ID: {'' if key is None else key}",
+        "Content-Type: application/http; msgtype=response",
     ]
     if refers_to is not None:
-        head += [f"WARC-Refers-To: <{record_id(refers_to)}>", f"X-Refers-To-Page-ID: {refers_to}", f"WARC-Profile: {PROFILE}"]
-        payload = b""
-    head += ["Content-Type: text/html", f"Content-Length: {len(payload)}", "", ""]
-    return "\r\n".join(head).encode() + payload + b"\r\n\r\n"
+        return _block([*head, f"WARC-Refers-To: <{record_id(refers_to)}>", f"X-Refers-To-Page-ID: {refers_to}", f"WARC-Profile: {PROFILE}"], b"")
+    return _block(head, f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode() + payload)
 
 
 def parse(raw: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
-    """(headers, payload, end) of the record that begins at `at`."""
+    """(headers, payload, end) of the record that begins at `at`; a response's payload is the body of its HTTP message."""
     stop = raw.index(b"\r\n\r\n", at)
     lines = raw[at:stop].decode().split("\r\n")
     if lines[0] != VERSION:
         raise ValueError(f"no WARC record at {at}")
     head = dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in lines[1:])
     end = stop + 4 + int(head["Content-Length"])
-    return head, raw[stop + 4 : end], end + 4
+    body = raw.index(b"\r\n\r\n", stop + 4, end) + 4 if head["WARC-Type"] == "response" else stop + 4
+    return head, raw[body:end], end + 4
 
 
 class BundleWriter:
@@ -151,8 +165,10 @@ def write_bundles(records: DataFrame, folder: str, frame_bytes: int = FRAME_BYTE
     """Write records (page_id, url, payload, refers_to) to bundles in folder; the index of all records (INDEX).
 
     Each task streams its rows into bundles of about bundle_bytes. A bundle's name is its own, so a task that is run
-    again never touches what another wrote; the index, written once, names the bundles that count.
+    again never touches what another wrote; the index, written once, names the bundles that count. All records bear the
+    time of the call.
     """
+    date = now()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = _open(folder)
@@ -168,14 +184,15 @@ def write_bundles(records: DataFrame, folder: str, frame_bytes: int = FRAME_BYTE
             kinds = (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string())
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["bundle", "frame", "at", "size", "record_id"])
 
-        for b in batches:
+        for b in common.slices(batches, 100):
             for row in b.to_pylist():
                 if writer is None:
                     name = f"{uuid.uuid4().hex}.warc.zst"
                     sink = fs.open_output_stream(f"{root}/{name}", compression=None)
                     writer = BundleWriter(sink, frame_bytes)
+                    writer.add(info(name, date))
                 payload = (row["html"] or "").encode("utf-8", "surrogatepass")
-                raw = record(row["page_id"], row["url"], payload, digest(payload), row["refers_to"])
+                raw = record(row["page_id"], row["url"], payload, digest(payload), row["refers_to"], date)
                 rows.append((name, *writer.add(raw), len(raw), record_id(row["page_id"])))
                 if writer.total >= bundle_bytes:
                     yield close()
@@ -249,7 +266,7 @@ def archive(pages: DataFrame, folder: str | None = None, least_bytes: int = 0) -
     folder unless given.
     """
     spark: SparkSession = pages.sparkSession
-    common.arrow_rows(spark, 500)
+    common.arrow_rows(spark)
     folder = _local(folder or common.scratch_path(spark, "warc"))
     kind = pages.schema["page_id"].dataType
     index = write_bundles(with_originals(pages, least_bytes), folder)
