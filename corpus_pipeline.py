@@ -25,8 +25,8 @@ def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data becomes surrogates; n_chars follows the new text. No document goes."""
-    out = pii.surrogates(docs, queries.PII_KEY).select(docs.columns)
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    out = pii.surrogates(docs, queries.pii_key(spark))
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
