@@ -21,14 +21,15 @@ def grid_knots(x0: float, y0: float, x1: float, y1: float, nx: int, ny: int) ->
 
 
 class Spline:
-    """Basis of k functions for k knots: k - 3 bending ones and 1, u, v, in coordinates scaled to the knots' extent."""
+    """Basis of k functions for k knots: k - 3 bending ones and 1, u, v, in coordinates scaled by the knots' largest distance
+    from their mean along an axis."""
 
     def __init__(self, knots):
         self.knots = np.asarray(knots, np.float64).reshape(-1, 2)
         if len(self.knots) < 3:
             raise ValueError("a spline needs at least 3 knots")
         self.centre = self.knots.mean(axis=0)
-        extent = np.ptp(self.knots, axis=0).max() / 2
+        extent = np.abs(self.knots - self.centre).max()
         self.scale = extent if extent > 0 else 1.0
         self._u = (self.knots - self.centre) / self.scale
 

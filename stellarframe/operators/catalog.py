@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import pixels
@@ -41,9 +41,12 @@ class Settings:
     def sigma(self) -> float:
         return self.expected_fwhm / FWHM_PER_SIGMA
 
-    @property
-    def aperture(self) -> int:
-        return self.aperture_radius or max(1, math.floor(3 * self.sigma + 0.5))
+    def width(self, df: DataFrame) -> Column:
+        """The expected width: the frame's own where df has it as a column."""
+        return F.col("expected_fwhm") if "expected_fwhm" in df.columns else F.lit(float(self.expected_fwhm))
+
+    def aperture(self, df: DataFrame) -> Column:
+        return F.lit(self.aperture_radius) if self.aperture_radius else F.greatest(F.lit(1), F.floor(3 * self.width(df) / FWHM_PER_SIGMA + 0.5).cast("int"))
 
 
 class Union:
@@ -112,8 +115,11 @@ def touching(labelled: DataFrame, opposite: DataFrame) -> DataFrame:
     return labelled.join(around, ["frame_id", "y", "x"], "left_semi").select("frame_id", "label").distinct()
 
 
-def summarise(labelled: DataFrame, px: DataFrame, settings: Settings, polarity: int = 1) -> DataFrame:
-    """A row for each group. px: (frame_id, y, x, value, variance, mask) with the difference as value."""
+def summarise(labelled: DataFrame, px: DataFrame, settings: Settings, polarity: int = 1, widths: DataFrame | None = None) -> DataFrame:
+    """A row for each group. px: (frame_id, y, x, value, variance, mask) with the difference as value.
+
+    widths: (frame_id, expected_fwhm), in place of the settings' width for the frames that it has.
+    """
     s = F.col("score").cast("double")
     w = F.abs(s)
     peak = F.min_by(F.struct(F.col("x").alias("peak_x"), F.col("y").alias("peak_y"), s.alias("peak_snr")), F.struct(-w, F.col("y"), F.col("x")))
@@ -121,13 +127,15 @@ def summarise(labelled: DataFrame, px: DataFrame, settings: Settings, polarity:
     groups = labelled.groupBy("frame_id", "label").agg(F.count(F.lit(1)).cast("int").alias("n_pix"), F.sum(w).alias("_s"), F.sum(w * F.col("x")).alias("_sx"), F.sum(w * F.col("y")).alias("_sy"), first("x").alias("_fx"), first("y").alias("_fy"), peak.alias("_peak"))
     centre = lambda c: F.coalesce(F.try_divide(F.col(f"_s{c}"), F.when(F.col("_s") > 0, F.col("_s"))), F.col(f"_f{c}"))
     groups = groups.withColumns({"x": centre("x"), "y": centre("y")}).select("frame_id", "label", "x", "y", "_peak.*", "n_pix")
+    if widths is not None:
+        groups = groups.join(widths, "frame_id", "left").withColumn("expected_fwhm", F.coalesce("expected_fwhm", F.lit(float(settings.expected_fwhm))))
     # bits of the group and its neighbours
     step = F.sequence(F.lit(-1), F.lit(1))
     ring = labelled.select("frame_id", "label", "y", "x").withColumn("_dy", F.explode(step)).withColumn("_dx", F.explode(step))
     ring = ring.select("frame_id", "label", (F.col("y") + F.col("_dy")).alias("y"), (F.col("x") + F.col("_dx")).alias("x")).distinct()
     bits = ring.join(px.where(F.col("mask") != 0).select("frame_id", "y", "x", "mask"), ["frame_id", "y", "x"]).groupBy("frame_id", "label").agg(F.bit_or("mask").alias("mask_flags"))
-    points = groups.select("frame_id", F.col("label").alias("point"), F.round("x").cast("int").alias("px"), F.round("y").cast("int").alias("py"))
-    flux = pixels.aperture_flux(points, px, settings.aperture).withColumnRenamed("point", "label")
+    points = groups.select("frame_id", F.col("label").alias("point"), F.round("x").cast("int").alias("px"), F.round("y").cast("int").alias("py"), settings.aperture(groups).alias("_aperture"))
+    flux = pixels.aperture_flux(points, px, "_aperture").withColumnRenamed("point", "label")
     out = groups.join(bits, ["frame_id", "label"], "left").join(flux, ["frame_id", "label"], "left")
     return flagged(out.withColumns({"mask_flags": F.coalesce("mask_flags", F.lit(0)).cast("smallint"), "flux": F.coalesce("flux", F.lit(0.0))}), settings, polarity)
 
@@ -136,7 +144,7 @@ def flagged(groups: DataFrame, settings: Settings, polarity: int = 1) -> DataFra
     """How many pixels a point source with this peak would have above the threshold, and whether the group has about as many."""
     threshold = settings.threshold if polarity > 0 else settings.dipole_threshold
     ratio = F.abs("peak_snr") / threshold
-    expected = math.pi * settings.sigma**2 * F.greatest(F.lit(0.0), F.when(ratio > 0, F.log(ratio * ratio)).otherwise(0.0))
+    expected = math.pi * (settings.width(groups) / FWHM_PER_SIGMA) ** 2 * F.greatest(F.lit(0.0), F.when(ratio > 0, F.log(ratio * ratio)).otherwise(0.0))
     out = groups.withColumn("expected_n_pix", expected)
     out = out.withColumn("fwhm_ratio", F.when(F.col("expected_n_pix") > 0, F.try_divide(F.col("n_pix"), F.col("expected_n_pix"))).otherwise(F.lit(float("inf"))))
     return out.withColumn("fwhm_consistent", F.col("fwhm_ratio").between(settings.fwhm_lo, settings.fwhm_hi))
@@ -148,14 +156,12 @@ def psf_fit(points: DataFrame, px: DataFrame, psf: DataFrame | np.ndarray) -> Da
     psf: (frame_id, psf) or one array for all. Pixels that are masked, not finite or without positive variance don't count;
     with fewer than three there is no fit and no row.
     """
-    spark = points.sparkSession
     if isinstance(psf, DataFrame):
         table = psf.select("frame_id", F.posexplode("psf").alias("_i", "p"), F.sqrt(F.size("psf")).cast("int").alias("_side"))
     else:
         side = int(round(math.sqrt(np.size(psf))))
-        frames = points.select("frame_id").distinct()
-        taps = spark.createDataFrame([(i, float(p), side) for i, p in enumerate(np.ravel(psf))], "_i int, p double, _side int")
-        table = frames.crossJoin(taps)  # frames by taps: a fixed number of rows for each frame
+        taps = F.array(*(F.lit(float(p)) for p in np.ravel(psf)))
+        table = points.select("frame_id").distinct().select("frame_id", F.posexplode(taps).alias("_i", "p"), F.lit(side).alias("_side"))
     taps = table.select("frame_id", "p", (F.floor(F.col("_i") / F.col("_side")) - F.floor(F.col("_side") / 2)).cast("int").alias("dy"), (F.pmod("_i", "_side") - F.floor(F.col("_side") / 2)).cast("int").alias("dx"))
     at = points.join(taps, "frame_id").withColumns({"y": F.col("py") + F.col("dy"), "x": F.col("px") + F.col("dx")})
     d, v = F.col("value").cast("double"), F.col("variance").cast("double")
@@ -187,7 +193,7 @@ def enrich(entries: DataFrame, px: DataFrame, settings: Settings, psf=None, brig
     else:
         out = out.withColumn("bright_star_dist", F.lit(float("inf")))
     out = out.withColumn("bright_star_dist", F.coalesce("bright_star_dist", F.lit(float("inf"))))
-    return out.withColumn("near_bright_star", F.col("bright_star_dist") <= (settings.bright_radius or 3 * settings.expected_fwhm)).drop("_few")
+    return out.withColumn("near_bright_star", F.col("bright_star_dist") <= (settings.bright_radius or 3 * settings.width(out))).drop("_few", "expected_fwhm")
 
 
 def with_quality(entries: DataFrame) -> DataFrame:
@@ -200,12 +206,12 @@ def with_quality(entries: DataFrame) -> DataFrame:
     return entries.withColumn("quality", bits.cast("smallint"))
 
 
-def build(scores: DataFrame, settings: Settings = Settings(), polarity: str = "positive", psf=None, bright: DataFrame | None = None) -> DataFrame:
+def build(scores: DataFrame, settings: Settings = Settings(), polarity: str = "positive", psf=None, bright: DataFrame | None = None, widths: DataFrame | None = None) -> DataFrame:
     """The catalog of all frames. scores: (frame_id, y, x, value, variance, mask, score), value being the difference.
 
     polarity: positive, negative or both; both adds `sign`. Negative groups are seeded at the dipole threshold and
     dipoles are groups that touch a seed of the other sign. psf turns on the shape fit, bright (frame_id, px, py) the
-    distance to bright stars.
+    distance to bright stars, widths (frame_id, expected_fwhm) each frame its own expected width.
     """
     if polarity not in ("positive", "negative", "both"):
         raise ValueError("polarity must be positive, negative or both")
@@ -214,7 +220,7 @@ def build(scores: DataFrame, settings: Settings = Settings(), polarity: str = "p
 
     def one(sign: int) -> DataFrame:
         labelled = label(seed[sign]).persist()
-        entries = summarise(labelled, px, settings, sign)
+        entries = summarise(labelled, px, settings, sign, widths)
         dipoles = touching(labelled, seed[-sign]).withColumn("is_dipole", F.lit(True))
         entries = entries.join(dipoles, ["frame_id", "label"], "left").withColumn("is_dipole", F.coalesce("is_dipole", F.lit(False))).persist()
         out = with_quality(enrich(entries, px, settings, psf, bright))

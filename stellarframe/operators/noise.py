@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -104,7 +106,8 @@ def estimate_psf(frame_tiles: DataFrame, stamps: DataFrame, radius: int, layer:
     def run(v: tiles.View) -> pd.DataFrame:
         cut = v[layer] - np.median(v[layer]) if v.inside.all() else np.zeros(1)
         total = cut.sum()
-        return pd.DataFrame({"stamp": [v.key[0]], "cut": [(cut / total).ravel().tolist()]} if total > 0 else {"stamp": [], "cut": []})
+        one = [(v.key[0], (cut / total).ravel().tolist())] if total > 0 else []
+        return pd.DataFrame({"stamp": pd.Series([k for k, _ in one], dtype="int32"), "cut": pd.Series([c for _, c in one], dtype=object)})
 
     def middle(df: pd.DataFrame) -> pd.DataFrame:
         psf = np.clip(np.median(np.stack([np.asarray(c) for c in df.cut]), axis=0), 0, None)
@@ -130,8 +133,18 @@ def whiten_score_psf(frame_tiles: DataFrame, block: int = 256, size: int = tiles
     return tiles.gather(at, ["t_variance", "c_variance"], run, "psf array<double>", [*MODEL, "psf"])
 
 
+def widths(psf: DataFrame) -> DataFrame:
+    """A6 by frame: (frame_id, expected_fwhm) of (frame_id, psf); frames whose point source has no width are left out."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in batches:
+            yield pd.DataFrame({"frame_id": df.frame_id, "expected_fwhm": [psf_fwhm(p) for p in df.psf]})
+
+    return psf.select("frame_id", "psf").mapInPandas(run, "frame_id string, expected_fwhm double").where("expected_fwhm > 0 and not isnan(expected_fwhm)")
+
+
 def psf_fwhm(psf: np.ndarray) -> float:
-    """The width of a point source by second moments of its positive part."""
+    """The width of a point source by second moments of its positive part; NaN where there is none."""
     psf = np.asarray(psf, float)
     side = int(round(np.sqrt(psf.size)))
     w = np.clip(psf.reshape(side, side), 0, None)

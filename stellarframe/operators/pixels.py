@@ -12,8 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .schema import FWHM_PER_SIGMA, MAD_TO_SIGMA, MASK_BITS, MEDIAN_CHI2_1
-
+from .schema import FWHM_PER_SIGMA, MAD_TO_SIGMA, MEDIAN_CHI2_1
 
 
 def along_row():
@@ -240,12 +239,13 @@ def autocorrelation(px: DataFrame, lag: int = 1) -> DataFrame:
     return d.groupBy("frame_id").agg((F.avg(F.col("d") * F.col("dx")) / F.avg(F.col("d") ** 2)).alias("acf_x"), (F.avg(F.col("d") * F.col("dy")) / F.avg(F.col("d") ** 2)).alias("acf_y"))
 
 
-def boxed(points: DataFrame, px: DataFrame, radius: int, disc: bool = False) -> DataFrame:
-    """The pixels within radius of each point (frame_id, point, px, py), with dy and dx.
+def boxed(points: DataFrame, px: DataFrame, radius: int | str, disc: bool = False) -> DataFrame:
+    """The pixels within radius (a number or a column of points) of each point (frame_id, point, px, py), with dy and dx.
 
     Points spread to their places and meet pixels in an equi-join; those beyond the frame find none.
     """
-    span = F.sequence(F.lit(-radius), F.lit(radius))
+    radius = F.col(radius) if isinstance(radius, str) else F.lit(radius)
+    span = F.sequence(-radius, radius)
     at = points.withColumn("dy", F.explode(span)).withColumn("dx", F.explode(span))
     if disc:
         at = at.where(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy") <= radius * radius)
@@ -263,7 +263,7 @@ def fwhm(points: DataFrame, px: DataFrame, radius: int, background_: float = 0.0
     return sums.select("frame_id", "point", F.when(var > 0, FWHM_PER_SIGMA * F.sqrt(var)).alias("fwhm"))
 
 
-def aperture_flux(points: DataFrame, px: DataFrame, radius: int) -> DataFrame:
+def aperture_flux(points: DataFrame, px: DataFrame, radius: int | str) -> DataFrame:
     """(frame_id, point, flux): the finite values in a disc around each point."""
     v = F.when(finite(F.col("value")), F.col("value").cast("double"))
     return boxed(points, px, radius, disc=True).groupBy("frame_id", "point").agg(F.coalesce(F.sum(v), F.lit(0.0)).alias("flux"))
@@ -302,6 +302,3 @@ def nearest_bright(points: DataFrame, bright: DataFrame, out: str = "bright_star
     d2 = F.array_min(F.transform("_stars", lambda s: (F.col("px") - s["bx"]) ** 2 + (F.col("py") - s["by"]) ** 2))
     return points.join(stars, "frame_id", "left").withColumn(out, F.coalesce(F.sqrt(d2), F.lit(float("inf")))).drop("_stars")
 
-
-def mask_bit(name: str) -> int:
-    return MASK_BITS[name]

@@ -69,15 +69,15 @@ class Result:
         return d.join(tiles.to_pixels(self.score, ["score"]), ["frame_id", "y", "x"])
 
     def build_catalog(self, settings: catalog.Settings | None = None, polarity: str = "positive", fit_psf_shape: bool = False, bright: DataFrame | None = None) -> DataFrame:
-        """The catalog anew with other settings; bright stars are the fit's stamps unless given."""
+        """The catalog anew with other settings; bright stars are the fit's stamps unless given. Without settings each frame
+        expects the width of its own point source."""
         if self.psf is None:
             raise ValueError("no point source: make the engine with score=True")
-        if settings is None:
-            width = noise.psf_fwhm(self.psf.first()["psf"])
-            settings = catalog.Settings(expected_fwhm=width if np.isfinite(width) else 3.0)
+        widths = noise.widths(self.psf) if settings is None else None
+        settings = settings or catalog.Settings()
         if bright is None:
             bright = self.solutions.select("frame_id", F.explode(F.arrays_zip("stamp_x", "stamp_y")).alias("s")).select("frame_id", F.col("s.stamp_x").alias("px"), F.col("s.stamp_y").alias("py"))
-        return catalog.build(self.scored_pixels(), settings, polarity, self.psf if fit_psf_shape else None, bright)
+        return catalog.build(self.scored_pixels(), settings, polarity, self.psf if fit_psf_shape else None, bright, widths)
 
     def cards(self) -> dict[str, str]:
         """Configuration and environment as header cards."""

@@ -1,7 +1,5 @@
 """The engine end to end on synthetic pairs: transients kept, clean elsewhere, apply equals subtract."""
 
-import os
-
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -11,9 +9,6 @@ from stellarframe.functions.spline import Spline, fields
 from stellarframe.operators import synth, tiles
 from stellarframe.plans.engine import Subtractor, subtract_pairs
 
-# minutes of small Spark jobs; see the README
-pytestmark = pytest.mark.skipif(not os.environ.get("STELLARFRAME_SLOW"), reason="set STELLARFRAME_SLOW=1")
-
 KW = dict(n_max=2, n_knots=3, stamp_radius=8, lambda_grid=tuple(np.logspace(-4, 4, 5)), cv_folds=3, tile=128, block=64)
 N = 160
 
