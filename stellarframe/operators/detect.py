@@ -79,7 +79,7 @@ def isolated(stamps: DataFrame, isolation_radius: int, max_stamps: int) -> DataF
 
 def detect_stamps(frame_tiles: DataFrame, background: DataFrame | None = None, stamp_radius: int = 15, threshold_sigma: float = 5.0, max_stamps: int = 200, saturation: float = 0.0, isolation_radius: int = 0, border: int = 0, fwhm_radius: int = 0, size: int = tiles.SIZE) -> DataFrame:
     """D1. Zeros mean the defaults: border stamp_radius, isolation 2 stamp_radius, width measured within max(5, half of it)."""
-    level = pixels.background(tiles.to_pixels(frame_tiles, ["value", "mask"])) if background is None else background
+    level = tiles.background(frame_tiles) if background is None else background
     found = candidates(frame_tiles, level, stamp_radius, threshold_sigma, saturation, border, fwhm_radius, size)
     return isolated(found, isolation_radius or 2 * stamp_radius, max_stamps)
 

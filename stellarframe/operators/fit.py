@@ -116,6 +116,7 @@ def fit_stamps(s: Stamps, basis: Basis, knots: np.ndarray, grid, stamp_radius: i
     floor = max(1, min(min_stamps, n_stamps))
     if stamped is None:
         stamped = spline.min_spacing() >= 16 * (2 * stamp_radius + 1) and cv_folds > 1
+    start = None
     for turn in range(max(passes, least) + 1):
         use = accepted[s.of]
         folds = max(cv_folds, 1)
@@ -129,7 +130,8 @@ def fit_stamps(s: Stamps, basis: Basis, knots: np.ndarray, grid, stamp_radius: i
             return sum(parts, zero)
 
         parts = [normal(f) for f in range(folds)]
-        fit = solve_cv(parts, spline, grid) if folds > 1 else solve_gcv(parts[0], spline, grid)
+        fit = solve_cv(parts, spline, grid, start) if folds > 1 else solve_gcv(parts[0], spline, grid)
+        start = int(np.flatnonzero(np.asarray(grid) == fit.lam)[0])  # the next pass differs by few stamps
         c = fields(fit.theta, nc)
         values = design @ c
         residual = s.target - values[:, nc] - (values[:, :nc] * s.bn).sum(axis=1)

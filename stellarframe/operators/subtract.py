@@ -73,8 +73,16 @@ def _variance(v: tiles.View, basis: Basis, spline: Spline, c: np.ndarray, r: int
 def difference(pair: DataFrame, solutions: DataFrame, fill: DataFrame, saturation: float = 0.0, size: int = tiles.SIZE) -> DataFrame:
     """M7: tiles (value, variance, mask) of target minus model; variance and mask null if the pair has none.
 
-    pair: tiles with PAIR layers. fill: (frame_id, fill), what stands for bad pixels of the convolved frame (A4). Only
-    pixels that are bad themselves get the median of the good difference (R1) and variance 0; grown and edge pixels are flagged.
+    Only pixels that are bad themselves get the median of the good difference (R1) and variance 0; grown and edge pixels are
+    flagged.
+    """
+    return resolve(differences(pair, solutions, fill, saturation, size))
+
+
+def differences(pair: DataFrame, solutions: DataFrame, fill: DataFrame, saturation: float = 0.0, size: int = tiles.SIZE) -> DataFrame:
+    """M7 before bad pixels are filled: tiles (value, variance, mask) and exact_mask, which says what resolve() fills.
+
+    pair: tiles with PAIR layers. fill: (frame_id, fill), what stands for bad pixels of the convolved frame (A4).
     """
     sat, edge, nonfinite = MASK_BITS["saturated"], MASK_BITS["edge"], MASK_BITS["nonfinite"]
 
@@ -110,15 +118,12 @@ def difference(pair: DataFrame, solutions: DataFrame, fill: DataFrame, saturatio
 
     windows = tiles.halo_windows(pair.join(solutions.select("frame_id", "direction", *MODEL), "frame_id").join(fill, "frame_id"), "radius", size)
     schema = f"{tiles.TILE}, value array<float>, variance array<float>, mask array<smallint>, exact_mask array<smallint>"
-    # the median that fills bad pixels needs the whole frame first: keep the tiles rather than make them twice
-    return resolve(tiles.gather(windows, PAIR, run, schema, [*MODEL, "fill"]).persist())
+    return tiles.gather(windows, PAIR, run, schema, [*MODEL, "fill"])
 
 
 def resolve(raw: DataFrame, step: int = 7) -> DataFrame:
     """Pixels of exact_mask take the upper median of good pixels at every 7th place, and variance 0."""
-    one = tiles.to_pixels(raw.where("mask is not null"), ["value", "mask"]).join(raw.groupBy("frame_id").agg(F.first("width").alias("width")), "frame_id")
-    used = one.where((F.pmod(pixels.linear_index(), F.lit(step)) == 0) & pixels.good(F.col("value"), F.col("mask")))
-    fill = pixels.upper_median_of(used, "frame_id", "value", "_fill")
+    fill = tiles.median_at(raw.where("mask is not null"), step, "_fill")
     out = raw.join(fill, "frame_id", "left").withColumn("_fill", F.coalesce(F.col("_fill").cast("float"), F.lit(0.0).cast("float")))
     put = lambda c, x: F.when(F.col("exact_mask").isNull() | F.col(c).isNull(), F.col(c)).otherwise(F.zip_with(c, "exact_mask", lambda v, e: F.when(e != 0, x).otherwise(v)))
     return out.withColumns({"value": put("value", F.col("_fill")), "variance": put("variance", F.lit(0.0).cast("float"))}).drop("_fill", "exact_mask")

@@ -15,7 +15,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.fourier import upper_median
 from .pixels import frame_sizes
+from .schema import MAD_TO_SIGMA
 
 SIZE = 256
 HEAD = ["frame_id", "ty", "tx", "y0", "x0", "h", "w", "width", "height"]
@@ -71,6 +73,89 @@ def to_array(tiles: DataFrame, layer: str, frame_id: str | None = None) -> np.nd
     return out
 
 
+def decimated(frame_tiles: DataFrame, step: int | None = None, samples: int = 1 << 18, extra: Sequence[str] = ()) -> DataFrame:
+    """(frame_id, values, extra): of each tile the finite, unmasked values at every step-th place of the frame, counted along its rows.
+
+    Without a step, one for which about `samples` places of a frame are used.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in frame_tiles.schema.fields}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in batches:
+            values = []
+            for r in df.itertuples(index=False):
+                v = np.asarray(r.value, np.float32).reshape(r.h, r.w)
+                k = step or max(1, int(r.width) * int(r.height) // samples)
+                y, x = np.arange(r.y0, r.y0 + r.h, dtype=np.int64)[:, None], np.arange(r.x0, r.x0 + r.w)
+                use = ((y * int(r.width) + x) % k == 0) & np.isfinite(v)
+                if r.mask is not None:
+                    use &= np.asarray(r.mask).reshape(r.h, r.w) == 0
+                values.append(v[use])
+            yield pd.DataFrame({"frame_id": df.frame_id, "values": pd.Series(values, dtype=object, index=df.index)} | {c: df[c] for c in extra})
+
+    more = "".join(f", `{c}` {kinds[c]}" for c in extra)
+    return frame_tiles.select(*HEAD, "value", "mask", *extra).mapInPandas(run, f"frame_id string, values array<float>{more}")
+
+
+def background(frame_tiles: DataFrame, samples: int = 1 << 18) -> DataFrame:
+    """A2 on tiles: (frame_id, median, sigma). A frame's samples, twice `samples` at most, meet in one task."""
+
+    def run(df: pd.DataFrame) -> pd.DataFrame:
+        v = np.concatenate([np.asarray(a, np.float64) for a in df["values"]])
+        med = upper_median(v, 0.0)
+        return pd.DataFrame({"frame_id": [df.frame_id.iloc[0]], "median": [med], "sigma": [MAD_TO_SIGMA * upper_median(np.abs(v - med), 0.0)]})
+
+    return decimated(frame_tiles, None, samples).groupBy("frame_id").applyInPandas(run, "frame_id string, median double, sigma double")
+
+
+def _ordered(v: np.ndarray) -> np.ndarray:
+    """Single-precision numbers as unsigned integers in the same order."""
+    bits = np.ascontiguousarray(v + np.float32(0), np.float32).view(np.uint32)
+    return np.where(bits >> 31, ~bits, bits | np.uint32(1 << 31))
+
+
+def median_at(frame_tiles: DataFrame, step: int = 7, out: str = "fill") -> DataFrame:
+    """A3, A4 on tiles: (frame_id, out): the upper median of the good values at every step-th place; 0 if there are none.
+
+    Exact, and no task sees more than 65,536 rows of a frame: the upper halves of the numbers' bits are counted first,
+    then the lower halves of those that share the median's upper half.
+    """
+
+    def count(low: bool):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for df in batches:
+                rows = []
+                for r in df.itertuples(index=False):
+                    bits = _ordered(np.asarray(r.values, np.float32))
+                    part, n = np.unique(bits[bits >> 16 == r.high] & 0xFFFF if low else bits >> 16, return_counts=True)
+                    rows.append(pd.DataFrame({"frame_id": r.frame_id, "part": part.astype(np.int64), "n": n.astype(np.int64)}))
+                yield pd.concat(rows) if rows else pd.DataFrame({"frame_id": pd.Series([], dtype=object), "part": pd.Series([], dtype="int64"), "n": pd.Series([], dtype="int64")})
+
+        return run
+
+    def pick(df: pd.DataFrame, rank: int) -> tuple[int, int]:
+        """The part that holds the number of this rank, and its rank in the part."""
+        df = df.sort_values("part")
+        ends = df.n.cumsum().to_numpy()
+        k = int(np.searchsorted(ends, rank, side="right"))
+        return int(df.part.iloc[k]), rank - int(ends[k] - df.n.iloc[k])
+
+    def upper(df: pd.DataFrame) -> pd.DataFrame:
+        high, rank = pick(df, int(df.n.sum()) // 2)
+        return pd.DataFrame({"frame_id": [df.frame_id.iloc[0]], "high": [high], "rank": [rank]})
+
+    def lower(df: pd.DataFrame) -> pd.DataFrame:
+        bits = np.uint32(int(df.high.iloc[0]) << 16 | pick(df, int(df["rank"].iloc[0]))[0])
+        value = (bits ^ np.uint32(1 << 31) if bits >> 31 else ~bits).view(np.float32)
+        return pd.DataFrame({"frame_id": [df.frame_id.iloc[0]], out: [float(value)]})
+
+    counted = lambda df, low: df.mapInPandas(count(low), "frame_id string, part long, n long").groupBy("frame_id", "part").agg(F.sum("n").alias("n"))
+    highs = counted(decimated(frame_tiles, step), False).groupBy("frame_id").applyInPandas(upper, "frame_id string, high long, rank long")
+    again = decimated(frame_tiles.join(highs.select("frame_id", "high"), "frame_id"), step, extra=["high"])
+    lows = counted(again, True).join(highs, "frame_id").groupBy("frame_id").applyInPandas(lower, f"frame_id string, `{out}` double")
+    return frame_tiles.select("frame_id").distinct().join(lows, "frame_id", "left").select("frame_id", F.coalesce(out, F.lit(0.0)).alias(out))
+
+
 @dataclass
 class View:
     """A window: key, place (y0, x0) in the frame, frame size, layers as (h, w) arrays (None if absent) and the extras."""

@@ -65,8 +65,9 @@ class Result:
     def scored_pixels(self) -> DataFrame:
         if self.score is None:
             raise ValueError("no score: make the engine with score=True")
-        d = tiles.to_pixels(self.difference, ["value", "variance", "mask"])
-        return d.join(tiles.to_pixels(self.score, ["score"]), ["frame_id", "y", "x"])
+        """(frame_id, y, x, value, variance, mask, score): tiles meet first, then they are spread."""
+        both = self.difference.join(self.score.select("frame_id", "ty", "tx", "score"), ["frame_id", "ty", "tx"])
+        return tiles.to_pixels(both, ["value", "variance", "mask", "score"])
 
     def build_catalog(self, settings: catalog.Settings | None = None, polarity: str = "positive", fit_psf_shape: bool = False, bright: DataFrame | None = None) -> DataFrame:
         """The catalog anew with other settings; bright stars are the fit's stamps unless given. Without settings each frame
@@ -148,8 +149,8 @@ class Subtractor:
 
     @staticmethod
     def fill(oriented: DataFrame) -> DataFrame:
-        px = tiles.to_pixels(oriented.select(*tiles.HEAD, F.col("c_value").alias("value"), F.col("c_mask").alias("mask")), ["value", "mask"])
-        return pixels.fill_value(px)
+        """A4: (frame_id, fill)."""
+        return tiles.median_at(oriented.select(*tiles.HEAD, F.col("c_value").alias("value"), F.col("c_mask").alias("mask")))
 
     # ---- O2 ----
 
@@ -174,9 +175,11 @@ class Subtractor:
     def apply(self, solutions: DataFrame, pair: DataFrame) -> Result:
         """Frozen solutions on pairs of the same frame_id; a pair without a solution of its shape has no result."""
         fitting = pair.join(solutions.select("frame_id", F.col("width").alias("_w"), F.col("height").alias("_h")), "frame_id").where((F.col("width") == F.col("_w")) & (F.col("height") == F.col("_h"))).drop("_w", "_h")
-        oriented = self.oriented(fitting, solutions)
+        oriented = cut(self.oriented(fitting, solutions))  # read by every step below
         levels = [v for v in (self.saturation, self.bright_mask) if v and v > 0]  # P23
-        diff = subtract.difference(oriented, solutions, self.fill(oriented), min(levels, default=0.0), self.tile)
+        # the median that fills bad pixels needs the whole frame first: cut there rather than make the tiles twice
+        raw = cut(subtract.differences(oriented, solutions, self.fill(oriented), min(levels, default=0.0), self.tile))
+        diff = subtract.resolve(raw)
         sign = F.when(F.col("direction") == "science", -1.0).otherwise(1.0).cast("float")  # P21
         diff = diff.join(solutions.select("frame_id", "direction"), "frame_id").withColumn("_sign", sign)
         diff = diff.withColumn("value", F.transform("value", lambda v: v * F.col("_sign"))).drop("_sign", "direction")
@@ -188,7 +191,7 @@ class Subtractor:
         noisy = oriented.select("frame_id", "ty", "tx", "t_variance", "c_variance")
         both = diff.select(*tiles.HEAD, "value").join(noisy, ["frame_id", "ty", "tx"]).where("t_variance is not null and c_variance is not null").join(model, "frame_id")
         if self.decorrelate:
-            white = noise.decorrelate(both, self.block, self.tile).select("frame_id", "ty", "tx", F.col("value").alias("_v"), F.col("variance").alias("_var"))
+            white = cut(noise.decorrelate(both, self.block, self.tile)).select("frame_id", "ty", "tx", F.col("value").alias("_v"), F.col("variance").alias("_var"))
             if scale is not None:
                 white = white.join(scale, "frame_id", "left").withColumn("_k", F.coalesce("scale", F.lit(1.0)).cast("float")).withColumn("_var", F.transform("_var", lambda v: v * F.col("_k"))).drop("_k", "scale")
             diff = diff.join(white, ["frame_id", "ty", "tx"], "left").withColumns({"value": F.coalesce("_v", "value"), "variance": F.coalesce("_var", "variance")}).drop("_v", "_var")
@@ -202,8 +205,8 @@ class Subtractor:
         if self.decorrelate:
             white = noise.whiten_score_psf(both.join(psf, "frame_id"), self.block, self.tile).withColumnRenamed("psf", "_white")
             psf = psf.join(white, "frame_id", "left").select("frame_id", F.coalesce("_white", "psf").alias("psf"))
-        spread = tiles.to_pixels(diff, ["value"]).groupBy("frame_id").agg(F.var_pop("value").cast("float").alias("_spread"))
-        known = diff.join(spread, "frame_id").withColumn("variance", F.coalesce("variance", F.transform("value", lambda v: F.col("_spread")))).drop("_spread")
+        spread = tiles.to_pixels(diff.where("variance is null"), ["value"]).groupBy("frame_id").agg(F.var_pop("value").cast("float").alias("_spread"))
+        known = diff.join(spread, "frame_id", "left").withColumn("variance", F.coalesce("variance", F.transform("value", lambda v: F.col("_spread")))).drop("_spread")
         psf = cut(psf)
         score = cut(tiles.matched_filter(known.join(psf, "frame_id"), "psf", self.tile, radius))
         result = replace(result, score=score, psf=psf)
