@@ -216,13 +216,13 @@ def build(scores: DataFrame, settings: Settings = Settings(), polarity: str = "p
     if polarity not in ("positive", "negative", "both"):
         raise ValueError("polarity must be positive, negative or both")
     px = scores.select("frame_id", "y", "x", "value", "variance", "mask")
-    seed = {p: pixels.seeds(scores, settings.threshold if p > 0 else settings.dipole_threshold, p, settings.exclude_bad).persist() for p in (1, -1)}  # few, and read often
+    seed = {p: pixels.cut(pixels.seeds(scores, settings.threshold if p > 0 else settings.dipole_threshold, p, settings.exclude_bad)) for p in (1, -1)}  # few, and read often
 
     def one(sign: int) -> DataFrame:
-        labelled = label(seed[sign]).persist()
+        labelled = pixels.cut(label(seed[sign]))
         entries = summarise(labelled, px, settings, sign, widths)
         dipoles = touching(labelled, seed[-sign]).withColumn("is_dipole", F.lit(True))
-        entries = entries.join(dipoles, ["frame_id", "label"], "left").withColumn("is_dipole", F.coalesce("is_dipole", F.lit(False))).persist()
+        entries = pixels.cut(entries.join(dipoles, ["frame_id", "label"], "left").withColumn("is_dipole", F.coalesce("is_dipole", F.lit(False))))
         out = with_quality(enrich(entries, px, settings, psf, bright))
         return out.select(
             "frame_id", "x", "y", "peak_x", "peak_y", "peak_snr", "n_pix", "flux", "expected_n_pix", "fwhm_ratio", "fwhm_consistent", "mask_flags", "is_dipole", "psf_chi2", "psf_chi2_dof",

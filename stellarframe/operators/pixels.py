@@ -15,6 +15,11 @@ from pyspark.sql.window import Window
 from .schema import FWHM_PER_SIGMA, MAD_TO_SIGMA, MEDIAN_CHI2_1
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """df with its lineage cut: written to spark.checkpoint.dir, else only kept. Long plans joined with themselves take very long to analyse."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+
+
 def along_row():
     return Window.partitionBy("frame_id", "y").orderBy("x")
 
@@ -178,48 +183,66 @@ def rms_and_masked(px: DataFrame) -> DataFrame:
 
 
 def residual_rms(px: DataFrame, y0: int, y1: int, x0: int, x1: int) -> DataFrame:
-    """Population deviation in the box y0 <= y < y1, x0 <= x < x1."""
+    """Population deviation in the box y0 <= y < y1, x0 <= x < x1; ends below 1 count from the frame's end."""
+    if y1 < 1 or x1 < 1:
+        px = px.join(frame_sizes(px), "frame_id")
+    y1, x1 = F.lit(y1) if y1 > 0 else F.col("height") + y1, F.lit(x1) if x1 > 0 else F.col("width") + x1
     box = px.where((F.col("y") >= y0) & (F.col("y") < y1) & (F.col("x") >= x0) & (F.col("x") < x1))
     return box.groupBy("frame_id").agg(F.stddev_pop(F.col("value").cast("double")).alias("rms"))
 
 
-def sigma_clip(px: DataFrame, n_sigma: float = 4.0, rounds: int = 6) -> DataFrame:
-    """(frame_id, median, sigma, n) after clipping at n_sigma robust deviations from the median, `rounds` times at most.
+def _values(px: DataFrame) -> DataFrame:
+    return px.where(finite(F.col("value"))).select("frame_id", F.col("value").cast("double").alias("value"))
+
+
+def _centre(values: DataFrame) -> DataFrame:
+    """(frame_id, median, sigma, n) of column value, the deviation from the median absolute one."""
+    med = values.groupBy("frame_id").agg(F.percentile("value", 0.5).alias("median"), F.count(F.lit(1)).alias("n"))
+    dev = values.join(med, "frame_id").withColumn("dev", F.abs(F.col("value") - F.col("median")))
+    return dev.groupBy("frame_id").agg(F.first("median").alias("median"), (F.percentile("dev", 0.5) * MAD_TO_SIGMA).alias("sigma"), F.first("n").alias("n"))
+
 
-    A frame that has settled no longer changes in the further rounds.
+def clipped(px: DataFrame, n_sigma: float = 4.0, rounds: int = 6) -> DataFrame:
+    """(frame_id, value) of the finite values nearer to the median than n_sigma robust deviations, told anew `rounds` times.
+
+    A frame that has settled, or has no deviation, no longer changes in the further rounds.
     """
-    values = px.where(finite(F.col("value"))).select("frame_id", F.col("value").cast("double").alias("value"))
+    values = _values(px)
     inf = float("inf")
     bounds = values.groupBy("frame_id").agg(F.lit(-inf).alias("lo"), F.lit(inf).alias("hi"))
 
-    def stats(bounds: DataFrame) -> DataFrame:
-        here = values.join(bounds, "frame_id").where(F.col("value").between(F.col("lo"), F.col("hi")))
-        med = here.groupBy("frame_id").agg(F.percentile("value", 0.5).alias("median"), F.count(F.lit(1)).alias("n"))
-        dev = here.join(med, "frame_id").withColumn("dev", F.abs(F.col("value") - F.col("median")))
-        return dev.groupBy("frame_id").agg(F.first("median").alias("median"), (F.percentile("dev", 0.5) * MAD_TO_SIGMA).alias("sigma"), F.first("n").alias("n"), F.first("lo").alias("lo"), F.first("hi").alias("hi"))
+    def within(bounds: DataFrame) -> DataFrame:
+        return values.join(bounds, "frame_id").where((F.col("value") > F.col("lo")) & (F.col("value") < F.col("hi")))
 
     for _ in range(rounds):
-        # a row for each frame, kept so that a round reads the values only for itself
-        now = stats(bounds).persist()
         reach = F.when(F.col("sigma") > 0, n_sigma * F.col("sigma")).otherwise(inf)
-        bounds = now.select("frame_id", F.greatest("lo", F.col("median") - reach).alias("lo"), F.least("hi", F.col("median") + reach).alias("hi"))
-    return stats(bounds).select("frame_id", "median", "sigma", "n")
+        told = _centre(within(bounds).select("frame_id", "value")).join(bounds, "frame_id")
+        # a row for each frame, written so that a round reads the values only for itself
+        bounds = cut(told.select("frame_id", F.greatest("lo", F.col("median") - reach).alias("lo"), F.least("hi", F.col("median") + reach).alias("hi")))
+    return within(bounds).select("frame_id", "value")
+
+
+def sigma_clip(px: DataFrame, n_sigma: float = 4.0, rounds: int = 6) -> DataFrame:
+    """(frame_id, median, sigma, n) of what clipped() leaves."""
+    return _centre(clipped(px, n_sigma, rounds))
 
 
 def gaussianity(pulls: DataFrame) -> DataFrame:
-    """Robust sigma, skewness, excess kurtosis and Kolmogorov-Smirnov distance from a unit normal of column value."""
-    z = pulls.where(finite(F.col("value"))).select("frame_id", F.col("value").cast("double").alias("z"))
-    med = z.groupBy("frame_id").agg(F.percentile("z", 0.5).alias("median"), F.count(F.lit(1)).alias("n"))
-    # ranks by value bins keep a frame's pixels out of one task: ties share the last rank, as the step function does
-    counts = z.groupBy("frame_id", "z").agg(F.count(F.lit(1)).alias("c"))
-    bins = counts.withColumn("bin", F.floor(F.col("z") * 64))
-    before = bins.groupBy("frame_id", "bin").agg(F.sum("c").alias("s")).withColumn("below", F.coalesce(F.sum("s").over(Window.partitionBy("frame_id").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    ranked = bins.join(before, ["frame_id", "bin"]).join(med, "frame_id")
+    """Robust sigma of column value; of its clipped core, standardised by the core's mean and deviation, the skewness, excess
+    kurtosis and the largest distance of the share of values up to each from the unit normal.
+    """
+    whole = _centre(_values(pulls)).select("frame_id", F.col("sigma").alias("robust_sigma"))
+    core = clipped(pulls)
+    shape = core.groupBy("frame_id").agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("s"), F.count(F.lit(1)).alias("n"), F.skewness("value").alias("skewness"), F.kurtosis("value").alias("kurtosis"))
+    # ranks by value bins keep a frame's pixels out of one task
+    counts = core.groupBy("frame_id", "value").agg(F.count(F.lit(1)).alias("c"))
+    bins = counts.join(shape.select("frame_id", "m", "s", "n"), "frame_id").withColumn("z", (F.col("value") - F.col("m")) / F.col("s")).withColumn("bin", F.floor(F.col("z") * 64))
+    before = bins.groupBy("frame_id", "bin").agg(F.sum("c").alias("b")).withColumn("below", F.coalesce(F.sum("b").over(Window.partitionBy("frame_id").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     upto = F.col("below") + F.sum("c").over(Window.partitionBy("frame_id", "bin").orderBy("z").rowsBetween(Window.unboundedPreceding, 0))
-    gap = F.greatest(F.abs(upto / F.col("n") - normal_cdf(F.col("z"))), F.abs((upto - F.col("c")) / F.col("n") - normal_cdf(F.col("z"))))
-    ks = ranked.withColumn("gap", gap).groupBy("frame_id").agg(F.max("gap").alias("ks"))
-    shape = z.join(med, "frame_id").groupBy("frame_id").agg((F.percentile(F.abs(F.col("z") - F.col("median")), 0.5) * MAD_TO_SIGMA).alias("robust_sigma"), F.skewness("z").alias("skewness"), F.kurtosis("z").alias("kurtosis"))
-    return shape.join(ks, "frame_id")
+    # equal values stand for ranks from the first of them to the last
+    gap = F.greatest(F.abs(upto / F.col("n") - normal_cdf(F.col("z"))), F.abs((upto - F.col("c") + 1) / F.col("n") - normal_cdf(F.col("z"))))
+    ks = bins.join(before, ["frame_id", "bin"]).withColumn("gap", gap).groupBy("frame_id").agg(F.max("gap").alias("ks"))
+    return whole.join(shape.select("frame_id", "skewness", "kurtosis"), "frame_id").join(ks, "frame_id")
 
 
 def normal_cdf(z: Column) -> Column:

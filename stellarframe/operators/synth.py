@@ -62,14 +62,18 @@ def inject(px: DataFrame, stars: DataFrame, sigma: float, width: int, height: in
 
 
 def peak_near(points: DataFrame, scores: DataFrame, radius: int = 3) -> DataFrame:
-    """(frame_id, point, peak): the largest score (column value) within radius of each point."""
-    v = F.when(pixels.finite(F.col("value")), F.col("value").cast("double"))
-    return pixels.boxed(points, scores, radius).groupBy("frame_id", "point").agg(F.max(v).alias("peak"))
+    """(frame_id, point, peak, peak_y, peak_x): the largest score (column value) within radius of each point and where it
+    is, the first by rows if several."""
+    v = F.col("value").cast("double")
+    best = F.min_by(F.struct(v.alias("peak"), F.col("y").alias("peak_y"), F.col("x").alias("peak_x")), F.struct(-v, "y", "x"))
+    found = pixels.boxed(points, scores, radius).where(pixels.finite(v)).groupBy("frame_id", "point").agg(best.alias("_best"))
+    return found.select("frame_id", "point", "_best.*")
 
 
 def completeness(points: DataFrame, scores: DataFrame, threshold: float = 5.0, radius: int = 3) -> DataFrame:
-    """Points with `recovered`: whether the score reaches the threshold near them."""
-    return points.join(peak_near(points, scores, radius), ["frame_id", "point"], "left").withColumn("recovered", F.coalesce(F.col("peak") >= threshold, F.lit(False)))
+    """Points with `peak` and `recovered`: whether the score reaches the threshold near them."""
+    near = peak_near(points, scores, radius).drop("peak_y", "peak_x")
+    return points.join(near, ["frame_id", "point"], "left").withColumn("recovered", F.coalesce(F.col("peak") >= threshold, F.lit(False)))
 
 
 def field_stats(values: DataFrame) -> DataFrame:

@@ -9,12 +9,14 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.basis import Basis
-from ..functions.spline import Spline, grid_knots
-from ..operators import catalog, pixels, synth
+from ..functions.solve import Normal
+from ..functions.spline import Spline, evaluate, grid_knots
+from ..operators import catalog, detect, noise, pixels, subtract, synth, tiles
 from ..operators.schema import FWHM_PER_SIGMA, MAD_TO_SIGMA, MEDIAN_CHI2_1
 
 WIDTH = 64
@@ -217,39 +219,147 @@ def _tap_rows(kernel: list[list[float]], power: int = 1) -> str:
     return "taps AS (SELECT * FROM (VALUES " + ", ".join(f"({y - r}, {x - r}, CAST({v ** power!r} AS DOUBLE))" for y, row in enumerate(kernel) for x, v in enumerate(row)) + ") t(dy, dx, k))"
 
 
-def _correlated(px: DataFrame, kernel: list[list[float]], value: str, sign: int = 1) -> DataFrame:
-    """The sum over taps of k * value at (y + dy, x + dx) or, with sign -1, (y - dy, x - dx): taps of one row, then rows."""
-    r, out = len(kernel) // 2, None
-    for y, row in enumerate(kernel):
-        along = None
-        for x, k in enumerate(row):
-            shift = sign * (x - r)
-            at = F.col(value) if not shift else F.lead(value, shift).over(pixels.along_row()) if shift > 0 else F.lag(value, -shift).over(pixels.along_row())
-            along = F.lit(k) * F.coalesce(at, F.lit(0.0)) if along is None else along + F.lit(k) * F.coalesce(at, F.lit(0.0))
-        px = px.withColumn(f"_r{y}", along)
-        shift = sign * (y - r)
-    for y in range(len(kernel)):
-        shift = sign * (y - r)
-        at = F.col(f"_r{y}") if not shift else F.lead(f"_r{y}", shift).over(pixels.along_column()) if shift > 0 else F.lag(f"_r{y}", -shift).over(pixels.along_column())
-        out = F.coalesce(at, F.lit(0.0)) if out is None else out + F.coalesce(at, F.lit(0.0))
-    return px.withColumn("_sum", out).drop(*(f"_r{y}" for y in range(len(kernel))))
+def _tiled(px: DataFrame) -> DataFrame:
+    return tiles.to_tiles(px, size=WIDTH)
+
+
+def _spread(df: DataFrame, *layers: str) -> DataFrame:
+    return tiles.to_pixels(df, list(layers)).drop("frame_id")
 
 
 @_register(f""", {_tap_rows(PSF)}, c AS (SELECT p.y - dy AS y, p.x - dx AS x, sum(k * p.v) AS s FROM px p, taps GROUP BY p.y - dy, p.x - dx)
-SELECT y, x, round(s / sqrt(variance * (SELECT sum(k * k) FROM taps)), 6) AS score FROM c JOIN px USING (y, x)""")
+SELECT y, x, CAST(s / sqrt(variance * (SELECT sum(k * k) FROM taps)) AS FLOAT) AS score FROM c JOIN px USING (y, x)""")
 def matched_filter(px, spark, sf_dir):
-    norm = sum(v * v for row in PSF for v in row)
-    return _round(_correlated(px, PSF, "value").select("y", "x", (F.col("_sum") / F.sqrt(F.col("variance") * norm)).alias("score")))
+    """W9 on tiles."""
+    psf = F.array(*(F.lit(v) for row in PSF for v in row))
+    return _spread(tiles.matched_filter(_tiled(px).withColumn("psf", psf), "psf", WIDTH, 2), "score")
+
+
+# A model that varies over the frame: each component's coefficient, and the background, is a plane.
+_KNOTS = grid_knots(0, 0, 63, 99, 3, 3)
+_SPLINE = Spline(_KNOTS)
+_BASIS = Basis(0.9, 1, 2)
+_PLANES = [(0.8, 0.1, -0.05), (0.07, -0.02, 0.03), (-0.04, 0.01, 0.02), (0.01, 0.003, -0.002)]
+_THETA = [c for plane in _PLANES for c in (*[0.0] * 6, *plane)]
+
+
+def _u(x: str = "x") -> str:
+    return f"(({x} - {float(_SPLINE.centre[0])!r}) / {float(_SPLINE.scale)!r})"
+
+
+def _v(y: str = "y") -> str:
+    return f"(({y} - {float(_SPLINE.centre[1])!r}) / {float(_SPLINE.scale)!r})"
+
+
+def _plane(n: int, x: str = "x", y: str = "y") -> str:
+    a, b, c = _PLANES[n]
+    return f"({a!r} + {b!r} * {_u(x)} + {c!r} * {_v(y)})"
+
+
+def _modelled(df: DataFrame) -> DataFrame:
+    numbers = lambda v: F.array(*(F.lit(float(x)) for x in v))
+    return df.withColumns({"knots": numbers(_KNOTS.ravel()), "theta": numbers(_THETA), "beta": F.lit(_BASIS.beta), "n_max": F.lit(_BASIS.n_max), "radius": F.lit(_BASIS.radius)})
 
 
-KERNEL = [[round(float(v), 6) for v in row] for row in Basis(0.8, 1, 2).kernels[1] + Basis(0.8, 1, 2).kernels[0]]
+_MIDDLE = {c: f"least({c} - {c} % 64 + least(64, {n} - ({c} - {c} % 64)) // 2, {n} - 1)" for c, n in (("x", "w"), ("y", "h"))}
+_COMPONENTS = "taps AS (SELECT * FROM (VALUES " + ", ".join("(" + ", ".join([str(y - 2), str(x - 2), *(f"CAST({float(k[y, x])!r} AS DOUBLE)" for k in _BASIS.kernels)]) + ")" for y in range(5) for x in range(5)) + ") t(dy, dx, k0, k1, k2))"
+_MODEL_SQL = f""", {SECOND}, {_COMPONENTS},
+c AS (SELECT p.y + dy AS y, p.x + dx AS x, sum(k0 * p.v) AS c0, sum(k1 * p.v) AS c1, sum(k2 * p.v) AS c2, {", ".join(f"sum(k{i} * k{j} * p.variance) AS n{i}{j}" for i in range(3) for j in range(i, 3))} FROM px2 p, taps GROUP BY p.y + dy, p.x + dx),
+raw AS (SELECT y, x, CAST(v - ({_plane(0)} * c0 + {_plane(1)} * c1 + {_plane(2)} * c2 + {_plane(3)}) AS FLOAT) AS d,
+  CAST(px.variance + {" + ".join(f"{1 if i == j else 2} * {_plane(i, _MIDDLE['x'], _MIDDLE['y'])} * {_plane(j, _MIDDLE['x'], _MIDDLE['y'])} * n{i}{j}" for i in range(3) for j in range(i, 3))} AS FLOAT) AS s2,
+  mask AS own, mask | CASE WHEN x < 2 OR x >= w - 2 OR y < 2 OR y >= h - 2 THEN 16 ELSE 0 END AS mask, w FROM c JOIN px USING (y, x), dims),
+fill AS (SELECT {_upper('d')} AS f FROM raw WHERE mask = 0 AND (CAST(y AS BIGINT) * w + x) % 7 = 0)"""
 
 
-@_register(f""", {_tap_rows(KERNEL, 2)}, c AS (SELECT p.y + dy AS y, p.x + dx AS x, sum(k * p.variance) AS s FROM px p, taps GROUP BY p.y + dy, p.x + dx)
-SELECT y, x, round(variance + s, 6) AS variance FROM c JOIN px USING (y, x)""")
+@_register(f"{_MODEL_SQL} SELECT y, x, CASE WHEN own <> 0 THEN f ELSE d END AS value, CAST(mask AS SMALLINT) AS mask FROM raw, fill")
+def difference_model(px, spark, sf_dir):
+    """The difference under a model that varies over the frame, its bad pixels filled."""
+    return _difference(px).select("y", "x", "value", "mask")
+
+
+@_register(f"{_MODEL_SQL} SELECT y, x, CASE WHEN own <> 0 THEN CAST(0 AS FLOAT) ELSE s2 END AS variance FROM raw")
 def variance_propagation(px, spark, sf_dir):
-    squared = [[v**2 for v in row] for row in KERNEL]
-    return _round(_correlated(px, squared, "variance", -1).select("y", "x", (F.col("variance") + F.col("_sum")).alias("variance")))
+    """The variance of that difference, the kernel taken at the middle of squares of 64 pixels."""
+    return _difference(px).select("y", "x", "variance")
+
+
+def _difference(px: DataFrame) -> DataFrame:
+    ours, theirs = _tiled(px), _tiled(second(px)).select("frame_id", "ty", "tx", F.col("value").alias("c_value"), F.col("variance").alias("c_variance"))
+    pair = ours.withColumnsRenamed({"value": "t_value", "variance": "t_variance", "mask": "t_mask"}).join(theirs, ["frame_id", "ty", "tx"])
+    pair = pair.withColumn("c_mask", F.lit(None).cast("array<smallint>"))
+    frames = px.select("frame_id").distinct()
+    solutions = _modelled(frames.withColumn("direction", F.lit("reference")))
+    return _spread(subtract.difference(pair, solutions, frames.withColumn("fill", F.lit(0.0)), 0.0, WIDTH), "value", "variance", "mask")
+
+
+@_register(f"SELECT y, x, CAST({' + '.join(f'{float(s)!r} * {_plane(n)}' for n, s in enumerate(_BASIS.sums))} AS FLOAT) AS scale FROM px")
+def photometric_scale(px, spark, sf_dir):
+    """The sum of the kernel at each pixel."""
+    return _spread(subtract.photometric_scale(_modelled(_tiled(px)), WIDTH), "scale")
+
+
+@_register(" UNION ALL ".join(f"SELECT y, x, {n} AS n, round({_plane(n)}, 6) AS coefficient FROM px" for n in range(4)).join(["SELECT * FROM (", ")"]))
+def coefficient_fields(px, spark, sf_dir):
+    """The fields of all components and the background."""
+    out = subtract.coefficient_fields(_modelled(_tiled(px)), WIDTH)
+    return _round(_components(out, "coefficients", "coefficient"))
+
+
+def _components(df: DataFrame, layer: str, name: str) -> DataFrame:
+    """Pixel rows (y, x, n, name) of an array that holds one plane after the other."""
+    one = df.select("y0", "x0", "w", (F.col("h") * F.col("w")).alias("_size"), F.posexplode(layer).alias("_i", name))
+    at = F.pmod("_i", "_size")
+    return one.select((F.col("y0") + F.floor(at / F.col("w"))).cast("int").alias("y"), (F.col("x0") + F.pmod(at, F.col("w"))).cast("int").alias("x"), F.floor(F.col("_i") / F.col("_size")).cast("int").alias("n"), name)
+
+
+def _hermite(beta: float, radius: int) -> str:
+    """The one-dimensional functions of order 0 to 2 from their formula."""
+    forms = {0: "1", 1: "2 * t", 2: "4 * t * t - 2"}
+    one = " UNION ALL ".join(f"SELECT {n} AS n, d, ({f}) * exp(-0.5 * t * t) / sqrt({2**n * math.factorial(n)} * sqrt(pi()) * {beta}) AS k FROM line" for n, f in forms.items())
+    return f"line AS (SELECT d, d / {beta} AS t FROM (SELECT unnest(generate_series(-{radius}, {radius})) AS d)), rows1 AS ({one})"
+
+
+@_register(f""", {_hermite(1.1, 3)}, ax AS (SELECT p.y, p.x + d AS x, n, sum(k * p.v) AS a FROM px p, rows1 GROUP BY p.y, p.x + d, n),
+b AS (SELECT ax.y + r.d AS y, ax.x, ax.n AS nx, r.n AS ny, sum(r.k * a) AS b FROM ax JOIN rows1 r ON ax.n + r.n <= 2 GROUP BY ax.y + r.d, ax.x, ax.n, r.n)
+SELECT y, x, CAST((nx + ny) * (nx + ny + 1) // 2 + ny AS INT) AS n, round(b, 6) AS value FROM b JOIN px USING (y, x)""")
+def basis_convolution(px, spark, sf_dir):
+    """The frame convolved with each Gauss-Hermite component."""
+    return _round(_components(tiles.convolve_basis(_tiled(px), Basis(1.1, 2, 3), WIDTH), "stack", "value"))
+
+
+@_register(f"{BACKGROUND} SELECT round(m, 6) AS median, round(s, 6) AS sigma FROM bg")
+def tile_background(px, spark, sf_dir):
+    """A2 as the engine takes it, on tiles."""
+    return _round(tiles.background(_tiled(px)).select("median", "sigma"))
+
+
+@_register(f"SELECT {_upper('v')} AS fill FROM px, dims WHERE mask = 0 AND (CAST(y AS BIGINT) * w + x) % 7 = 0")
+def tile_median(px, spark, sf_dir):
+    """A3, A4 as the engine takes them, on tiles."""
+    return tiles.median_at(_tiled(px)).select("fill")
+
+
+@_register(f"""{BACKGROUND}{_footprint(2)}{_peaks('px', 'v')}, cd AS (SELECT pk.y, pk.x, pk.v FROM pk JOIN fp USING (y, x), bg, dims WHERE top AND ok AND pk.v > m + 2 * s AND pk.x >= 3 AND pk.x < w - 3 AND pk.y >= 3 AND pk.y < h - 3),
+b AS (SELECT cd.y, cd.x, greatest(p.v - m, 0) AS w, p.x AS gx, p.y AS gy FROM cd JOIN px p ON p.y BETWEEN cd.y - 3 AND cd.y + 3 AND p.x BETWEEN cd.x - 3 AND cd.x + 3, bg),
+q AS (SELECT y, x, sum(w * gx) / sum(w) AS mx, sum(w * gy) / sum(w) AS my FROM b GROUP BY y, x),
+f AS (SELECT y, x, {FWHM_PER_SIGMA} * sqrt(0.5 * sum(w * ((gx - mx) * (gx - mx) + (gy - my) * (gy - my))) / sum(w)) AS fwhm FROM b JOIN q USING (y, x) GROUP BY y, x)
+SELECT y, x, round(v - m, 6) AS flux, round((v - m) / s, 6) AS snr, round(fwhm, 6) AS fwhm FROM cd JOIN f USING (y, x), bg""")
+def stamp_candidates(px, spark, sf_dir):
+    """D1 before thinning, F4, F5, A5 on tiles."""
+    t = _tiled(px)
+    return _round(detect.candidates(t, tiles.background(t), 2, 2.0, 0.0, 3, 3, WIDTH).select("y", "x", "flux", "snr", "fwhm"))
+
+
+@_register(f"""{POINTS}, b AS (SELECT pt.y, pt.x, p.y - pt.y AS dy, p.x - pt.x AS dx, p.v FROM {_box(2)}), whole AS (SELECT y, x FROM b GROUP BY y, x HAVING count(*) = 25),
+s AS (SELECT y, x, quantile_cont(v, 0.5) AS m, sum(v) AS t FROM b JOIN whole USING (y, x) GROUP BY y, x),
+c AS (SELECT dy, dx, quantile_cont((v - m) / (t - 25 * m), 0.5) AS c FROM b JOIN s USING (y, x) WHERE t - 25 * m > 0 GROUP BY dy, dx)
+SELECT CAST((dy + 2) * 5 + dx + 2 AS INT) AS i, round(greatest(c, 0) / (SELECT sum(greatest(c, 0)) FROM c), 6) AS psf FROM c""")
+def psf_estimate(px, spark, sf_dir):
+    """The point source from the stamps of bright peaks."""
+    order = F.row_number().over(pixels.Window.partitionBy("frame_id").orderBy("py", "px"))
+    stamps = _points(px).select("frame_id", order.alias("stamp"), F.col("px").alias("x"), F.col("py").alias("y"))
+    psf = noise.estimate_psf(_tiled(px), stamps, 2, "value", WIDTH)
+    return _round(psf.select(F.posexplode("psf").alias("i", "psf")))
 
 
 def _seed(p: int) -> str:
@@ -342,9 +452,9 @@ def difference_rms(px, spark, sf_dir):
     return _round(pixels.rms_and_masked(px).select("rms", "n_masked"))
 
 
-@_register("SELECT round(stddev_pop(v), 6) AS rms FROM px WHERE y >= 10 AND y < 60 AND x >= 5 AND x < 40")
+@_register("SELECT round(stddev_pop(v), 6) AS rms FROM px, dims WHERE y >= 10 AND y < h - 10 AND x >= 5 AND x < w - 5")
 def residual_rms(px, spark, sf_dir):
-    return _round(pixels.residual_rms(px, 10, 60, 5, 40).select("rms"))
+    return _round(pixels.residual_rms(px, 10, -10, 5, -5).select("rms"))
 
 
 @_register(", mu AS (SELECT avg(v) AS m FROM px), d AS (SELECT v - m AS d, lead(v - m) OVER (PARTITION BY y ORDER BY x) AS dx, lead(v - m) OVER (PARTITION BY x ORDER BY y) AS dy FROM px, mu) SELECT round(avg(d * dx) / avg(d * d), 6) AS acf_x, round(avg(d * dy) / avg(d * d), 6) AS acf_y FROM d")
@@ -363,52 +473,101 @@ def completeness(px, spark, sf_dir):
     return _round(out.select("point.y", "point.x", "peak", "recovered"))
 
 
-@_register(", t AS (SELECT x / 63.0 AS u, y / (h - 1.0) AS w, v, 1 / variance AS q FROM px, dims WHERE mask = 0) SELECT round(sum(q), 4) AS m00, round(sum(q * u), 4) AS m01, round(sum(q * w), 4) AS m02, round(sum(q * u * u), 4) AS m11, round(sum(q * u * w), 4) AS m12, round(sum(q * w * w), 4) AS m22, round(sum(q * v), 4) AS r0, round(sum(q * u * v), 4) AS r1, round(sum(q * w * v), 4) AS r2 FROM t")
+@_register(", t AS (SELECT x / 63.0 AS u, y / 99.0 AS w, v, 1 / variance AS q FROM px WHERE mask = 0) SELECT round(sum(q), 4) AS m00, round(sum(q * u), 4) AS m01, round(sum(q * w), 4) AS m02, round(sum(q * u * u), 4) AS m11, round(sum(q * u * w), 4) AS m12, round(sum(q * w * w), 4) AS m22, round(sum(q * v), 4) AS r0, round(sum(q * u * v), 4) AS r1, round(sum(q * w * v), 4) AS r2, round(sum(q * v * v), 4) AS energy, count(*) AS n FROM t")
 def normal_equations_small(px, spark, sf_dir):
-    """A8 for a plane: partial sums merge like those of the fit."""
-    t = px.join(pixels.frame_sizes(px), "frame_id").where("mask = 0").select((F.col("x") / 63.0).alias("u"), (F.col("y") / (F.col("height") - 1.0)).alias("w"), F.col("value").alias("v"), (1 / F.col("variance")).alias("q"))
-    terms = {"m00": "q", "m01": "q*u", "m02": "q*w", "m11": "q*u*u", "m12": "q*u*w", "m22": "q*w*w", "r0": "q*v", "r1": "q*u*v", "r2": "q*w*v"}
-    return _round(t.agg(*(F.sum(F.expr(e)).alias(n) for n, e in terms.items())), 4)
+    """A8 for a plane: the sums of parts of the frame add up."""
+    terms = {"m00": (0, 0), "m01": (0, 1), "m02": (0, 2), "m11": (1, 1), "m12": (1, 2), "m22": (2, 2)}
+
+    def run(batches):
+        for df in batches:
+            design = np.column_stack([np.ones(len(df)), df.x / 63.0, df.y / 99.0])
+            part = Normal.of(design, np.zeros((len(df), 0)), df["value"].to_numpy(), 1 / df.variance.to_numpy())
+            yield pd.DataFrame([{t: part.m[at] for t, at in terms.items()} | {f"r{k}": part.rhs[k] for k in range(3)} | {"energy": part.energy, "n": part.n}])
+
+    names = [*terms, "r0", "r1", "r2", "energy"]
+    parts = pixels.good_pixels(px).select("y", "x", "value", "variance").mapInPandas(run, ", ".join(f"{n} double" for n in names) + ", n long")
+    return _round(parts.agg(*(F.sum(n).alias(n) for n in [*names, "n"])), 4)
 
 
-_KNOTS = grid_knots(0, 0, 63, 99, 3, 3)
-_SPLINE = Spline(_KNOTS)
 _COEF = [round(0.3 * math.sin(1.7 * k), 4) for k in range(9)]
-_WEIGHTS = [round(float(w), 8) for w in _SPLINE.null_space @ np.array(_COEF[:6])]
+_WEIGHTS = [float(w) for w in _SPLINE.null_space @ np.array(_COEF[:6])]
 
 
 def _green_sql(i: int) -> str:
-    u, v = (float(a) for a in _SPLINE._u[i])
-    r2 = f"(pow((x - {_SPLINE.centre[0]!r}) / {_SPLINE.scale!r} - {u!r}, 2) + pow((y - {_SPLINE.centre[1]!r}) / {_SPLINE.scale!r} - {v!r}, 2))"
+    ku, kv = (float(a) for a in _SPLINE._u[i])
+    r2 = f"(pow({_u()} - {ku!r}, 2) + pow({_v()} - {kv!r}, 2))"
     return f"{_WEIGHTS[i]!r} * CASE WHEN {r2} > 0 THEN 0.5 * {r2} * ln({r2}) ELSE 0 END"
 
 
-_SPLINE_SQL = " + ".join(_green_sql(i) for i in range(9)) + f" + {_COEF[6]!r} + {_COEF[7]!r} * (x - {_SPLINE.centre[0]!r}) / {_SPLINE.scale!r} + {_COEF[8]!r} * (y - {_SPLINE.centre[1]!r}) / {_SPLINE.scale!r}"
+@_register(f"SELECT y, x, round({' + '.join(_green_sql(i) for i in range(9))} + {_COEF[6]!r} + {_COEF[7]!r} * {_u()} + {_COEF[8]!r} * {_v()}, 5) AS field FROM px")
+def spline_field(px, spark, sf_dir):
+    """A thin-plate spline at every pixel of the frame."""
+
+    def run(batches):
+        for df in batches:
+            yield pd.DataFrame({"y": df.y, "x": df.x, "field": evaluate(_KNOTS, df[["x", "y"]].to_numpy(), _COEF)})
 
+    return _round(px.select("y", "x").mapInPandas(run, "y int, x int, field double"), 5)
 
-@_register(f"SELECT y, x, round({_SPLINE_SQL}, 5) AS field FROM px WHERE y < 100 AND x % 8 = 0 AND y % 5 = 0".replace("np.float64", ""))
-def spline_field(px, spark, sf_dir):
-    """A spline over a grid of points of the frame, as a column expression."""
-    grid = px.where("y < 100 and x % 8 = 0 and y % 5 = 0")
-    u, v = (F.col("x") - float(_SPLINE.centre[0])) / float(_SPLINE.scale), (F.col("y") - float(_SPLINE.centre[1])) / float(_SPLINE.scale)
-    out = F.lit(_COEF[6]) + _COEF[7] * u + _COEF[8] * v
-    for w, (ku, kv) in zip(_WEIGHTS, _SPLINE._u.tolist(), strict=True):
-        r2 = (u - ku) ** 2 + (v - kv) ** 2
-        out = out + w * F.when(r2 > 0, 0.5 * r2 * F.log(r2)).otherwise(0.0)
-    return _round(grid.select("y", "x", out.alias("field")), 5)
 
+def _clipping(source: str, rounds: int = 6) -> str:
+    """Tables k0 (all values v of source) to k6, each what a round of clipping leaves."""
+    out = f", k0 AS (SELECT v FROM {source})"
+    for k in range(rounds):
+        out += f""", m{k} AS (SELECT quantile_cont(v, 0.5) AS m FROM k{k}), s{k} AS (SELECT m, {MAD_TO_SIGMA} * quantile_cont(abs(v - m), 0.5) AS s FROM k{k}, m{k} GROUP BY m),
+k{k + 1} AS (SELECT v FROM k{k}, s{k} WHERE s <= 0 OR (v > m - 4 * s AND v < m + 4 * s))"""
+    return out
 
-@_register(None)
+
+@_register(f"{_clipping('px')}, mm AS (SELECT quantile_cont(v, 0.5) AS m, count(*) AS n FROM k6) SELECT round(m, 6) AS median, round({MAD_TO_SIGMA} * quantile_cont(abs(v - m), 0.5), 6) AS sigma, n FROM k6, mm GROUP BY m, n")
 def sigma_clip(px, spark, sf_dir):
     return _round(pixels.sigma_clip(px).select("median", "sigma", "n"))
 
 
-@_register(None)
+_CDF = "0.5 * (1 + sign(z) * (1 - t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * exp(-z * z / 2)))"
+
+
+@_register(f""", pl AS (SELECT v / sqrt(variance) AS v FROM px WHERE mask = 0){_clipping('pl')}, st AS (SELECT avg(v) AS a, stddev_pop(v) AS d, count(*) AS n FROM k6),
+z AS (SELECT (v - a) / d AS z, n FROM k6, st), zt AS (SELECT z, n, 1 / (1 + 0.3275911 * abs(z) / sqrt(2)) AS t, row_number() OVER (ORDER BY z) AS r FROM z)
+SELECT round(any_value(s), 6) AS robust_sigma, round(avg(z * z * z), 6) AS skewness, round(avg(z * z * z * z) - 3, 6) AS kurtosis, round(max(abs(r / n - {_CDF})), 6) AS ks FROM zt, s0""")
 def gaussianity(px, spark, sf_dir):
     pulls = px.where("mask = 0").select("frame_id", (F.col("value") / F.sqrt("variance")).alias("value"))
     return _round(pixels.gaussianity(pulls).select("robust_sigma", "skewness", "kurtosis", "ks"))
 
 
+@_register(f"""{POINTS}, o AS (SELECT pt.y, pt.x, p.v, p.y AS ay, p.x AS ax, row_number() OVER (PARTITION BY pt.y, pt.x ORDER BY p.v DESC, p.y, p.x) AS n FROM {_box(3)})
+SELECT y, x, v AS peak, ay AS peak_y, ax AS peak_x FROM o WHERE n = 1""")
+def peak_near(px, spark, sf_dir):
+    """T6."""
+    return synth.peak_near(_points(px), px, 3).select("point.y", "point.x", "peak", "peak_y", "peak_x")
+
+
+@_register(f"""{POINTS}, g AS (SELECT p.y, p.x, sum(40 * pt.v / (2 * pi() * 1.21) * exp(-0.5 * ((p.y - pt.y - 0.25) * (p.y - pt.y - 0.25) + (p.x - pt.x + 0.25) * (p.x - pt.x + 0.25)) / 1.21)) AS more FROM {_box(6)} GROUP BY p.y, p.x)
+SELECT y, x, CAST(v + coalesce(more, 0) AS FLOAT) AS value FROM px LEFT JOIN g USING (y, x)""")
+def inject_stars(px, spark, sf_dir):
+    """A star put a quarter of a pixel beside each bright peak."""
+    stars = _points(px).select("frame_id", (F.col("px") - 0.25).alias("x"), (F.col("py") + 0.25).alias("y"), (40 * F.col("flux")).alias("flux"))
+    return synth.inject(px, stars, 1.1, WIDTH, px.agg(F.max("y") + 1).first()[0]).select("y", "x", "value")
+
+
+_QUALITY = f"""CAST((CASE WHEN n_pix / expected BETWEEN {SETTINGS.fwhm_lo} AND {SETTINGS.fwhm_hi} AND expected > 0 THEN 0 ELSE 1 END) | (CASE WHEN dipole THEN 2 ELSE 0 END) | (CASE WHEN mask_flags <> 0 THEN 4 ELSE 0 END)
+ | (CASE WHEN chi2 / dof > {SETTINGS.shape_tolerance} THEN 8 ELSE 0 END) | (CASE WHEN dist <= {3 * SETTINGS.expected_fwhm} THEN 16 ELSE 0 END) AS SMALLINT)"""
+
+
+@_register(f""", {SCORED}{_labels(1, 'p')}{_entries(1, 'p')}, {_tap_rows(PSF)}, pm AS (SELECT label, p.v AS d, p.variance AS r, k FROM cp, taps JOIN px p ON p.y = round(cp.y) + dy AND p.x = round(cp.x) + dx WHERE p.mask = 0),
+pa AS (SELECT label, sum(d * k / r) / sum(k * k / r) AS a, count(*) - 1 AS dof FROM pm GROUP BY label HAVING count(*) >= 3),
+pc AS (SELECT label, sum((d - a * k) * (d - a * k) / r) AS chi2, any_value(dof) AS dof FROM pm JOIN pa USING (label) GROUP BY label),
+br AS (SELECT y, x FROM px WHERE v > 0.4), bd AS (SELECT label, min(sqrt((cp.x - br.x) * (cp.x - br.x) + (cp.y - br.y) * (cp.y - br.y))) AS dist FROM cp, br GROUP BY label),
+dp AS (SELECT DISTINCT label FROM lp JOIN sc n ON n.y BETWEEN lp.y - 1 AND lp.y + 1 AND n.x BETWEEN lp.x - 1 AND lp.x + 1 AND n.score <= CAST(-{SETTINGS.dipole_threshold} AS FLOAT) AND n.mask = 0),
+al AS (SELECT cp.*, pc.chi2, pc.dof, bd.dist, dp.label IS NOT NULL AS dipole FROM cp LEFT JOIN pc USING (label) LEFT JOIN bd USING (label) LEFT JOIN dp USING (label))
+SELECT round(x, 6) AS x, round(y, 6) AS y, dipole AS is_dipole, round(dist, 6) AS bright_star_dist, {_QUALITY} AS quality FROM al""")
+def catalog_quality(px, spark, sf_dir):
+    """Shape, neighbours and flags of the catalog."""
+    bright = px.where("value > 0.4").select("frame_id", F.col("x").alias("px"), F.col("y").alias("py"))
+    out = catalog.build(scored(px), SETTINGS, "positive", np.array(PSF), bright)
+    return _round(out.select("x", "y", "is_dipole", "bright_star_dist", "quality"))
+
+
 @_register("SELECT round(stddev_pop(v), 6) AS rms, round(avg(abs(v)), 6) AS mean_abs FROM px WHERE mask = 0")
 def field_stats(px, spark, sf_dir):
     return _round(synth.field_stats(px.where("mask = 0")).select("rms", "mean_abs"))

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import catalog, detect, fit, noise, pixels, subtract, tiles
+from ..operators.pixels import cut
 from ..operators.schema import FWHM_PER_SIGMA
 
 log = logging.getLogger("stellarframe")
@@ -36,12 +37,6 @@ def timed(stage: str, into: dict | None = None):
         into[stage] = into.get(stage, 0.0) + took
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut: written to spark.checkpoint.dir, else only kept. Long plans joined with themselves take very long to analyse."""
-    sc = df.sparkSession.sparkContext
-    return df.checkpoint() if sc.getCheckpointDir() else df.persist()
-
-
 def default_beta(fwhm_a, fwhm_b):
     """P20 as a column: 0.8 of the width that broadens one star to the other, at least half a pixel; 2 if no width is known."""
     a, b = (F.when(pixels.finite(F.col(c)) & (F.col(c) > 0), F.col(c)) for c in (fwhm_a, fwhm_b))
@@ -195,7 +190,7 @@ class Subtractor:
             if scale is not None:
                 white = white.join(scale, "frame_id", "left").withColumn("_k", F.coalesce("scale", F.lit(1.0)).cast("float")).withColumn("_var", F.transform("_var", lambda v: v * F.col("_k"))).drop("_k", "scale")
             diff = diff.join(white, ["frame_id", "ty", "tx"], "left").withColumns({"value": F.coalesce("_v", "value"), "variance": F.coalesce("_var", "variance")}).drop("_v", "_var")
-        diff = cut(diff) if self.score else diff.persist()  # score and catalog read it again
+        diff = cut(diff)  # score and catalog read it again
         result = Result(diff, solutions, variance_scale=scale, config={f.name: getattr(self, f.name) for f in fields(self)})
         if not self.score:
             return result
