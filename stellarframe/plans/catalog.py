@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.basis import Basis
-from ..functions.solve import Normal
+from ..functions.solve import Normal, solve_at
 from ..functions.spline import Spline, evaluate, grid_knots
 from ..operators import catalog, detect, noise, pixels, subtract, synth, tiles
 from ..operators.schema import FWHM_PER_SIGMA, MAD_TO_SIGMA, MEDIAN_CHI2_1
@@ -321,7 +321,7 @@ def _hermite(beta: float, radius: int) -> str:
 
 @_register(f""", {_hermite(1.1, 3)}, ax AS (SELECT p.y, p.x + d AS x, n, sum(k * p.v) AS a FROM px p, rows1 GROUP BY p.y, p.x + d, n),
 b AS (SELECT ax.y + r.d AS y, ax.x, ax.n AS nx, r.n AS ny, sum(r.k * a) AS b FROM ax JOIN rows1 r ON ax.n + r.n <= 2 GROUP BY ax.y + r.d, ax.x, ax.n, r.n)
-SELECT y, x, CAST((nx + ny) * (nx + ny + 1) // 2 + ny AS INT) AS n, round(b, 6) AS value FROM b JOIN px USING (y, x)""")
+SELECT px.y, px.x, CAST((nx + ny) * (nx + ny + 1) // 2 + ny AS INT) AS n, round(b, 6) AS value FROM b JOIN px ON b.y = px.y AND b.x = px.x""")
 def basis_convolution(px, spark, sf_dir):
     """The frame convolved with each Gauss-Hermite component."""
     return _round(_components(tiles.convolve_basis(_tiled(px), Basis(1.1, 2, 3), WIDTH), "stack", "value"))
@@ -350,6 +350,56 @@ def stamp_candidates(px, spark, sf_dir):
     return _round(detect.candidates(t, tiles.background(t), 2, 2.0, 0.0, 3, 3, WIDTH).select("y", "x", "flux", "snr", "fwhm"))
 
 
+def _candidates(table: str, p: str) -> str:
+    """Table {p}cd (y, x, flux, fwhm, rn): clean peaks of a frame by brightness, with their widths."""
+    near = "ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING"
+    return f""", {p}med AS (SELECT {_upper('v')} AS m FROM {table} WHERE mask = 0), {p}bg AS (SELECT m, {MAD_TO_SIGMA} * {_upper('abs(v - m)')} AS s FROM {table}, {p}med WHERE mask = 0 GROUP BY m),
+{p}t AS (SELECT y, x, v, max(v) OVER (PARTITION BY y ORDER BY x {near}) AS t, max(mask) OVER (PARTITION BY y ORDER BY x ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS b FROM {table}),
+{p}k AS (SELECT y, x, v, v >= max(t) OVER (PARTITION BY x ORDER BY y {near}) AS top, max(b) OVER (PARTITION BY x ORDER BY y ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) = 0 AS ok FROM {p}t),
+{p}c AS (SELECT y, x, v - m AS flux FROM {p}k, {p}bg, dims WHERE top AND ok AND v > m + 2 * s AND x >= 3 AND x < w - 3 AND y >= 3 AND y < h - 3),
+{p}b AS (SELECT c.y, c.x, greatest(p.v - m, 0) AS w, p.x AS gx, p.y AS gy FROM {p}c c JOIN {table} p ON p.y BETWEEN c.y - 3 AND c.y + 3 AND p.x BETWEEN c.x - 3 AND c.x + 3, {p}bg),
+{p}q AS (SELECT y, x, sum(w * gx) / sum(w) AS mx, sum(w * gy) / sum(w) AS my FROM {p}b GROUP BY y, x),
+{p}f AS (SELECT y, x, {FWHM_PER_SIGMA} * sqrt(0.5 * sum(w * ((gx - mx) * (gx - mx) + (gy - my) * (gy - my))) / sum(w)) AS fwhm FROM {p}b JOIN {p}q USING (y, x) GROUP BY y, x),
+{p}cd AS (SELECT y, x, flux, fwhm, row_number() OVER (ORDER BY flux DESC, y, x) AS rn FROM {p}c JOIN {p}f USING (y, x))"""
+
+
+def _thinned(p: str, radius: int, most: int) -> str:
+    """Table {p}st: candidates in turn, each kept if none that was kept lies nearer."""
+    far = f"len(list_filter(kept, lambda k: (k.x - c.x) * (k.x - c.x) + (k.y - c.y) * (k.y - c.y) < {radius**2})) = 0"
+    return f""", {p}r(n, kept) AS (SELECT CAST(0 AS BIGINT), CAST([] AS STRUCT(y INT, x INT)[]) UNION ALL
+  SELECT rn, CASE WHEN len(kept) < {most} AND {far} THEN list_append(kept, struct_pack(y := c.y, x := c.x)) ELSE kept END FROM {p}r JOIN {p}cd c ON rn = n + 1),
+{p}one AS (SELECT unnest(kept) AS k FROM (SELECT kept FROM {p}r ORDER BY n DESC LIMIT 1)), {p}st AS (SELECT {p}cd.* FROM {p}cd JOIN {p}one ON y = k.y AND x = k.x)"""
+
+
+def _stamps(px: DataFrame) -> DataFrame:
+    t = _tiled(px)
+    return detect.detect_stamps(t, tiles.background(t, 1 << 40), 2, 2.0, 150, 0.0, 5, 3, 3, WIDTH)
+
+
+@_register(f"{_candidates('px', 's')}{_thinned('s', 5, 150)} SELECT y, x, round(flux, 6) AS flux, round(fwhm, 6) AS fwhm FROM sst")
+def detect_stamps(px, spark, sf_dir):
+    """Bright, clean, isolated peaks, 150 at most."""
+    return _round(_stamps(px).select("y", "x", "flux", "fwhm"))
+
+
+_SELECTED = f""", {SECOND}{_candidates('px2', 's')}{_thinned('s', 5, 150)}{_candidates('px', 'r')}{_thinned('r', 5, 150)},
+mt AS (SELECT r.y, r.x, r.flux, r.fwhm AS fr, s.fwhm AS fs, row_number() OVER (PARTITION BY r.y, r.x ORDER BY (r.x - s.x) * (r.x - s.x) + (r.y - s.y) * (r.y - s.y), s.flux DESC, s.y, s.x) AS n
+  FROM rst r JOIN sst s ON (r.x - s.x) * (r.x - s.x) + (r.y - s.y) * (r.y - s.y) <= 4)"""
+
+
+@_register(f"{_SELECTED} SELECT CAST(row_number() OVER (ORDER BY flux DESC, y, x) - 1 AS INT) AS stamp, y, x, round(fs, 6) AS fwhm_science, round(fr, 6) AS fwhm_reference FROM mt WHERE n = 1")
+def select_stamps(px, spark, sf_dir):
+    """Stamps that two frames share."""
+    return _round(detect.select_stamps(_stamps(second(px)), _stamps(px)).select("stamp", "y", "x", "fwhm_science", "fwhm_reference"))
+
+
+@_register(f"{_SELECTED}, md AS (SELECT {_upper('fs')} AS s, {_upper('fr')} AS r FROM mt WHERE n = 1) SELECT round(s, 6) AS median_fwhm_science, round(r, 6) AS median_fwhm_reference, CASE WHEN r <= s THEN 'reference' ELSE 'science' END AS direction FROM md")
+def stamp_summary(px, spark, sf_dir):
+    """The widths of a pair and which of its frames is convolved."""
+    out = detect.summary(detect.select_stamps(_stamps(second(px)), _stamps(px)))
+    return _round(out.select("median_fwhm_science", "median_fwhm_reference", "direction"))
+
+
 @_register(f"""{POINTS}, b AS (SELECT pt.y, pt.x, p.y - pt.y AS dy, p.x - pt.x AS dx, p.v FROM {_box(2)}), whole AS (SELECT y, x FROM b GROUP BY y, x HAVING count(*) = 25),
 s AS (SELECT y, x, quantile_cont(v, 0.5) AS m, sum(v) AS t FROM b JOIN whole USING (y, x) GROUP BY y, x),
 c AS (SELECT dy, dx, quantile_cont((v - m) / (t - 25 * m), 0.5) AS c FROM b JOIN s USING (y, x) WHERE t - 25 * m > 0 GROUP BY dy, dx)
@@ -489,6 +539,41 @@ def normal_equations_small(px, spark, sf_dir):
     return _round(parts.agg(*(F.sum(n).alias(n) for n in [*names, "n"])), 4)
 
 
+def _cramer(column: int | None = None) -> str:
+    """The determinant of the plane's equations, with the right side in place of a column."""
+    m = [["m00", "m01", "m02"], ["m01", "m11", "m12"], ["m02", "m12", "m22"]]
+    if column is not None:
+        m = [[f"r{i}" if j == column else x for j, x in enumerate(row)] for i, row in enumerate(m)]
+    minor = lambda a, b: f"({m[1][a]} * {m[2][b]} - {m[1][b]} * {m[2][a]})"
+    return f"({m[0][0]} * {minor(1, 2)} - {m[0][1]} * {minor(0, 2)} + {m[0][2]} * {minor(0, 1)})"
+
+
+@_register(f""", t AS (SELECT (x - 21.0) / 66 AS u, (y - 33.0) / 66 AS w, v, 1 / variance AS q FROM px WHERE mask = 0),
+eq AS (SELECT sum(q) AS m00, sum(q * u) AS m01, sum(q * w) AS m02, sum(q * u * u) AS m11, sum(q * u * w) AS m12, sum(q * w * w) AS m22, sum(q * v) AS r0, sum(q * u * v) AS r1, sum(q * w * v) AS r2, sum(q * v * v) AS e, count(*) AS n FROM t),
+th AS (SELECT *, {', '.join(f'{_cramer(k)} / {_cramer()} AS t{k}' for k in range(3))} FROM eq), rs AS (SELECT *, e - t0 * r0 - t1 * r1 - t2 * r2 AS rss FROM th)
+SELECT round(t0, 6) AS t0, round(t1, 6) AS t1, round(t2, 6) AS t2, round(rss, 4) AS rss, 3.0 AS effective_dof, round(n * rss / ((n - 3) * (n - 3)), 8) AS gcv FROM rs""".replace("3.0 AS effective_dof", "CAST(3 AS DOUBLE) AS effective_dof"))
+def plane_fit(px, spark, sf_dir):
+    """A background plane by weighted least squares from sums of the frame's parts, its misfit, freedom and score."""
+    knots = np.array([(0.0, 0.0), (63.0, 0.0), (0.0, 99.0)])  # three knots: no bending
+
+    def sums(batches):
+        for df in batches:
+            part = Normal.of(Spline(knots).design(df[["x", "y"]].to_numpy()), np.zeros((len(df), 0)), df["value"].to_numpy(), 1 / df.variance.to_numpy())
+            yield pd.DataFrame([{f"m{i}": v for i, v in enumerate(part.m.ravel())} | {f"r{i}": v for i, v in enumerate(part.rhs)} | {"energy": part.energy, "n": part.n}])
+
+    def solved(batches):
+        for df in batches:
+            r = df.iloc[0]
+            normal = Normal(np.array([r[f"m{i}"] for i in range(9)]).reshape(3, 3), np.array([r[f"r{i}"] for i in range(3)]), r.energy, int(r.n))
+            fit = solve_at(normal, Spline(knots), 0.5)
+            yield pd.DataFrame([{f"t{i}": v for i, v in enumerate(fit.theta)} | {"rss": fit.rss, "effective_dof": fit.effective_dof, "gcv": fit.gcv}])
+
+    names = [*(f"m{i}" for i in range(9)), "r0", "r1", "r2", "energy"]
+    parts = pixels.good_pixels(px).select("y", "x", "value", "variance").mapInPandas(sums, ", ".join(f"{n} double" for n in names) + ", n long")
+    out = parts.agg(*(F.sum(n).alias(n) for n in [*names, "n"])).mapInPandas(solved, "t0 double, t1 double, t2 double, rss double, effective_dof double, gcv double")
+    return out.select(*(F.round(c, 6).alias(c) for c in ("t0", "t1", "t2")), F.round("rss", 4).alias("rss"), F.round("effective_dof", 6).alias("effective_dof"), F.round("gcv", 8).alias("gcv"))
+
+
 _COEF = [round(0.3 * math.sin(1.7 * k), 4) for k in range(9)]
 _WEIGHTS = [float(w) for w in _SPLINE.null_space @ np.array(_COEF[:6])]
 
