@@ -7,8 +7,8 @@ import os
 import sys
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
-from .operators import tiles
 from .plans.engine import Subtractor, configure_logging, load_solutions, save_solutions, timed
 from .sources import fits, inputs
 
@@ -42,9 +42,9 @@ def _parser() -> argparse.ArgumentParser:
     return p
 
 
-def _layers(path: str, what: str) -> dict:
+def _readable(path: str, what: str, read):
     try:
-        return fits.read(path)
+        return read(path)
     except (OSError, ValueError) as e:
         print(f"cannot read {what} {path}: {e}", file=sys.stderr)
         raise SystemExit(2) from e
@@ -56,7 +56,7 @@ def main(argv: list[str] | None = None) -> int:
     if args.command == "info":
         import numpy as np
 
-        got = _layers(args.image, "image")
+        got = _readable(args.image, "image", fits.read)
         for name, a in got.items():
             if a is not None:
                 extra = f", {np.count_nonzero(a)} masked ({np.count_nonzero(a) / a.size:.2%})" if name == "mask" else ""
@@ -65,12 +65,17 @@ def main(argv: list[str] | None = None) -> int:
     if os.path.exists(args.output) and not args.overwrite:
         print(f"{args.output} exists; --overwrite replaces it", file=sys.stderr)
         return 2
-    science, reference = _layers(args.science, "science"), _layers(args.reference, "reference")
+    shapes = [_readable(path, what, fits.shape) for path, what in ((args.science, "science"), (args.reference, "reference"))]
+    if shapes[0] != shapes[1]:
+        print("science and reference must share a shape", file=sys.stderr)
+        return 1
     spark = SparkSession.builder.appName("stellarframe").getOrCreate()
     engine = Subtractor(score=args.score, decorrelate=args.decorrelate, **{k: v for k in _NUMBERS if (v := getattr(args, k)) is not None})
     try:
-        extra = {f"{n}_{c}": a[k] for n, a in (("science", science), ("reference", reference)) for c, k in (("var", "variance"), ("mask", "mask"))}
-        pair = inputs.pair(spark, science["value"], reference["value"], "frame", engine.tile, args.gain, args.read_noise, **extra).persist()
+        sides = [fits.read_tiles(spark, path, engine.tile, "*").withColumn("frame_id", F.lit("frame")) for path in (args.science, args.reference)]
+        if args.gain is not None:
+            sides = [inputs.with_variance(side, args.gain, args.read_noise) for side in sides]
+        pair = inputs.pair_tiles(*sides).persist()
         with timed(args.command):
             if args.command == "apply":
                 result = engine.apply(load_solutions(spark, args.solution), pair)
@@ -83,8 +88,9 @@ def main(argv: list[str] | None = None) -> int:
     if s is None:
         print("no stamps selected: lower the threshold, give a catalog or widen the match", file=sys.stderr)
         return 1
-    layer = lambda c: None if result.difference.where(f"{c} is not null").isEmpty() else tiles.to_array(result.difference, c)
-    fits.write(args.output, layer("value"), layer("variance"), layer("mask"), args.overwrite, {"DIRECT": s.direction, "LAMBDA": s.lam, "CHI2": s.reduced_chi2})
+    options = {"SCIENCE": os.path.basename(args.science), "REFERNCE": os.path.basename(args.reference)}
+    with open(args.output, "wb") as f:
+        f.write(result.to_fits(options).first().content)
     if args.save_solution:
         save_solutions(result.solutions, args.save_solution, "overwrite" if args.overwrite else "errorifexists")
     print(f"direction {s.direction}, beta {s.beta:.3f}, lambda {s.lam:.3g}, stamps {s.n_stamps_used} used and {s.n_stamps_rejected} rejected, reduced chi2 {s.reduced_chi2:.3f}")

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from ..operators import catalog, detect, fit, noise, pixels, subtract, tiles
 from ..operators.pixels import cut
 from ..operators.schema import FWHM_PER_SIGMA
+from ..sources import fits
+from . import provenance
 
 log = logging.getLogger("stellarframe")
 
@@ -77,11 +79,27 @@ class Result:
 
     def cards(self) -> dict[str, str]:
         """Configuration and environment as header cards."""
-        import pyspark
-
-        from .. import __version__
-
-        return {f"CFG_{k.upper()}": str(v) for k, v in self.config.items()} | {"VERSION": __version__, "SPARK": pyspark.__version__, "CREATED": time.strftime("%Y-%m-%dT%H:%M:%S", time.gmtime())}
+        return {f"CFG_{k.upper()}": str(v) for k, v in self.config.items()} | provenance.environment()
+
+    def fit_cards(self) -> DataFrame:
+        """(frame_id, cards): each pair's fit as header cards."""
+        told = {"DIRECT": "direction", "BETA": "beta", "NMAX": "n_max", "KRADIUS": "radius", "NCOMP": "n_components", "NKNOTS": "n_spatial", "LAMBDA": "lam", "DOF": "effective_dof", "CHI2": "reduced_chi2", "NSTAMPS": "n_stamps_used", "NREJECT": "n_stamps_rejected", "NPIXELS": "n_pixels"}
+        return self.solutions.select("frame_id", F.create_map(*(x for k, c in told.items() for x in (F.lit(k), F.col(c).cast("string")))).alias("cards"))
+
+    def table(self, frame_id: str | None = None, arrow: bool = False):
+        """The catalog, of one frame or of all, as a pandas or an Arrow table on the driver."""
+        if self.source_catalog is None:
+            raise ValueError("no catalog: make the engine with score=True and source_catalog=True")
+        rows = self.source_catalog if frame_id is None else self.source_catalog.where(F.col("frame_id") == frame_id)
+        return rows.toArrow() if arrow else rows.toPandas()
+
+    def to_fits(self, extra_cards: dict | None = None) -> DataFrame:
+        """(frame_id, content): a FITS file of each pair: the difference, its VARIANCE and MASK, SCORE and CATALOG, and the cards."""
+        layers = self.difference.select(*tiles.HEAD, "value", "variance", "mask")
+        if self.score is not None:
+            layers = layers.join(self.score.select("frame_id", "ty", "tx", "score"), ["frame_id", "ty", "tx"], "left")
+        more = F.create_map(*(F.lit(x) for kv in (provenance.environment() | (extra_cards or {})).items() for x in map(str, kv)))
+        return fits.encoded(layers, self.fit_cards().select("frame_id", F.map_concat("cards", more).alias("cards")), self.source_catalog)
 
     def write(self, path: str, mode: str = "errorifexists", extra_cards: dict | None = None) -> None:
         """A Parquet table for each layer and a table of cards."""
@@ -243,5 +261,3 @@ def load_solutions(spark, path: str) -> DataFrame:
 def save_solutions(solutions: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """S5."""
     solutions.write.mode(mode).parquet(path)
-
-

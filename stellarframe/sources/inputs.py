@@ -53,6 +53,14 @@ def pair_tiles(science: DataFrame, reference: DataFrame) -> DataFrame:
     return named(science, "s").join(named(reference, "r").drop("y0", "x0", "h", "w", "width", "height"), ["frame_id", "ty", "tx"])
 
 
+def with_variance(frame_tiles: DataFrame, gain: float, read_noise: float = 0.0) -> DataFrame:
+    """S10 on tiles: missing variances from the data."""
+    if not gain > 0:
+        raise ValueError("the gain must be positive")
+    made = F.transform("value", lambda v: (F.greatest(v, F.lit(0.0).cast("float")) / gain + read_noise**2).cast("float"))
+    return frame_tiles.withColumn("variance", F.coalesce("variance", made))
+
+
 def positions(spark: SparkSession, path: str, frame_id: str = "frame") -> DataFrame:
     """(frame_id, stamp, x, y) from a text file of x and y, white space between; other columns are ignored."""
     rows = spark.read.text(path).select(F.split(F.trim("value"), r"\s+").alias("c")).where((F.size("c") >= 2) & ~F.col("c")[0].startswith("#"))
