@@ -12,10 +12,8 @@ def hann(n: int) -> np.ndarray:
 def kernel_power(kernel: np.ndarray, n: int) -> np.ndarray:
     """|K|^2 on the half plane of an n x n transform."""
     full = np.zeros((n, n))
-    kh, kw = kernel.shape
-    for y in range(kh):
-        for x in range(kw):
-            full[(y - kh // 2) % n, (x - kw // 2) % n] += kernel[y, x]
+    rows, columns = (np.arange(k) - k // 2 for k in kernel.shape)
+    np.add.at(full, (rows[:, None] % n, columns % n), kernel)
     return np.abs(np.fft.rfft2(full)) ** 2
 
 

@@ -68,8 +68,8 @@ def stamp_pixels(pair: DataFrame, stamps: DataFrame, stamp_radius: int, n_max: i
         y, x = np.nonzero(use)
         if not len(y):
             return pd.DataFrame(columns=[c.split()[0] for c in STAMP_PIXELS.split(", ")])
-        row = {"stamp": v.key[0], "x": int(v.extra["sx"]), "y": int(v.extra["sy"]), "wy0": v.y0 + r, "wx0": v.x0 + r, "py": (y + v.y0 + r).tolist(), "px": (x + v.x0 + r).tolist()}
-        row |= {"target": target[use].tolist(), "var_t": vt[use].tolist(), "var_c": vc[use].tolist(), "bn": stack[:, use].T.ravel().tolist(), "noise": noise.tolist(), "noise_w": v.inside.shape[1], "has_var": has, "has_cvar": has_c}
+        row = {"stamp": v.key[0], "x": int(v.extra["sx"]), "y": int(v.extra["sy"]), "wy0": v.y0 + r, "wx0": v.x0 + r, "py": y + v.y0 + r, "px": x + v.x0 + r}
+        row |= {"target": target[use], "var_t": vt[use], "var_c": vc[use], "bn": stack[:, use].T.ravel(), "noise": noise, "noise_w": v.inside.shape[1], "has_var": has, "has_cvar": has_c}
         return pd.DataFrame([row])
 
     return tiles.gather(windows, PAIR, run, STAMP_PIXELS, ["beta", "radius", "fill", "sx", "sy"])

@@ -73,10 +73,10 @@ def decorrelate(frame_tiles: DataFrame, block: int = 256, size: int = tiles.SIZE
                 ya, yb = max(ty * size, v.y0), min((ty + 1) * size, v.y0 + block, v.height)
                 xa, xb = max(tx * size, v.x0), min((tx + 1) * size, v.x0 + block, v.width)
                 cut = np.s_[ya - v.y0 : yb - v.y0, xa - v.x0 : xb - v.x0]
-                rows.append((ty, tx, ya, xa, yb - ya, xb - xa, v.width, v.height, (weight * white)[cut].ravel().tolist(), weight[cut].ravel().tolist(), noise))
+                rows.append((ty, tx, ya, xa, yb - ya, xb - xa, v.width, v.height, (weight * white)[cut].ravel(), v.y0, v.x0, noise))
         return pd.DataFrame(rows, columns=[c.split()[0] for c in parts.split(", ")])
 
-    parts = f"{tiles.TILE}, part array<double>, weight array<double>, noise double"
+    parts = f"{tiles.TILE}, part array<float>, by int, bx int, noise double"
 
     def add(df: pd.DataFrame) -> pd.DataFrame:
         r = df.iloc[0]
@@ -85,13 +85,13 @@ def decorrelate(frame_tiles: DataFrame, block: int = 256, size: int = tiles.SIZE
         value, var, weight = np.zeros((3, h, w))
         for p in df.itertuples(index=False):
             at = np.s_[p.y0 - y0 : p.y0 - y0 + p.h, p.x0 - x0 : p.x0 - x0 + p.w]
-            one = np.asarray(p.weight).reshape(p.h, p.w)
+            one = np.outer(fourier.hann(block)[p.y0 - p.by :][: p.h], fourier.hann(block)[p.x0 - p.bx :][: p.w])
             value[at] += np.asarray(p.part).reshape(p.h, p.w)
             var[at] += one * p.noise
             weight[at] += one
         over = np.where(weight > 0, weight, 1.0)
         head = {"frame_id": r.frame_id, "ty": int(r.ty), "tx": int(r.tx), "y0": y0, "x0": x0, "h": h, "w": w, "width": int(r.width), "height": int(r.height)}
-        return pd.DataFrame([head | {"value": np.where(weight > 0, value / over, 0).ravel().tolist(), "variance": np.where(weight > 0, var / over, 0).ravel().tolist()}])
+        return pd.DataFrame([head | {"value": np.where(weight > 0, value / over, 0).ravel().astype(np.float32), "variance": np.where(weight > 0, var / over, 0).ravel().astype(np.float32)}])
 
     filtered = tiles.gather(block_windows(frame_tiles, block), ["value", "t_variance", "c_variance"], run, parts, MODEL)
     return filtered.groupBy("frame_id", "ty", "tx").applyInPandas(add, f"frame_id string, {tiles.TILE}, value array<float>, variance array<float>")

@@ -197,6 +197,9 @@ def halo_windows(tiles: DataFrame, radius: int | str, size: int = SIZE) -> DataF
     return at.withColumns({"wy0": y0 - radius, "wx0": x0 - radius, "wh": tall + 2 * radius, "ww": wide + 2 * radius})
 
 
+_DTYPES = {"float": np.float32, "double": np.float64, "int": np.int32, "smallint": np.int16, "boolean": bool}
+
+
 def gather(windows: DataFrame, layers: Sequence[str], fn: Callable[[View], pd.DataFrame], schema: str, extra: Sequence[str] = ()) -> DataFrame:
     """Run fn on every window; windows has the tiles' columns, k1, k2, wy0, wx0, wh, ww and the extra columns (one value a window).
 
@@ -208,18 +211,17 @@ def gather(windows: DataFrame, layers: Sequence[str], fn: Callable[[View], pd.Da
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in frames:
-            out = df.copy()
-            for i, r in enumerate(df.itertuples(index=False)):
-                ya, yb = max(r.y0, r.wy0), min(r.y0 + r.h, r.wy0 + r.wh)
-                xa, xb = max(r.x0, r.wx0), min(r.x0 + r.w, r.wx0 + r.ww)
-                empty = ya >= yb or xa >= xb
-                for c in layers:
-                    a = getattr(r, c)
-                    if a is not None:
-                        part = np.zeros(0) if empty else np.asarray(a).reshape(r.h, r.w)[ya - r.y0 : yb - r.y0, xa - r.x0 : xb - r.x0].ravel()
-                        out.at[out.index[i], c] = part
-                out.iloc[i, out.columns.get_indexer(["y0", "x0", "h", "w"])] = [ya, xa, max(0, yb - ya), max(0, xb - xa)]
-            yield out[(out.h > 0) & (out.w > 0)]
+            ya, xa = np.maximum(df.y0, df.wy0).to_numpy(), np.maximum(df.x0, df.wx0).to_numpy()
+            yb, xb = np.minimum(df.y0 + df.h, df.wy0 + df.wh).to_numpy(), np.minimum(df.x0 + df.w, df.wx0 + df.ww).to_numpy()
+            met = np.flatnonzero((ya < yb) & (xa < xb))
+            y0, x0, h, w = (df[c].to_numpy() for c in ("y0", "x0", "h", "w"))
+            out = {c: df[c].iloc[met].to_numpy() for c in [*cols, *extra]} | {"y0": ya[met], "x0": xa[met], "h": (yb - ya)[met], "w": (xb - xa)[met]}
+            for c in layers:
+                have = df[c].to_numpy()
+                out[c] = [None if have[i] is None else np.asarray(have[i]).reshape(h[i], w[i])[ya[i] - y0[i] : yb[i] - y0[i], xa[i] - x0[i] : xb[i] - x0[i]].ravel() for i in met]
+            yield pd.DataFrame({c: pd.Series(out[c], dtype=object) if c in layers else out[c] for c in [*cols, *layers, *extra]})
+
+    arrays = {c.split()[0]: _DTYPES[c.split()[1][6:-1]] for c in schema.split(", ") if c.split()[1].startswith("array<")}
 
     def run(df: pd.DataFrame) -> pd.DataFrame:
         r = df.iloc[0]
@@ -239,6 +241,8 @@ def gather(windows: DataFrame, layers: Sequence[str], fn: Callable[[View], pd.Da
             inside[p.y0 - p.wy0 : p.y0 - p.wy0 + p.h, p.x0 - p.wx0 : p.x0 - p.wx0 + p.w] = True
         view = View(r.frame_id, (int(r.k1), int(r.k2)), int(r.wy0), int(r.wx0), int(r.width), int(r.height), inside, got, {c: r[c] for c in extra})
         out = fn(view)
+        for c, kind in arrays.items():  # numbers as they are sent, not as Python objects
+            out[c] = pd.Series([None if a is None else np.asarray(a, kind) for a in out[c]], dtype=object, index=out.index)
         out.insert(0, "frame_id", r.frame_id)
         return out
 
@@ -253,7 +257,7 @@ def tile_row(v: View, margin: int, layers: dict[str, np.ndarray]) -> pd.DataFram
     """A tile of results for the window's middle."""
     h, w = v.inside.shape[0] - 2 * margin, v.inside.shape[1] - 2 * margin
     head = {"ty": v.key[0], "tx": v.key[1], "y0": v.y0 + margin, "x0": v.x0 + margin, "h": h, "w": w, "width": v.width, "height": v.height}
-    return pd.DataFrame([head | {n: None if a is None else a.ravel().tolist() for n, a in layers.items()}])
+    return pd.DataFrame([head | {n: None if a is None else a.ravel() for n, a in layers.items()}])
 
 
 def convolve_basis(tiles: DataFrame, basis, size: int = SIZE) -> DataFrame:
