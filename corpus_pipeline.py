@@ -42,7 +42,7 @@ STAGES = [
     ("sequences", sequences),
 ]
 
-#: Classifier, fingerprints, edit distance and tokenizer have no SQL form; tests/llm holds the operators against brute force, run() by row count only.
+#: Classifier, fingerprints, edit distance and tokenizer have no SQL form; tests/llm/test_pipeline.py holds the stages and run() to plain Python.
 ORACLE_SQL = None
 
 
