@@ -127,6 +127,14 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", rounds: i
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)
 
 
+def salted(many: DataFrame, one: DataFrame, key: str, by: str, salts: int = 16) -> DataFrame:
+    """many joined with one on key, of which one has a row for each: a key's rows of many are dealt to `salts` tasks by the column
+    `by`, so a key that holds very many rows does not meet in one."""
+    left = many.withColumn("_salt", F.pmod(F.xxhash64(by, F.lit(3)), F.lit(salts)))
+    right = one.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    return left.join(right, [key, "_salt"]).drop("_salt")
+
+
 def ranked(df: DataFrame, group: str, key: Column, order: list, name: str, buckets: int | Column = 256) -> DataFrame:
     """Add name: a gapless rank from 0 within group, without ever gathering a group in one task.
 

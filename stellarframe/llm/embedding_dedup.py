@@ -236,7 +236,7 @@ def embedding_components(vectors: DataFrame, id_col: str = "vec_id", vec_col: st
     comps = common.connected_components(out.select(F.col("id").alias("u"), F.col("to").alias("v")))
     counts = out.groupBy("id").agg(F.sum("links").alias("links"))
     linked = heads.select("id", "head").join(comps, "id")
-    linked = linked.join(linked.groupBy("component").agg(F.min("head").alias("least")), "component").select("id", "least")
+    linked = common.salted(linked, linked.groupBy("component").agg(F.min("head").alias("least")), "component", "id").select("id", "least")
     told = heads.join(counts, "id", "left").join(linked, "id", "left")
     told = told.select(F.col("label").alias("_label"), F.col("vec").alias("_vec"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("least", "head").cast("long").alias("component_id"))
     keyed = rows.withColumn("_label", F.when(usable, F.concat_ws("/", F.size("vec").cast("string"), "label")))

@@ -180,28 +180,45 @@ def fingerprint_links(distinct: DataFrame, segments: int = SEGMENTS, crowd: int
         now, segments = crowded.select(F.col("u").alias("fp")).distinct(), segments * 2
 
 
+def gathered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
+    """(fp long, ids array): the ids of each fingerprint, gathered in each batch of rows: copies meet as few rows later on."""
+    common.arrow_rows(docs.sparkSession)
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                fps = np.array([signed(fingerprint(t.as_py(), shingle)) for t in b.column(1)], np.int64)
+                order = np.argsort(fps, kind="stable")
+                first = np.flatnonzero(np.diff(fps[order], prepend=fps[order[0]] - 1))
+                ids = pa.ListArray.from_arrays(pa.array([*first.tolist(), len(fps)], pa.int32()), b.column(0).take(pa.array(order)))
+                yield pa.RecordBatch.from_arrays([pa.array(fps[order][first]), ids], ["fp", "ids"])
+
+    return docs.select(id_col, text_col).mapInArrow(run, f"fp long, ids array<{kind}>")
+
+
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """(id_col, fingerprint, component_id): the class of near copies of each document.
 
     fingerprint is 16 hex digits; component_id is the smallest id reachable by links of at most two differing
-    bits. Documents with one fingerprint are linked, so they are first gathered to one row by a partial aggregate and
+    bits. Documents with one fingerprint are linked, so they are first gathered, by batch and then by a partial aggregate, and
     only distinct fingerprints are compared: copies, however many, cost one row. Null or empty text: fingerprint 0, linked
     like any other. Null ids are kept, with the component of the others of their fingerprint. Repeated rows are kept.
     Other columns of docs are ignored. Empty input gives no rows.
     """
-    fps = common.materialise(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    reps = _classes(fps, id_col).select("fp", F.col("least").alias("component_id"))
-    return fps.join(reps, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    fps = common.materialise(gathered(docs, id_col, text_col, shingle), "fingerprints")
+    reps = _classes(fps).select("fp", F.col("least").alias("component_id"))
+    return fps.join(reps, "fp").select(F.explode("ids").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _classes(fps: DataFrame, id_col: str) -> DataFrame:
+def _classes(fps: DataFrame) -> DataFrame:
     """(fp, component, least): for each distinct fingerprint its class, named by a fingerprint, and the smallest id in it."""
-    heads = fps.groupBy("fp").agg(F.min(id_col).alias("head"))
+    heads = fps.groupBy("fp").agg(F.min(F.array_min("ids")).alias("head"))
     comps = common.connected_components(fingerprint_links(heads))
     # the smallest id of a component, over the fingerprints it holds
     named = heads.join(comps, heads["fp"] == comps["id"]).select("fp", "component", "head")
     least = named.groupBy("component").agg(F.min("head").alias("least"))
-    linked = named.join(least, "component").select("fp", "component", "least")
+    linked = common.salted(named, least, "component", "fp").select("fp", "component", "least")
     return heads.join(linked, "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"), F.coalesce("least", "head").alias("least"))
 
 
@@ -211,11 +228,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     Where ids are null or repeated, of the rows that share the id the one with the smallest fingerprint stays, then the one with
     the smallest hash of its columns. Columns stay.
     """
-    fps = common.materialise(fingerprints(docs, id_col, text_col), "fingerprints")
-    classes = common.materialise(_classes(fps, id_col), "classes")
-    plain = fps.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).where(F.col(id_col).isNull() | (F.col("n") > 1)).isEmpty()
+    fps = common.materialise(gathered(docs, id_col, text_col), "fingerprints")
+    classes = common.materialise(_classes(fps), "classes")
+    ids = fps.select(F.explode("ids").alias("i"), "fp")
+    plain = ids.groupBy("i").agg(F.count(F.lit(1)).alias("n")).where(F.col("i").isNull() | (F.col("n") > 1)).isEmpty()
     if plain:  # an id names one row
-        gone = fps.join(classes, "fp").where(F.col(id_col) != F.col("least")).select(id_col)
+        gone = fps.join(classes, "fp").select(F.explode("ids").alias(id_col), "least").where(F.col(id_col) != F.col("least")).select(id_col)
         return docs.join(gone, id_col, "left_anti").select(docs.columns)
     fp, pick = common.fresh(docs, "_fp"), common.fresh(docs, "_pick")
     kind, at, names = docs.schema[id_col].dataType, docs.columns.index(text_col), [*docs.columns, fp]
@@ -225,7 +243,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([signed(fingerprint(t.as_py())) for t in b.column(at)], pa.int64())], names)
 
     wide = docs.mapInArrow(put, T.StructType([*docs.schema.fields, T.StructField(fp, T.LongType())]))
-    told = fps.distinct().join(classes, "fp").select(F.col(id_col).alias("i"), "fp", "component", "least")
+    told = ids.distinct().join(classes, "fp").select("i", "fp", "component", "least")
     stays = told.where(F.col("i").eqNullSafe(F.col("least"))).groupBy("component").agg(F.min("fp").alias("fp"), F.min("i").cast(kind).alias("i"))
     both = wide.join(stays.select(F.col("i"), F.col("fp").alias("f")), F.col(fp).eqNullSafe(F.col("f")) & wide[id_col].eqNullSafe(F.col("i")), "left_semi")
     hashed = F.xxhash64(*(F.to_json(c) if "map" in t or t == "variant" else F.col(c) for c, t in docs.dtypes))
