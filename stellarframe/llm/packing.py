@@ -20,7 +20,7 @@ from . import common, tokens
 
 END = b"\0\0\0\0"
 #: Rows of one length that are ranked in one hash bucket.
-BUCKET_ROWS = 2_000
+BUCKET_ROWS = 500
 
 
 def cut(length: int, room: int) -> list[tuple[int, int]]:
